@@ -12,9 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
+from ..functions.numeric import half_up
+from ..operators import cards as CA
 from ..operators import competitors as CO
 from ..operators import features as FE
+from ..operators import ranking as RK
+from ..operators import related as RE
 from ..operators import scoring as SC
+from ..operators import search as SE
+from ..operators import timeline as TL
+from ..operators import trends as TR
 from .context import Ctx
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -127,3 +134,223 @@ def competitors_top4(spark, sf):
     c = Ctx(spark, sf)
     return CO.competitors_top(c.edges, c.world.index, config.COMPETITORS_SHOWN).select(
         "p", "pos", "competitor", "n", "s")
+
+
+# ---------------------------------------------------- baselines, rate, counts
+@plan("category_baselines")
+def category_baselines(spark, sf):
+    b = Ctx(spark, sf).baselines
+    return b.select("category", "t", "r", half_up(F.col("m"), 4).alias("m"), half_up(F.col("d"), 4).alias("d"))
+
+
+@plan("category_counts")
+def category_counts(spark, sf):
+    return Ctx(spark, sf).world.company_category.groupBy("category").agg(F.count(F.lit(1)).alias("t"))
+
+
+@plan("funding_rate")
+def funding_rate(spark, sf):
+    return Ctx(spark, sf).rate.select("p", "rate")
+
+
+@plan("funding_rate_mean")
+def funding_rate_mean(spark, sf):
+    return Ctx(spark, sf, baseline="m").rate.select("p", "rate")
+
+
+@plan("index_counts")
+def index_counts(spark, sf):
+    c = Ctx(spark, sf)
+    return TR.index_counts(c.world.index, c.baselines)
+
+
+@plan("build_profiles")
+def build_profiles(spark, sf):
+    c = Ctx(spark, sf)
+    return c.profiles.select(
+        "p", "name", "is_acquired", "total_funding", "num_employees", "age", "num_competitors",
+        "num_offices", "num_products", "total_funding_investments", "num_investments", "num_acquisitions",
+        "num_investors_orgs", "num_investors_persons", "num_funding_rounds", "funding_per_round",
+        "success_all", "rate")
+
+
+# ------------------------------------------------------- predicates, classes
+@plan("allstar")
+def allstar(spark, sf):
+    return TR.flags(Ctx(spark, sf).profiles).select("p", "allstar")
+
+
+@plan("hot")
+def hot(spark, sf):
+    return TR.flags(Ctx(spark, sf).profiles).select("p", "hot")
+
+
+@plan("success_class")
+def success_class(spark, sf):
+    return CA.success_classes(Ctx(spark, sf).profiles).select("p", "class", "subclass")
+
+
+@plan("profile_tag")
+def profile_tag(spark, sf):
+    return CA.success_classes(Ctx(spark, sf).profiles).select("p", "tag")
+
+
+@plan("profile_card")
+def profile_card(spark, sf):
+    return CA.profile_card(Ctx(spark, sf).profiles)
+
+
+# --------------------------------------------------------------------- trends
+@plan("trends_allstar")
+def trends_allstar(spark, sf):
+    c = Ctx(spark, sf)
+    return TR.trend_list(c.profiles, c.world.index, "allstar")
+
+
+@plan("trends_hot")
+def trends_hot(spark, sf):
+    c = Ctx(spark, sf)
+    return TR.trend_list(c.profiles, c.world.index, "hot")
+
+
+@plan("refresh_scores")
+def refresh_scores(spark, sf):
+    c = Ctx(spark, sf)
+    return TR.refresh_scores(c.world.index, c.profiles).select("p", "s")
+
+
+@plan("effective_score")
+def effective_score(spark, sf):
+    c = Ctx(spark, sf)
+    return c.effective.select("category", "p", "s")
+
+
+# -------------------------------------------------------------------- ranking
+@plan("category_topk")
+def category_topk(spark, sf):
+    return Ctx(spark, sf).topk.select("category", "rank", "p", "s")
+
+
+@plan("nlargest")
+def nlargest(spark, sf):
+    return RK.nlargest(Ctx(spark, sf).topk, 3).select("category", "rank", "p", "s")
+
+
+@plan("category_topk_subset")
+def category_topk_subset(spark, sf):
+    c = Ctx(spark, sf)
+    cats = c.world.company.select("cat2").distinct().where(F.col("cat2").isin(*sorted(config.WORLD_TREES)))
+    eff = c.effective.join(cats.withColumnRenamed("cat2", "category"), "category", "left_semi")
+    return RK.category_topk(eff, config.TOP_K).select("category", "rank", "p", "s")
+
+
+# --------------------------------------------------------------------- search
+@plan("search_keys")
+def search_keys(spark, sf):
+    return SE.search_keys(Ctx(spark, sf).world.queries)
+
+
+@plan("name_tokens")
+def name_tokens(spark, sf):
+    return SE.name_tokens(Ctx(spark, sf).world.index)
+
+
+@plan("search_filter")
+def search_filter(spark, sf):
+    c = Ctx(spark, sf)
+    return SE.search_matches(c.world.index, SE.accepted_queries(c.world.queries)).select("query_id", "p")
+
+
+@plan("search_blocked")
+def search_blocked(spark, sf):
+    c = Ctx(spark, sf)
+    return SE.search_matches(c.world.index, SE.accepted_queries(c.world.queries))
+
+
+@plan("keyword_score")
+def keyword_score(spark, sf):
+    return SE.search(Ctx(spark, sf).world.index, Ctx(spark, sf).world.queries).select("query_id", "p", "kscore")
+
+
+@plan("search_rejects")
+def search_rejects(spark, sf):
+    return SE.search_rejects(Ctx(spark, sf).world.queries)
+
+
+@plan("search")
+def search(spark, sf):
+    c = Ctx(spark, sf)
+    return SE.search(c.world.index, c.world.queries).select("query_id", "pos", "p", "n", "i", "s", "score")
+
+
+@plan("search_page")
+def search_page(spark, sf):
+    c = Ctx(spark, sf)
+    r = SE.search(c.world.index, c.world.queries)
+    return r.select("query_id", SE.page_of(F.col("pos")).alias("page"), "pos", "p")
+
+
+@plan("page_counts")
+def page_counts(spark, sf):
+    c = Ctx(spark, sf)
+    return SE.page_counts(SE.search_matches(c.world.index, SE.accepted_queries(c.world.queries)),
+                          c.world.queries)
+
+
+# -------------------------------------------------------------------- related
+@plan("related_competitors")
+def related_competitors(spark, sf):
+    c = Ctx(spark, sf)
+    return RE.competitor_candidates(c.world.lists, c.edges, c.world.index).select(
+        "list_id", "src_pos", "sub", F.col("cand").alias("p"))
+
+
+@plan("related_by_category")
+def related_by_category(spark, sf):
+    c = Ctx(spark, sf)
+    return RE.category_candidates(c.world.lists, c.world.company_category, c.topk).select(
+        "list_id", "src_pos", "sub", "rank", F.col("cand").alias("p"))
+
+
+@plan("related_dedup")
+def related_dedup(spark, sf):
+    c = Ctx(spark, sf)
+    cands = RE.competitor_candidates(c.world.lists, c.edges, c.world.index).unionByName(
+        RE.category_candidates(c.world.lists, c.world.company_category, c.topk))
+    return RE.first_discovery(cands)
+
+
+@plan("related")
+def related(spark, sf):
+    c = Ctx(spark, sf)
+    return RE.related(c.world.lists, c.edges, c.world.index, c.world.company_category, c.topk, c.profiles)
+
+
+# ------------------------------------------------------------------- timeline
+@plan("funding_by_year")
+def funding_by_year(spark, sf):
+    return TL.funding_by_year(Ctx(spark, sf).rounds)
+
+
+@plan("funding_bounds")
+def funding_bounds(spark, sf):
+    c = Ctx(spark, sf)
+    return TL.funding_bounds(c.rounds, c.world.org).select("p", "min_amount", "min_date", "max_year")
+
+
+@plan("funding_scale")
+def funding_scale(spark, sf):
+    c = Ctx(spark, sf)
+    return TL.funding_scale(TL.funding_bounds(c.rounds, c.world.org)).select("p", "pow")
+
+
+@plan("funding_timeline")
+def funding_timeline(spark, sf):
+    c = Ctx(spark, sf)
+    return TL.funding_timeline(c.rounds, c.world.org)
+
+
+@plan("funding_domain")
+def funding_domain(spark, sf):
+    c = Ctx(spark, sf)
+    return TL.funding_domain(c.rounds, c.world.org, config.WORLD_AS_OF)

@@ -55,3 +55,17 @@ class Ctx:
     @cached_property
     def edges(self) -> DataFrame:
         return FE.competitor_edges(self.world)
+
+    @cached_property
+    def effective(self) -> DataFrame:
+        from ..operators import ranking as RK
+        return RK.effective_category_scores(self.world.company_category, self.features, self.scores)
+
+    @cached_property
+    def topk(self) -> DataFrame:
+        from ..operators import ranking as RK
+        return RK.category_topk(self.effective, config.TOP_K)
+
+    @cached_property
+    def rounds(self) -> DataFrame:
+        return FE.funding_rounds(self.world)

@@ -206,5 +206,239 @@ SELECTS: dict[str, str] = {
 }
 
 
+
+def _commas(x: str) -> str:
+    return (f"CASE WHEN TRY_CAST({x} AS BIGINT) IS NOT NULL THEN format('{{:,}}', TRY_CAST({x} AS BIGINT)) "
+            f"ELSE {x} END")
+
+
+def _money(x: str) -> str:
+    a = f"abs({x})"
+    scaled = f"{a}"
+    suffix = "''"
+    for thr, suf in config.MONEY_SUFFIXES:
+        scaled = f"CASE WHEN {a} >= {thr!r} THEN {a} / {thr!r} ELSE {scaled} END"
+        suffix = f"CASE WHEN {a} >= {thr!r} THEN '{suf}' ELSE {suffix} END"
+    body = f"('$ ' || printf('%.2f', floor(({scaled}) * 100.0 + 0.5) / 100.0) || {suffix})"
+    return f"CASE WHEN {x} IS NULL THEN NULL WHEN {x} < 0 THEN '(' || {body} || ')' ELSE {body} END"
+
+
+def _class_sql() -> str:
+    def c(s, sub=None):
+        return f"{{'s': '{s}', 'c': {repr(sub) if sub else 'NULL::VARCHAR'}}}"
+    acq_parts = []
+    for bound, name in config.ACQUIRED_CLASS_BANDS:
+        acq_parts.append(f"WHEN success_all < {bound!r} THEN {c(name)}" if bound is not None else f"ELSE {c(name)}")
+    acq = "CASE " + " ".join(acq_parts) + " END"
+
+    def bands(l_, m_, h_):
+        return (f"CASE WHEN coalesce(rate < -3, false) THEN {l_} "
+                f"WHEN coalesce(rate >= -3 AND rate < 3, false) THEN {m_} ELSE {h_} END")
+    young = "coalesce(age, 0) < 42"
+    other = (f"CASE WHEN {young} AND success_all < 0.15 THEN {bands(c('ok', 'incubated'), c('rising'), c('hot'))} "
+             f"WHEN {young} THEN {bands(c('rising', 'needs-funding'), c('hot'), c('very-hot'))} "
+             f"WHEN success_all < 0.15 THEN {bands(c('ok'), c('ok'), c('rising'))} "
+             f"WHEN success_all < 0.5 THEN {bands(c('ok'), c('rising'), c('hot'))} "
+             f"ELSE {bands(c('rising'), c('hot'), c('very-hot'))} END")
+    return f"CASE WHEN is_acquired OR num_acquisitions > 0 THEN {acq} ELSE {other} END"
+
+
+_KEYS = "string_split(lower(q), ' ')"
+_TOKENS = "string_split(regexp_replace(lower(n), '\\W+', ' ', 'g'), ' ')"
+
+MORE_CTES = {
+    "w_mf": f"""
+  SELECT k, CASE WHEN {_truthy('total_funding')} AND {_truthy('age')}
+                 THEN total_funding / CAST(greatest(age - 6, 1) AS DOUBLE) END AS mf FROM w_feat""",
+    "w_baseline": f"""
+  SELECT category, count(*) AS t, max(mf) AS r, avg(mf) AS m, stddev_samp(mf) AS d
+  FROM w_company_category cc LEFT JOIN w_mf ON w_mf.k = cc.k
+  GROUP BY category HAVING count(*) > {config.WORLD_MIN_CATEGORY_SIZE}""",
+    "w_rate": """
+  SELECT f.p, f.k, CASE WHEN b.d IS NULL OR b.d = 0 THEN NULL
+                        ELSE CAST(floor((m.mf - b.{base}) / b.d + 0.5) AS BIGINT) END AS rate
+  FROM w_feat f LEFT JOIN w_mf m ON m.k = f.k LEFT JOIN w_baseline b ON b.category = f.cat2""",
+    "w_prof": """
+  SELECT f.*, s.success_all, r.rate FROM w_feat f JOIN w_success s ON s.k = f.k JOIN w_rate r ON r.k = f.k""",
+    "w_flags": f"""
+  SELECT p, (is_acquired OR num_acquisitions > 0) AND success_all >= {config.ALLSTAR_MIN_SUCCESS} AS allstar,
+    NOT (is_acquired OR num_acquisitions > 0) AND coalesce(
+      (coalesce(age, 0) < 42 AND success_all < 0.15 AND rate >= 3)
+      OR (coalesce(age, 0) < 42 AND success_all >= 0.15 AND rate >= -3)
+      OR (coalesce(age, 0) >= 42 AND success_all >= 0.15 AND success_all < 0.5 AND rate >= 3)
+      OR (coalesce(age, 0) >= 42 AND success_all >= 0.5 AND rate >= -3), false) AS hot
+  FROM w_prof""",
+    "w_class": f"SELECT p, is_acquired, num_acquisitions, {_class_sql()} AS k FROM w_prof",
+    "w_eff": """
+  SELECT cc.category, cc.p, cc.k,
+    CASE WHEN f.k IS NOT NULL THEN sc.score5 ELSE cc.s END AS s
+  FROM w_company_category cc LEFT JOIN w_feat f ON f.k = cc.k
+  LEFT JOIN w_score5 sc ON sc.k = cc.k AND sc.category = cc.category""",
+    "w_topk": f"""
+  SELECT * FROM (SELECT category, CAST(row_number() OVER (PARTITION BY category ORDER BY s DESC NULLS LAST, p)
+                                        AS BIGINT) AS rank, p, s FROM w_eff) WHERE rank <= {config.TOP_K}""",
+    "w_q_acc": f"SELECT * FROM w_query WHERE length(q) >= {config.SEARCH_MIN_QUERY_LEN}",
+    "w_keys": f"""
+  SELECT query_id, CAST(generate_subscripts(ks, 1) - 1 AS INT) AS pos, unnest(ks) AS key
+  FROM (SELECT query_id, {_KEYS} AS ks FROM w_query)""",
+    "w_tokens": f"""
+  SELECT p, CAST(generate_subscripts(ts, 1) - 1 AS INT) AS pos, unnest(ts) AS token, len(ts) AS ntok
+  FROM (SELECT p, {_TOKENS} AS ts FROM w_company)""",
+    "w_match": f"""
+  SELECT kk.query_id, c.p, CAST(min(kk.pos) AS INT) AS kpos
+  FROM w_keys kk JOIN w_q_acc a ON a.query_id = kk.query_id
+  JOIN w_company c ON length(kk.key) >= {config.SEARCH_MIN_KEY_LEN} AND contains(lower(c.n), kk.key)
+  GROUP BY kk.query_id, c.p""",
+    "w_kw": """
+  SELECT m.query_id, m.p,
+    CAST(sum(CASE WHEN t.token = kk.key THEN 10 + CASE WHEN kk.pos = t.pos THEN 3 ELSE -1 END
+                  WHEN contains(t.token, kk.key) THEN 3 + CASE WHEN kk.pos = t.pos THEN 2 ELSE 0 END
+                  ELSE -1 END)
+         - abs(max(t.ntok) - (SELECT count(*) FROM w_keys k2 WHERE k2.query_id = m.query_id)) AS BIGINT) AS kscore
+  FROM w_match m JOIN w_keys kk ON kk.query_id = m.query_id JOIN w_tokens t ON t.p = m.p
+  GROUP BY m.query_id, m.p""",
+    "w_search": """
+  SELECT w.query_id, CAST(row_number() OVER (PARTITION BY w.query_id ORDER BY w.kscore + 10 * c.s DESC, w.p)
+                          AS BIGINT) AS pos,
+    w.p, c.n, c.i, c.s, w.kscore, w.kscore + 10 * c.s AS score
+  FROM w_kw w JOIN w_company c ON c.p = w.p""",
+    "w_rel_comp": """
+  SELECT l.list_id, l.pos AS src_pos, 0 AS side, CAST(e.pos AS BIGINT) AS sub, CAST(0 AS BIGINT) AS rank,
+    e.competitor AS p
+  FROM w_list l JOIN w_edges e ON e.p = l.p
+  WHERE e.competitor IN (SELECT p FROM w_company)
+    AND NOT EXISTS (SELECT 1 FROM w_list l2 WHERE l2.list_id = l.list_id AND l2.p = e.competitor)""",
+    "w_rel_cat": """
+  SELECT l.list_id, l.pos AS src_pos, 1 AS side, CAST(cc.ord AS BIGINT) AS sub, t.rank, t.p
+  FROM w_list l JOIN w_company_category cc ON cc.p = l.p JOIN w_topk t ON t.category = cc.category
+  WHERE NOT EXISTS (SELECT 1 FROM w_list l2 WHERE l2.list_id = l.list_id AND l2.p = t.p)""",
+    "w_rel_first": """
+  SELECT list_id, p, src_pos, side, sub, rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY list_id, p ORDER BY src_pos, side, sub, rank) AS rn
+    FROM (SELECT * FROM w_rel_comp UNION ALL SELECT * FROM w_rel_cat)) WHERE rn = 1""",
+    "w_rel_ranked": f"""
+  SELECT f.list_id, f.side, c.p, c.n, c.i, c.s, coalesce(s.success_all, c.s) AS score,
+    CAST(row_number() OVER (PARTITION BY f.list_id, f.side ORDER BY coalesce(s.success_all, c.s) DESC, c.p)
+         AS BIGINT) AS rank
+  FROM w_rel_first f JOIN w_company c ON c.p = f.p LEFT JOIN w_success s ON s.p = f.p""",
+    "w_rel_ncomp": f"""
+  SELECT list_id, least(count(*), {config.RELATED_MAX_COMPETITORS}) AS n_comp
+  FROM w_rel_ranked WHERE side = 0 AND rank <= {config.RELATED_TOTAL} GROUP BY list_id""",
+    "w_rounds_f": """
+  SELECT o.p, r.seq, r.announced_on AS d, r.money AS a FROM w_round r JOIN w_org o ON o.k = r.k
+  WHERE r.money IS NOT NULL AND r.announced_on IS NOT NULL""",
+    "w_fy": """
+  SELECT p, year(d) AS year, CAST(sum(CAST(a AS DECIMAL(18,2))) AS DOUBLE) AS amount
+  FROM w_rounds_f GROUP BY p, year(d)""",
+    "w_fb": """
+  SELECT y.p, y.min_amount, y.max_amount, y.min_year, y.max_year, least(o.founded_on, r.first_round) AS min_date,
+    CAST(CASE WHEN y.min_amount >= 1 THEN length(CAST(CAST(floor(y.min_amount) AS BIGINT) AS VARCHAR)) - 1
+              ELSE 0 END AS INT) AS pow
+  FROM (SELECT p, min(amount) AS min_amount, max(amount) AS max_amount, min(year) AS min_year,
+               max(year) AS max_year FROM w_fy GROUP BY p) y
+  JOIN (SELECT p, min(d) AS first_round FROM w_rounds_f GROUP BY p) r ON r.p = y.p
+  LEFT JOIN w_org o ON o.p = y.p""",
+}
+ALL_CTES.update(MORE_CTES)
+
+_KEEP_REL = (f"(side = 0 AND rank <= {config.RELATED_MAX_COMPETITORS}) OR "
+             f"(side = 1 AND rank <= {config.RELATED_TOTAL} - coalesce(n_comp, 0))")
+
+SELECTS.update({
+    "category_baselines": "SELECT category, t, r, floor(m * 10000.0 + 0.5) / 10000.0 AS m, "
+                          "floor(d * 10000.0 + 0.5) / 10000.0 AS d FROM w_baseline",
+    "category_counts": "SELECT category, count(*) AS t FROM w_company_category GROUP BY category",
+    "funding_rate": "SELECT p, rate FROM w_rate",
+    "funding_rate_mean": "SELECT p, rate FROM w_rate_m",
+    "index_counts": "SELECT (SELECT count(*) FROM w_company) AS indexed_count, "
+                    "(SELECT count(*) FROM w_baseline) AS cat_count",
+    "build_profiles": """SELECT p, name, is_acquired, total_funding, num_employees, age, num_competitors,
+        num_offices, num_products, total_funding_investments, num_investments, num_acquisitions,
+        num_investors_orgs, num_investors_persons, num_funding_rounds, funding_per_round, success_all, rate
+        FROM w_prof""",
+    "allstar": "SELECT p, allstar FROM w_flags",
+    "hot": "SELECT p, hot FROM w_flags",
+    "success_class": "SELECT p, k.s AS class, k.c AS subclass FROM w_class",
+    "profile_tag": """SELECT p, CASE WHEN is_acquired THEN 'Acquired'
+        WHEN num_acquisitions = 0 THEN replace(k.s, '-', ' ')
+        WHEN k.c IS NOT NULL THEN replace(k.c, '-', ' ') END AS tag FROM w_class""",
+    "profile_card": f"""SELECT p,
+        CASE WHEN coalesce(homepage_url, '') <> '' THEN
+          lower(regexp_extract(homepage_url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]*)', 1)) END AS website,
+        CASE WHEN founded_on IS NOT NULL THEN CAST(year(founded_on) AS VARCHAR) END AS founded_year,
+        CASE WHEN {_truthy('age')} THEN age END AS exit_age,
+        CASE WHEN loc_city IS NOT NULL OR loc_region IS NOT NULL
+             THEN coalesce(loc_city, '') || ', ' || coalesce(loc_region, '') END AS location,
+        CASE WHEN num_employees IS NULL OR num_employees = '' THEN NULL
+             WHEN len(string_split(num_employees, '-')) > 1
+             THEN {_commas("string_split(num_employees, '-')[1]")} || ' - ' ||
+                  {_commas("string_split(num_employees, '-')[2]")}
+             ELSE {_commas('num_employees')} END AS employees,
+        CASE WHEN floor(success_all * {config.DISPLAY_SCORE_FACTOR} + 0.5) <> 0
+             THEN CAST(floor(success_all * {config.DISPLAY_SCORE_FACTOR} + 0.5) AS BIGINT) END AS score_display,
+        CASE WHEN NOT {_truthy('total_funding')} AND total_funding_investments = 0 THEN 'Total funding'
+             WHEN NOT {_truthy('total_funding')} THEN 'Total investments' ELSE 'Total funding' END AS money_label,
+        CASE WHEN NOT {_truthy('total_funding')} AND total_funding_investments = 0 THEN NULL
+             WHEN NOT {_truthy('total_funding')} THEN {_money('total_funding_investments')}
+             ELSE {_money('total_funding')} END AS money,
+        CASE WHEN {_truthy('total_funding')} AND {_truthy('age')} AND age <> 6
+             THEN {_money('CAST(floor(total_funding / CAST(age - 6 AS DOUBLE) + 0.5) AS DOUBLE)')} END
+          AS monthly_rate
+        FROM w_prof""",
+    "trends_allstar": """SELECT c.p, c.n, c.i, pr.success_all AS s,
+        CAST(row_number() OVER (ORDER BY pr.success_all DESC, c.p) AS BIGINT) AS pos
+        FROM w_flags fl JOIN w_company c ON c.p = fl.p JOIN w_prof pr ON pr.p = fl.p WHERE fl.allstar""",
+    "trends_hot": """SELECT c.p, c.n, c.i, pr.success_all AS s,
+        CAST(row_number() OVER (ORDER BY pr.success_all DESC, c.p) AS BIGINT) AS pos
+        FROM w_flags fl JOIN w_company c ON c.p = fl.p JOIN w_prof pr ON pr.p = fl.p WHERE fl.hot""",
+    "refresh_scores": """SELECT c.p, coalesce(s.success_all, c.s) AS s
+        FROM w_company c LEFT JOIN w_success s ON s.p = c.p""",
+    "effective_score": "SELECT category, p, s FROM w_eff",
+    "category_topk": "SELECT category, rank, p, s FROM w_topk",
+    "nlargest": "SELECT category, rank, p, s FROM w_topk WHERE rank <= 3",
+    "category_topk_subset": "SELECT category, rank, p, s FROM w_topk WHERE category IN ("
+                            + ", ".join(f"'{c}'" for c in sorted(config.WORLD_TREES)) + ")",
+    "search_keys": "SELECT query_id, pos, key FROM w_keys",
+    "name_tokens": "SELECT p, pos, token FROM w_tokens",
+    "search_filter": "SELECT query_id, p FROM w_match",
+    "search_blocked": "SELECT query_id, p, kpos FROM w_match",
+    "keyword_score": "SELECT query_id, p, kscore FROM w_kw",
+    "search_rejects": f"""SELECT query_id, q, CASE WHEN length(q) = 0 THEN 'empty' ELSE 'too_short' END AS reason
+        FROM w_query WHERE length(q) < {config.SEARCH_MIN_QUERY_LEN}""",
+    "search": "SELECT query_id, pos, p, n, i, s, score FROM w_search",
+    "search_page": f"SELECT query_id, CAST(ceil(pos / {config.PAGE_SIZE}) AS BIGINT) AS page, pos, p FROM w_search",
+    "page_counts": f"""SELECT a.query_id, CAST(coalesce(m.n, 0) AS BIGINT) AS n_results,
+        CAST(ceil(coalesce(m.n, 0) / {config.PAGE_SIZE}) AS BIGINT) AS n_pages
+        FROM w_q_acc a LEFT JOIN (SELECT query_id, count(*) AS n FROM w_match GROUP BY query_id) m
+        ON m.query_id = a.query_id""",
+    "related_competitors": "SELECT list_id, src_pos, sub, p FROM w_rel_comp",
+    "related_by_category": "SELECT list_id, src_pos, sub, rank, p FROM w_rel_cat",
+    "related_dedup": "SELECT list_id, p, src_pos, side, sub, rank FROM w_rel_first",
+    "related": f"""SELECT r.list_id, CASE WHEN r.side = 0 THEN 'competitor' ELSE 'category' END AS side,
+        r.rank, r.p, r.n, r.i, r.s, r.score
+        FROM w_rel_ranked r LEFT JOIN w_rel_ncomp nc ON nc.list_id = r.list_id
+        WHERE {_KEEP_REL.replace('n_comp', 'nc.n_comp').replace('side', 'r.side').replace('rank', 'r.rank')}""",
+    "funding_by_year": "SELECT p, year, amount FROM w_fy",
+    "funding_bounds": "SELECT p, min_amount, min_date, max_year FROM w_fb",
+    "funding_scale": "SELECT p, pow FROM w_fb",
+    "funding_timeline": """
+        SELECT y.p, make_date(CAST(y.year AS INT), 1, 1) AS d, y.amount / power(10.0, b.pow - 2) AS a
+        FROM w_fy y JOIN w_fb b ON b.p = y.p
+        UNION ALL
+        SELECT p, min_date AS d, 0.0 AS a FROM w_fb WHERE min_date < make_date(CAST(min_year AS INT), 1, 1)""",
+    "funding_domain": f"""
+        SELECT p,
+          make_date(CAST(year(CASE WHEN min_date < make_date(CAST(min_year AS INT), 1, 1) THEN min_date
+                                   ELSE make_date(CAST(min_year AS INT), 1, 1) END) - 1 AS INT), 1, 1) AS x_from,
+          least(make_date(CAST(max_year + 4 AS INT), 1, 1), {AS_OF}) AS x_to,
+          CASE WHEN min_date < make_date(CAST(min_year AS INT), 1, 1) THEN 0.0
+               ELSE min_amount / power(10.0, pow - 2) END AS y_from,
+          max_amount / power(10.0, pow - 2) AS y_to
+        FROM w_fb""",
+})
+ALL_CTES["w_rate_m"] = ALL_CTES["w_rate"].replace("{base}", "m")
+ALL_CTES["w_rate"] = ALL_CTES["w_rate"].replace("{base}", "r")
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: with_world(sel) for name, sel in SELECTS.items()}
