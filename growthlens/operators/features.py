@@ -89,6 +89,8 @@ def profile_features(world: World, as_of: _dt.date | str | None = config.WORLD_A
     has_loc = has_hq | F.col("last_office_city").isNotNull()
     return df.select(
         "p", "k", "s", "cat1", "cat2",
+        F.array("cat1", "cat2").alias("c"),
+        F.array(F.col("cat2"), F.lit(config.WORLD_EXTRA_CATEGORY)).alias("doc_categories"),
         F.col("n").alias("name"),
         F.col("n").alias("description"),
         (F.coalesce(F.col("n_acquired_by"), F.lit(0)) > 0).alias("is_acquired"),
@@ -152,5 +154,5 @@ def vector_array(features: DataFrame) -> DataFrame:
     """Feature vector as one ``array<double>`` (slot 1 null) plus ``emp``."""
     slots = [F.lit(None).cast("double") if i == config.EMPLOYEES_SLOT else F.col(n).cast("double")
              for i, n in enumerate(config.VECTOR_SLOTS)]
-    return features.select("p", "k", "s", "cat1", "cat2", F.array(*slots).alias("vec"),
+    return features.select("p", "k", "s", "c", "doc_categories", F.array(*slots).alias("vec"),
                            F.coalesce(F.col("num_employees"), F.lit("")).alias("emp"))

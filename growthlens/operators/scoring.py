@@ -24,8 +24,7 @@ MAX_BROADCAST_CATEGORIES = 100_000
 def eligible_categories(features: DataFrame) -> DataFrame:
     """M3: document categories that are also index categories, long form
     (p, k, pos, category)."""
-    doc = F.array(F.col("cat2"), F.lit(config.WORLD_EXTRA_CATEGORY))
-    idx = F.array(F.col("cat1"), F.col("cat2"))
+    doc, idx = F.col("doc_categories"), F.col("c")
     return (features.select("p", "k", F.posexplode(F.filter(doc, lambda c: F.array_contains(idx, c)))
                             .alias("pos", "category"))
             .select("p", "k", F.col("pos").cast("int").alias("pos"), "category"))
@@ -42,8 +41,7 @@ def score_categories(features: DataFrame, packed: DataFrame) -> DataFrame:
     """p, k, category, leaf, n0, n1, reason, score (unrounded), score5."""
     vec = vector_array(features)
     elig = (vec.select("p", "k", "s", "vec", "emp",
-                       F.filter(F.array(F.col("cat2"), F.lit(config.WORLD_EXTRA_CATEGORY)),
-                                lambda c: F.array_contains(F.array(F.col("cat1"), F.col("cat2")), c))
+                       F.filter(F.col("doc_categories"), lambda c: F.array_contains(F.col("c"), c))
                        .alias("_cats"))
             .select("p", "k", "s", "vec", "emp", F.explode("_cats").alias("category")))
     pred = T.predict(elig, packed)

@@ -11,8 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import config
+from .. import config, schemas
 from ..functions.numeric import half_up
+from ..sources import documents as DOC
+from ..sources import keyed_json as KJ
+from ..sources import profile_store as PS
+from ..sources import ranks_io as RIO
 from ..operators import cards as CA
 from ..operators import competitors as CO
 from ..operators import features as FE
@@ -354,3 +358,120 @@ def funding_timeline(spark, sf):
 def funding_domain(spark, sf):
     c = Ctx(spark, sf)
     return TL.funding_domain(c.rounds, c.world.org, config.WORLD_AS_OF)
+
+
+# ------------------------------------------------------------ sources, sinks
+def _scratch(spark, name):
+    from ..session import scratch_path
+    return scratch_path(spark, name)
+
+
+@plan("load_companies")
+def load_companies(spark, sf):
+    c = Ctx(spark, sf)
+    path = KJ.write_keyed(c.world.index, "p", ["n", "i", "s", "c"], _scratch(spark, "index"))
+    df = KJ.read_keyed(spark, path, schemas.INDEX_ENTRY, "p")
+    return df.select("p", "n", "i", "s", F.array_join("c", "|").alias("categories"))
+
+
+@plan("load_category_stats")
+def load_category_stats(spark, sf):
+    c = Ctx(spark, sf)
+    path = KJ.write_keyed(c.baselines, "category", ["t", "r", "m", "d"], _scratch(spark, "category_stats"))
+    df = KJ.read_keyed(spark, path, schemas.CATEGORY_STATS, "category")
+    return df.select("category", "t", "r", half_up(F.col("m"), 4).alias("m"), half_up(F.col("d"), 4).alias("d"))
+
+
+def _ingested(spark, sf):
+    c = Ctx(spark, sf)
+    path = DOC.write_document_lines(DOC.build_documents(c.world), _scratch(spark, "orgs"),
+                                    config.WORLD_CORRUPT_EVERY)
+    return c, DOC.split_documents(DOC.read_documents(spark, path))
+
+
+@plan("ingest_orgs")
+def ingest_orgs(spark, sf):
+    _, (good, _q) = _ingested(spark, sf)
+    return good.select("p", F.col("data.properties.founded_on").alias("founded_on"),
+                       F.col("data.properties.total_funding_usd").alias("total_funding_usd"),
+                       F.col("data.properties.num_employees_min").alias("emp_min"),
+                       F.col("data.properties.num_employees_max").alias("emp_max"))
+
+
+@plan("quarantine")
+def quarantine(spark, sf):
+    _, (_g, q) = _ingested(spark, sf)
+    return q
+
+
+@plan("doc_features")
+def doc_features(spark, sf):
+    _, (good, _q) = _ingested(spark, sf)
+    f = DOC.document_features(good)
+    return f.select("p", "is_acquired", "loc_city", "num_employees", "age", "num_competitors", "num_offices",
+                    "num_products", "total_funding_investments", "num_investments", "num_acquisitions",
+                    "num_investors_orgs", "num_investors_persons", "num_funding_rounds", "funding_per_round",
+                    F.array_join("competitors", ",").alias("competitors"),
+                    F.size("funding_rounds").cast("bigint").alias("n_rounds_dated"),
+                    F.array_join("doc_categories", "|").alias("doc_categories"))
+
+
+@plan("doc_profiles")
+def doc_profiles(spark, sf):
+    """Profiles scored from ingested documents (S4 -> F -> M2..M6 -> R1)."""
+    c, (good, _q) = _ingested(spark, sf)
+    feats = DOC.with_index(DOC.document_features(good), c.world.index)
+    prof = SC.build_profiles(feats, c.packed_trees, c.baselines)
+    return prof.select("p", "age", "success_all", "rate")
+
+
+@plan("has_profile")
+def has_profile(spark, sf):
+    c = Ctx(spark, sf)
+    path = PS.save_profiles(c.profiles.select("p", "age", "success_all", "rate"), _scratch(spark, "profiles"))
+    return PS.has_profile(c.world.index, PS.load_profiles(spark, path))
+
+
+@plan("profile_lookup")
+def profile_lookup(spark, sf):
+    c = Ctx(spark, sf)
+    path = PS.save_profiles(c.profiles.select("p", "age", "success_all", "rate"), _scratch(spark, "profiles"))
+    lookups = c.world.competitor.select(F.col("competitor").alias("p")).distinct()
+    return PS.profile_lookup(lookups, PS.load_profiles(spark, path), ["age", "success_all", "rate"])
+
+
+UPSERT_AS_OF = "2002-09-01"
+
+
+@plan("profile_upsert")
+def profile_upsert(spark, sf):
+    c = Ctx(spark, sf)
+    stored_path = PS.save_profiles(c.features.select("p", F.lit(1).alias("fetched_at"), "age"),
+                                   _scratch(spark, "profiles_v1"))
+    later = Ctx(spark, sf, as_of=UPSERT_AS_OF)
+    changed = c.rounds.where(F.year("d") == 2001).select("p").distinct()
+    updates = later.features.join(changed, "p", "left_semi").select("p", F.lit(2).alias("fetched_at"), "age")
+    merged = PS.upsert(PS.load_profiles(spark, stored_path), updates)
+    out = PS.save_profiles(merged, _scratch(spark, "profiles_v2"))
+    return PS.load_profiles(spark, out).select("p", F.col("fetched_at").cast("int").alias("fetched_at"), "age")
+
+
+@plan("ranks_export")
+def ranks_export(spark, sf):
+    c = Ctx(spark, sf)
+    path = RIO.export_ranks(c.topk, _scratch(spark, "ranks"))
+    return spark.read.text(path)
+
+
+@plan("ranks_import")
+def ranks_import(spark, sf):
+    c = Ctx(spark, sf)
+    path = RIO.export_ranks(c.topk, _scratch(spark, "ranks"))
+    return RIO.import_ranks(spark, path)
+
+
+@plan("meta_lookup")
+def meta_lookup(spark, sf):
+    c = Ctx(spark, sf)
+    lookups = c.world.competitor.select(F.col("competitor").alias("p")).distinct()
+    return PS.meta_lookup(lookups, c.world.index)

@@ -440,5 +440,37 @@ ALL_CTES["w_rate_m"] = ALL_CTES["w_rate"].replace("{base}", "m")
 ALL_CTES["w_rate"] = ALL_CTES["w_rate"].replace("{base}", "r")
 
 
+SELECTS.update({
+    "load_companies": "SELECT p, n, i, s, cat1 || '|' || cat2 AS categories FROM w_company",
+    "load_category_stats": SELECTS["category_baselines"],
+    "ingest_orgs": f"""SELECT p, founded_on, total_funding_usd, emp_min, emp_max FROM w_org
+        WHERE k % {config.WORLD_CORRUPT_EVERY} <> 0""",
+    "quarantine": f"""SELECT 'malformed_json' AS reason, 'not json' AS raw FROM w_org
+        WHERE k % {config.WORLD_CORRUPT_EVERY} = 0""",
+    "doc_features": f"""SELECT f.p, f.is_acquired, f.loc_city, f.num_employees, f.age, f.num_competitors,
+        f.num_offices, f.num_products, f.total_funding_investments, f.num_investments, f.num_acquisitions,
+        f.num_investors_orgs, f.num_investors_persons, f.num_funding_rounds, f.funding_per_round,
+        coalesce((SELECT string_agg(e.competitor, ',' ORDER BY e.pos) FROM w_edges e WHERE e.p = f.p), '')
+          AS competitors,
+        (SELECT count(*) FROM w_rounds_f r WHERE r.p = f.p) AS n_rounds_dated,
+        f.cat2 || '|{config.WORLD_EXTRA_CATEGORY}' AS doc_categories
+        FROM w_feat f WHERE f.k % {config.WORLD_CORRUPT_EVERY} <> 0""",
+    "doc_profiles": f"""SELECT p, age, success_all, rate FROM w_prof
+        WHERE k % {config.WORLD_CORRUPT_EVERY} <> 0""",
+    "has_profile": "SELECT c.p, o.p IS NOT NULL AS has_profile FROM w_company c LEFT JOIN w_org o ON o.p = c.p",
+    "profile_lookup": """SELECT l.p, pr.age, pr.success_all, pr.rate
+        FROM (SELECT DISTINCT competitor AS p FROM w_competitor) l LEFT JOIN w_prof pr ON pr.p = l.p""",
+    "profile_upsert": f"""SELECT f.p,
+        CASE WHEN ch.p IS NOT NULL THEN 2 ELSE 1 END AS fetched_at,
+        CASE WHEN ch.p IS NULL THEN f.age WHEN f.founded_on IS NULL THEN NULL
+             ELSE {_months('f.founded_on', "coalesce(q.acquired_after, f.closed_on, DATE '2002-09-01')")} END AS age
+        FROM w_feat f LEFT JOIN w_acq q ON q.k = f.k
+        LEFT JOIN (SELECT DISTINCT p FROM w_rounds_f WHERE year(d) = 2001) ch ON ch.p = f.p""",
+    "ranks_import": "SELECT category, rank, p, s FROM w_topk",
+    "meta_lookup": """SELECT l.p, c.n, c.i, c.s
+        FROM (SELECT DISTINCT competitor AS p FROM w_competitor) l LEFT JOIN w_company c ON c.p = l.p""",
+})
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: with_world(sel) for name, sel in SELECTS.items()}
