@@ -475,3 +475,26 @@ def meta_lookup(spark, sf):
     c = Ctx(spark, sf)
     lookups = c.world.competitor.select(F.col("competitor").alias("p")).distinct()
     return PS.meta_lookup(lookups, c.world.index)
+
+
+# ------------------------------------------------------------------ streaming
+@plan("topk_incremental")
+def topk_incremental(spark, sf):
+    from ..streaming import topk as ST
+    return ST.run_reference_topk(spark, sf, config.TOP_K)
+
+
+@plan("topk_exact_latest")
+def topk_exact_latest(spark, sf):
+    from ..streaming import topk as ST
+    return ST.run_exact_topk(spark, sf, config.TOP_K).select("category", "rank", "p", "s")
+
+
+@plan("stream_profiles")
+def stream_profiles(spark, sf):
+    from ..streaming import profiles as SP
+    c = Ctx(spark, sf)
+    landing = DOC.write_document_lines(DOC.build_documents(c.world), _scratch(spark, "landing"),
+                                       config.WORLD_CORRUPT_EVERY)
+    prof, _q = SP.run_profile_stream(spark, landing, c.world.index, c.packed_trees, c.baselines)
+    return prof.select("p", "age", "success_all", "rate")

@@ -472,5 +472,16 @@ SELECTS.update({
 })
 
 
+SELECTS.update({
+    "topk_exact_latest": f"""SELECT category, rank, p, s FROM (
+        SELECT category, p, s, CAST(row_number() OVER (PARTITION BY category ORDER BY s DESC NULLS LAST, p)
+                                    AS BIGINT) AS rank
+        FROM (SELECT event_type AS category, 'u' || CAST(user_id AS VARCHAR) AS p,
+                     arg_max(value, struct_pack(a := ts, b := event_id)) AS s
+              FROM events GROUP BY event_type, user_id)) WHERE rank <= {config.TOP_K}""",
+    "stream_profiles": SELECTS["doc_profiles"],
+})
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: with_world(sel) for name, sel in SELECTS.items()}
