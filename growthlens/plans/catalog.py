@@ -498,3 +498,49 @@ def stream_profiles(spark, sf):
                                        config.WORLD_CORRUPT_EVERY)
     prof, _q = SP.run_profile_stream(spark, landing, c.world.index, c.packed_trees, c.baselines)
     return prof.select("p", "age", "success_all", "rate")
+
+
+# ------------------------------------------------------- trees: train / load
+def _trained_tree_folder(spark, sf):
+    from ..operators import training as TRN
+    c = Ctx(spark, sf)
+    trees = TRN.train_trees(TRN.training_rows(c.features, c.world.company_category))
+    return TRN.write_tree_files(spark, trees, _scratch(spark, "trees"))
+
+
+@plan("train_trees")
+def train_trees(spark, sf):
+    from ..operators import training as TRN
+    from ..operators import trees as T
+    return T.tree_summary(T.pack_trees(TRN.load_tree_texts(spark, _trained_tree_folder(spark, sf))))
+
+
+@plan("load_trees")
+def load_trees(spark, sf):
+    from ..operators import training as TRN
+    return TRN.load_tree_texts(spark, _trained_tree_folder(spark, sf)).select(
+        "category", F.length("json").alias("json_chars"))
+
+
+@plan("tree_nodes")
+def tree_nodes(spark, sf):
+    from ..operators import training as TRN
+    from ..operators import trees as T
+    return T.tree_nodes(T.pack_trees(TRN.load_tree_texts(spark, _trained_tree_folder(spark, sf))))
+
+
+@plan("tree_summary")
+def tree_summary(spark, sf):
+    from ..operators import training as TRN
+    from ..operators import trees as T
+    return T.tree_summary(T.pack_trees(TRN.load_tree_texts(spark, _trained_tree_folder(spark, sf))))
+
+
+@plan("tree_predict_trained")
+def tree_predict_trained(spark, sf):
+    """Scoring with the trees trained on the world (S3 -> M1 -> M2 -> M4)."""
+    from ..operators import training as TRN
+    from ..operators import trees as T
+    c = Ctx(spark, sf)
+    packed = T.pack_trees(TRN.load_tree_texts(spark, _trained_tree_folder(spark, sf)))
+    return SC.score_categories(c.features, packed).select("p", "category", "leaf", "n0", "n1", "reason", "score5")
