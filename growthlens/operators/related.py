@@ -14,10 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
-from ..sources.tables import bounded_broadcast
 from .ranking import top_k
 
-MAX_BROADCAST_TOPK = 2_000_000
 SIDE_COMPETITOR, SIDE_CATEGORY = 0, 1
 
 
@@ -37,11 +35,11 @@ def competitor_candidates(lists: DataFrame, edges: DataFrame, index: DataFrame)
 
 def category_candidates(lists: DataFrame, company_category: DataFrame, topk: DataFrame) -> DataFrame:
     """Top-k companies of each list member's index categories, not on
-    the original list.  The top-k side holds at most k rows per category and
-    is broadcast after a row-count check."""
+    the original list.  The top-k side holds at most k rows per category;
+    AQE broadcasts it once its runtime size is known to be small."""
     cats = (lists.select("list_id", F.col("pos").alias("src_pos"), "p")
             .join(company_category.select("p", F.col("ord").cast("bigint").alias("sub"), "category"), "p").drop("p"))
-    tk = bounded_broadcast(topk.select("category", "rank", F.col("p").alias("cand")), MAX_BROADCAST_TOPK)
+    tk = topk.select("category", "rank", F.col("p").alias("cand"))
     c = cats.join(tk, "category").drop("category")
     return (c.join(lists.select("list_id", F.col("p").alias("cand")), ["list_id", "cand"], "left_anti")
             .select("list_id", "src_pos", F.lit(SIDE_CATEGORY).alias("side"), "sub", "rank", "cand"))

@@ -14,12 +14,9 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.numeric import half_up_long, significant, truthy_number
-from ..sources.tables import bounded_broadcast
 from . import trees as T
 from .features import vector_array
 
-MAX_BROADCAST_CATEGORIES = 100_000
-
 
 def eligible_categories(features: DataFrame) -> DataFrame:
     """M3: document categories that are also index categories, long form
@@ -88,9 +85,8 @@ def category_baselines(company_category: DataFrame, features: DataFrame,
 def funding_rate(features: DataFrame, baselines: DataFrame, baseline: str = "r") -> DataFrame:
     """round((monthly funding - baseline) / d) against the company's
     last index category; null when a value or the baseline is missing."""
-    b = bounded_broadcast(baselines.select(F.col("category").alias("cat2"),
-                                           F.col(baseline).alias("_base"), F.col("d").alias("_d")),
-                          MAX_BROADCAST_CATEGORIES)
+    # one row per category; AQE broadcasts it after checking its runtime size
+    b = baselines.select(F.col("category").alias("cat2"), F.col(baseline).alias("_base"), F.col("d").alias("_d"))
     mf = monthly_funding(F.col("total_funding"), F.col("age"))
     rate = half_up_long(F.try_divide(mf - F.col("_base"), F.col("_d")))
     return features.join(b, "cat2", "left").select("k", "p", rate.alias("rate"))

@@ -16,11 +16,8 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import text as TX
-from ..sources.tables import bounded_broadcast
 from .ranking import positions
 
-MAX_BROADCAST_KEYS = 1_000_000
-
 
 def accepted_queries(queries: DataFrame, min_len: int = config.SEARCH_MIN_QUERY_LEN) -> DataFrame:
     return queries.where(F.length("q") >= min_len)
@@ -64,7 +61,9 @@ def search_matches(index: DataFrame, queries: DataFrame, min_key: int = config.S
     block = (keys.join(freq, "tri", "left")
              .groupBy("query_id", "kpos", "key")
              .agg(F.min_by("tri", F.struct(F.coalesce(F.col("freq"), F.lit(0)), F.col("tri"))).alias("tri")))
-    block = bounded_broadcast(block, MAX_BROADCAST_KEYS)
+    # ``block`` has one row per (query, key).  It is a derived frame, so its
+    # size is checked at runtime: AQE broadcasts it when the materialised
+    # stage is under the threshold, else the join stays a shuffle join.
     cand = name_tri.join(block, "tri").where(F.col("ln").contains(F.col("key")))
     return cand.groupBy("query_id", "p").agg(F.min("kpos").cast("int").alias("kpos"))
 

@@ -22,15 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
-from ..sources.tables import bounded_broadcast
 
 PACKED_SCHEMA = ("category string, ids array<string>, cols array<int>, nums array<double>, "
                  "strs array<string>, tb array<int>, fb array<int>, n0 array<bigint>, n1 array<bigint>, "
                  "depth int, n_nodes int")
 
-# at most this many tree rows (categories) are broadcast to the scoring join
-MAX_BROADCAST_TREES = 10_000
-
 
 def _to_float(v):
     try:
@@ -140,9 +136,12 @@ def predict(rows: DataFrame, packed: DataFrame) -> DataFrame:
     """Classify (p, category, vec, emp, ...) rows with their category's
     tree.  Rows without a tree keep null counts and reason ``no_model``.
 
-    The packed side is broadcast only after its row count is checked."""
-    trees = bounded_broadcast(packed, MAX_BROADCAST_TREES)
-    j = rows.join(trees, "category", "left")
+    The packed side is one row per model.  AQE broadcasts it when its
+    materialised size is under the broadcast threshold (the usual case: a
+    tree is at most a few thousand nodes) and reads the scored side through
+    the local shuffle reader, so a hot category is not gathered in one task;
+    beyond the threshold the join stays a shuffle join with skew splitting."""
+    j = rows.join(packed, "category", "left")
     leaf = walk(F.col("vec"), F.col("emp"), F.col("cols"), F.col("nums"), F.col("strs"),
                 F.col("tb"), F.col("fb"), F.col("depth"))
     j = j.withColumn("_leaf", F.when(F.col("cols").isNotNull(), leaf))
@@ -156,3 +155,11 @@ def predict(rows: DataFrame, packed: DataFrame) -> DataFrame:
 
 def tree_texts_from_constants(spark, trees: dict[str, str]) -> DataFrame:
     return spark.createDataFrame(sorted(trees.items()), "category string, json string")
+
+
+def pack_constant_trees(spark, trees: dict[str, str]) -> DataFrame:
+    """Packed rows of a model defined in code: flattened where it is
+    defined (a handful of small trees), no Python worker needed."""
+    rows = [flatten_tree(c, t) for c, t in sorted(trees.items())]
+    cols = ["category", "ids", "cols", "nums", "strs", "tb", "fb", "n0", "n1", "depth", "n_nodes"]
+    return spark.createDataFrame([tuple(r[c] for c in cols) for r in rows], PACKED_SCHEMA)

@@ -23,11 +23,21 @@ class Ctx:
 
     @cached_property
     def features(self) -> DataFrame:
+        """The feature table.  Scoring, baselines, rate and the rankings all
+        read it, so it is materialised once (reliable checkpoint in the
+        shared checkpoint folder) instead of being recomputed per branch; the
+        checkpoint keeps the hash partitioning on ``k``, so the per-company
+        aggregates and joins downstream add no shuffle."""
+        return FE.profile_features(self.world, self.as_of).checkpoint(eager=True)
+
+    @cached_property
+    def feature_plan(self) -> DataFrame:
+        """The same features as a lazy plan, for single-use projections."""
         return FE.profile_features(self.world, self.as_of)
 
     @cached_property
     def packed_trees(self) -> DataFrame:
-        return T.pack_trees(T.tree_texts_from_constants(self.spark, config.WORLD_TREES))
+        return T.pack_constant_trees(self.spark, config.WORLD_TREES)
 
     @cached_property
     def scores(self) -> DataFrame:

@@ -1,9 +1,8 @@
-"""Reading the input tables and size-checked broadcasting."""
+"""Reading the input tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -12,16 +11,3 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table.  Callers select columns right away so the Parquet
     scan's ReadSchema only holds what the plan uses."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only after checking it has at most ``max_rows`` rows.
-
-    The check is a cheap bounded count (``limit(max_rows + 1)``).  Beyond
-    the bound the frame is returned unhinted and the planner/AQE choose a
-    shuffle join instead.
-    """
-    n = df.limit(max_rows + 1).count()
-    if n <= max_rows:
-        return F.broadcast(df)
-    return df

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
-from .tables import bounded_broadcast, read_table
+from .tables import read_table
 
 # name variants by custkey % 4 and image presence by custkey % 5 are world rules
 _NAME_PARTKEYS = 200
@@ -42,11 +42,12 @@ class World:
     def company(self) -> DataFrame:
         """p, k, n, i, s, cat1 (region), cat2 (segment), hq_city, hq_region."""
         cust = self._t("customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
-        part = bounded_broadcast(
-            self._t("part").where(F.col("p_partkey") < _NAME_PARTKEYS).select("p_partkey", "p_name"),
-            _NAME_PARTKEYS)
-        nation = bounded_broadcast(self._t("nation").select("n_nationkey", "n_name", "n_regionkey"), 1000)
-        region = bounded_broadcast(self._t("region").select("r_regionkey", "r_name"), 1000)
+        # part (key range < 200), nation and region are dimension scans; the
+        # planner broadcasts them from their Parquet size statistics, and a
+        # larger-than-threshold input falls back to a shuffle join by itself.
+        part = self._t("part").where(F.col("p_partkey") < _NAME_PARTKEYS).select("p_partkey", "p_name")
+        nation = self._t("nation").select("n_nationkey", "n_name", "n_regionkey")
+        region = self._t("region").select("r_regionkey", "r_name")
         k = F.col("c_custkey")
         name = (F.when(k % 4 == 0, F.concat(F.col("p_name"), F.lit(", Inc.")))
                 .when(k % 4 == 1, F.upper("p_name"))
