@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
+from ..session import materialize
 
 
 def _as_col(c) -> Column:
@@ -32,12 +33,11 @@ def positions(df: DataFrame, group_cols: list[str], order_cols: list, name: str
     keys = [_as_col(c) for c in group_cols] + [_as_col(c) for c in order_cols]
     # Partition ids and local row ids are only meaningful for one concrete
     # range partitioning, and range bounds are sampled.  Materialise the
-    # tagged rows once (reliable checkpoint in the shared checkpoint folder)
-    # so the count branch and the join branch see identical rows.
-    tagged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .checkpoint(eager=True))
+    # tagged rows once (a Parquet table in the shared checkpoint folder) so
+    # the count branch and the join branch see identical rows.
+    tagged = materialize(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+                         .withColumn("_pid", F.spark_partition_id())
+                         .withColumn("_mid", F.monotonically_increasing_id()), "positions")
     counts = tagged.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_cnt"),
                                                      F.min("_mid").alias("_first"))
     w = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()).orderBy("_pid")

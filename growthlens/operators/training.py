@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.classes import acquired_or_acquirer
+from ..session import materialize
 
 TRAIN_SLOTS = [i for i in range(len(config.VECTOR_SLOTS)) if i != config.EMPLOYEES_SLOT]
 
@@ -55,9 +56,9 @@ def train_trees(rows: DataFrame, max_depth: int = 6, min_instances: int = 2) ->
     One ``fit`` per category (the number of models is the number of
     categories); each fit is a distributed job over that category's rows."""
     assembler = VectorAssembler(inputCols=[f"x{i}" for i in TRAIN_SLOTS], outputCol="features")
-    # every fit scans its input several times: cut the lineage once (reliable
-    # checkpoint in the shared folder) instead of recomputing the features
-    data = assembler.transform(rows).select("category", "label", "features").checkpoint(eager=True)
+    # every fit scans its input several times: write the training rows once
+    # (Parquet in the shared checkpoint folder) instead of recomputing them
+    data = materialize(assembler.transform(rows).select("category", "label", "features"), "train_rows")
     trees: dict[str, str] = {}
     categories = [r["category"] for r in data.select("category").distinct().orderBy("category").collect()]
     for cat in categories:

@@ -42,23 +42,23 @@ def plan(name: str):
 # ------------------------------------------------------------------ features
 @plan("features_basic")
 def features_basic(spark, sf):
-    return Ctx(spark, sf).features.select("p", "name", "description", "is_acquired", "total_funding",
+    return Ctx(spark, sf).feature_plan.select("p", "name", "description", "is_acquired", "total_funding",
                                           "homepage_url", "founded_on")
 
 
 @plan("feature_location")
 def feature_location(spark, sf):
-    return Ctx(spark, sf).features.select("p", "loc_city", "loc_region", "loc_country")
+    return Ctx(spark, sf).feature_plan.select("p", "loc_city", "loc_region", "loc_country")
 
 
 @plan("feature_employees")
 def feature_employees(spark, sf):
-    return Ctx(spark, sf).features.select("p", "num_employees")
+    return Ctx(spark, sf).feature_plan.select("p", "num_employees")
 
 
 @plan("feature_age")
 def feature_age(spark, sf):
-    return Ctx(spark, sf).features.select("p", "age")
+    return Ctx(spark, sf).feature_plan.select("p", "age")
 
 
 @plan("feature_competitors")
@@ -68,14 +68,14 @@ def feature_competitors(spark, sf):
 
 @plan("features_counts")
 def features_counts(spark, sf):
-    return Ctx(spark, sf).features.select(
+    return Ctx(spark, sf).feature_plan.select(
         "p", "num_competitors", "num_offices", "num_products", "num_investments", "num_acquisitions",
         "num_investors_orgs", "num_investors_persons", "num_funding_rounds")
 
 
 @plan("feature_investments")
 def feature_investments(spark, sf):
-    return Ctx(spark, sf).features.select("p", "total_funding_investments")
+    return Ctx(spark, sf).feature_plan.select("p", "total_funding_investments")
 
 
 @plan("feature_rounds")
@@ -85,7 +85,7 @@ def feature_rounds(spark, sf):
 
 @plan("feature_per_round")
 def feature_per_round(spark, sf):
-    return Ctx(spark, sf).features.select("p", "funding_per_round")
+    return Ctx(spark, sf).feature_plan.select("p", "funding_per_round")
 
 
 @plan("doc_categories")
@@ -95,13 +95,13 @@ def doc_categories(spark, sf):
 
 @plan("feature_vector")
 def feature_vector(spark, sf):
-    return FE.feature_vector(Ctx(spark, sf).features)
+    return FE.feature_vector(Ctx(spark, sf).feature_plan)
 
 
 # ------------------------------------------------------------------- scoring
 @plan("eligible_categories")
 def eligible_categories(spark, sf):
-    return SC.eligible_categories(Ctx(spark, sf).features).drop("k")
+    return SC.eligible_categories(Ctx(spark, sf).feature_plan).drop("k")
 
 
 @plan("tree_predict")
@@ -124,7 +124,7 @@ def success_overall(spark, sf):
 @plan("competitor_rank")
 def competitor_rank(spark, sf):
     c = Ctx(spark, sf)
-    return CO.competitor_rank(c.features, c.edges, c.world.index)
+    return CO.competitor_rank(c.world.org, c.edges, c.world.index)
 
 
 @plan("competitors")
@@ -446,11 +446,11 @@ UPSERT_AS_OF = "2002-09-01"
 @plan("profile_upsert")
 def profile_upsert(spark, sf):
     c = Ctx(spark, sf)
-    stored_path = PS.save_profiles(c.features.select("p", F.lit(1).alias("fetched_at"), "age"),
+    stored_path = PS.save_profiles(c.feature_plan.select("p", F.lit(1).alias("fetched_at"), "age"),
                                    _scratch(spark, "profiles_v1"))
     later = Ctx(spark, sf, as_of=UPSERT_AS_OF)
     changed = c.rounds.where(F.year("d") == 2001).select("p").distinct()
-    updates = later.features.join(changed, "p", "left_semi").select("p", F.lit(2).alias("fetched_at"), "age")
+    updates = later.feature_plan.join(changed, "p", "left_semi").select("p", F.lit(2).alias("fetched_at"), "age")
     merged = PS.upsert(PS.load_profiles(spark, stored_path), updates)
     out = PS.save_profiles(merged, _scratch(spark, "profiles_v2"))
     return PS.load_profiles(spark, out).select("p", F.col("fetched_at").cast("int").alias("fetched_at"), "age")

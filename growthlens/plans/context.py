@@ -24,11 +24,11 @@ class Ctx:
     @cached_property
     def features(self) -> DataFrame:
         """The feature table.  Scoring, baselines, rate and the rankings all
-        read it, so it is materialised once (reliable checkpoint in the
-        shared checkpoint folder) instead of being recomputed per branch; the
-        checkpoint keeps the hash partitioning on ``k``, so the per-company
-        aggregates and joins downstream add no shuffle."""
-        return FE.profile_features(self.world, self.as_of).checkpoint(eager=True)
+        read it, so it is written once as a Parquet table in the shared
+        checkpoint folder and read back, instead of being recomputed for
+        every branch of a plan."""
+        from ..session import materialize
+        return materialize(FE.profile_features(self.world, self.as_of), "features")
 
     @cached_property
     def feature_plan(self) -> DataFrame:

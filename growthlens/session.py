@@ -70,3 +70,15 @@ def local_path(path: str) -> str:
         while path.startswith("//"):
             path = path[1:]
     return path
+
+
+def materialize(df, name: str):
+    """Write ``df`` once as Parquet under the shared checkpoint folder and
+    return a frame reading it back.
+
+    This cuts the lineage like ``checkpoint()`` but computes the plan only
+    once (a reliable RDD checkpoint recomputes unpersisted data to write it)
+    and the result is columnar, so later scans prune columns."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
