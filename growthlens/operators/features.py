@@ -46,34 +46,37 @@ def age_months(founded_on, acquired_after, closed_on, as_of):
 
 
 def relationship_summaries(world: World) -> dict[str, DataFrame]:
-    """Per-company reductions of every relationship (one row per k)."""
-    it = world.item
+    """Per-company reductions of the line-item relationships (one row per k).
+
+    Line items are first reduced per order -- the shuffle by order key the
+    join with ``orders`` needs anyway, with map-side combining -- then joined
+    to their company and reduced again per company.  Order-level
+    relationships (rounds, acquired_by, acquisitions) come pre-reduced with
+    ``world.org`` (one scan of orders)."""
     kind = F.col("kind")
-    items = it.groupBy("k").agg(
-        F.count_if((kind == 1) & (F.col("investor_type") == config.INVESTOR_ORGANIZATION)).alias("num_investors_orgs"),
-        F.count_if((kind == 1) & (F.col("investor_type") == config.INVESTOR_PERSON)).alias("num_investors_persons"),
-        F.count_if(kind == 2).alias("num_offices"),
-        F.count_if(kind == 3).alias("num_products"),
-        F.sum(F.when(kind == 4, F.col("money").cast(MONEY))).alias("investments_sum"),
-        # last office in item order (seq, supplier, part)
-        F.max_by(F.when(kind == 2, F.concat(F.lit("S"), F.col("l_suppkey").cast("string"))),
-                 F.when(kind == 2, F.struct("seq", "l_suppkey", "l_partkey"))).alias("last_office_city"),
-    )
-    rounds = world.round.groupBy("k").agg(
-        F.count(F.lit(1)).alias("num_funding_rounds"),
-        F.sum(F.when(F.col("money") != 0, F.col("money").cast(MONEY))).alias("fpr_sum"),
-        F.count_if(F.col("money") != 0).alias("fpr_n"),
-    )
-    founded = world.org.select("k", "founded_on")
-    acquired = (world.acquired.join(founded, "k")
-                .groupBy("k").agg(
-                    F.count(F.lit(1)).alias("n_acquired_by"),
-                    F.max(F.when(F.col("announced_on") > F.col("founded_on"), F.col("announced_on")))
-                    .alias("acquired_after")))
-    acquisitions = world.acquisition.groupBy("k").agg(F.count(F.lit(1)).alias("num_acquisitions"))
+    per_order = world.item_rows.groupBy("seq").agg(
+        F.count_if((kind == 1) & (F.col("investor_type") == config.INVESTOR_ORGANIZATION)).alias("io"),
+        F.count_if((kind == 1) & (F.col("investor_type") == config.INVESTOR_PERSON)).alias("ip"),
+        F.count_if(kind == 2).alias("of"),
+        F.count_if(kind == 3).alias("pr"),
+        F.sum(F.when(kind == 4, F.col("money").cast(MONEY))).alias("inv"),
+        # last office of the order in item order: greatest supplier (the
+        # part number only breaks ties between rows naming the same city)
+        F.max(F.when(kind == 2, F.col("l_suppkey"))).alias("lo"))
+    items = per_order.join(world.order_owner, "seq").groupBy("k").agg(
+        F.sum("io").alias("num_investors_orgs"),
+        F.sum("ip").alias("num_investors_persons"),
+        F.sum("of").alias("num_offices"),
+        F.sum("pr").alias("num_products"),
+        F.sum("inv").alias("investments_sum"),
+        # last office over the company's orders (orders are unique here):
+        # the latest order's office; max_by on fixed-width longs keeps this a
+        # hash aggregate
+        F.max_by("lo", F.when(F.col("lo").isNotNull(), F.col("seq"))).alias("_last"))
+    items = items.select("*", F.concat(F.lit("S"), F.col("_last").cast("string"))
+                         .alias("last_office_city")).drop("_last")
     competitors = world.competitor.groupBy("k").agg(F.count(F.lit(1)).alias("num_competitors"))
-    return {"items": items, "rounds": rounds, "acquired": acquired,
-            "acquisitions": acquisitions, "competitors": competitors}
+    return {"items": items, "competitors": competitors}
 
 
 def profile_features(world: World, as_of: _dt.date | str | None = config.WORLD_AS_OF) -> DataFrame:
@@ -81,7 +84,7 @@ def profile_features(world: World, as_of: _dt.date | str | None = config.WORLD_A
     red = relationship_summaries(world)
     comp = world.company.select("k", "n", "s", "cat1", "cat2", "hq_city", "hq_region")
     df = world.org.join(comp, "k")
-    for name in ("items", "rounds", "acquired", "acquisitions", "competitors"):
+    for name in ("items", "competitors"):
         df = df.join(red[name], "k", "left")
     has_hq = F.col("k") % 2 == 0
     cnt = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")

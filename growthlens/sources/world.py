@@ -19,6 +19,7 @@ from .tables import read_table
 
 # name variants by custkey % 4 and image presence by custkey % 5 are world rules
 _NAME_PARTKEYS = 200
+MONEY = "decimal(18,2)"
 
 
 def _date(d) -> Column:
@@ -77,19 +78,60 @@ class World:
         return self.company.select("p", "n", "i", "s", F.array("cat1", "cat2").alias("c"))
 
     # ------------------------------------------------------------- documents
+    @staticmethod
+    def founded_on(k: Column) -> Column:
+        """Founding date rule of company k (null for k % 17 = 0)."""
+        founded = F.date_sub(_date(config.WORLD_AS_OF), ((k * 37) % 4000).cast("int"))
+        return F.when(k % 17 == 0, F.lit(None).cast("date")).otherwise(founded)
+
+    @cached_property
+    def order_facts(self) -> DataFrame:
+        """One row per order with every relationship rule applied:
+        k, seq, announced_on / money (funding round), acquired (acquired_by
+        item) with acquired_on, is_acquisition, price."""
+        o = self._t("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate",
+                                     "o_orderpriority", "o_totalprice")
+        ok = F.col("o_orderkey")
+        return o.select(
+            F.col("o_custkey").alias("k"), ok.alias("seq"),
+            F.when(ok % 11 == 0, F.lit(None).cast("date")).otherwise(F.col("o_orderdate").cast("date"))
+            .alias("announced_on"),
+            F.when(F.col("o_orderpriority") == "5-LOW", F.lit(None).cast("double"))
+            .when(ok % 7 == 0, F.lit(0.0)).otherwise(F.col("o_totalprice")).alias("money"),
+            ((F.col("o_orderstatus") == "P") & (ok % 50 == 0)).alias("acquired"),
+            F.col("o_orderdate").cast("date").alias("acquired_on"),
+            (F.col("o_totalprice") > 490000).alias("is_acquisition"),
+            F.col("o_totalprice").alias("price"))
+
+    @cached_property
+    def order_summary(self) -> DataFrame:
+        """Per company, every order-derived reduction in ONE partial
+        aggregate (one scan of orders, one shuffle of per-task partials):
+        total funding, round counts and non-zero sums, acquired_by count and
+        latest acquisition after founding, acquisitions count."""
+        f = self.order_facts
+        money = F.col("money")
+        return f.groupBy("k").agg(
+            F.sum(F.col("price").cast(MONEY)).cast("double").alias("tf"),
+            F.count(F.lit(1)).alias("num_funding_rounds"),
+            F.sum(F.when(money != 0, money.cast(MONEY))).alias("fpr_sum"),
+            F.count_if(money != 0).alias("fpr_n"),
+            F.count_if(F.col("acquired")).alias("n_acquired_by"),
+            F.max(F.when(F.col("acquired") & (F.col("acquired_on") > World.founded_on(F.col("k"))),
+                         F.col("acquired_on"))).alias("acquired_after"),
+            F.count_if(F.col("is_acquisition")).alias("num_acquisitions"))
+
     @cached_property
     def org(self) -> DataFrame:
-        """Organisation properties of profiled companies (k % 3 <> 0)."""
+        """Organisation properties of profiled companies (k % 3 <> 0), with
+        the per-company order summary attached."""
         cust = self._t("customer").select("c_custkey")
-        tf = (self._t("orders").select("o_custkey", "o_totalprice")
-              .groupBy("o_custkey")
-              .agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("tf")))
         k = F.col("c_custkey")
         founded = F.date_sub(_date(config.WORLD_AS_OF), ((k * 37) % 4000).cast("int"))
         return (cust.where(k % 3 != 0)
-                .join(tf, F.col("o_custkey") == k, "left")
+                .join(self.order_summary, F.col("k") == k, "left").drop("k")
                 .select(k.alias("k"), _permalink(k).alias("p"),
-                        F.when(k % 17 == 0, F.lit(None).cast("date")).otherwise(founded).alias("founded_on"),
+                        World.founded_on(k).alias("founded_on"),
                         F.when((k % 19 == 0) & (k % 17 != 0), F.date_add(founded, 400))
                         .otherwise(F.lit(None).cast("date")).alias("closed_on"),
                         F.when(k % 13 == 0, F.lit(None).cast("double")).otherwise(F.col("tf")).alias("total_funding_usd"),
@@ -97,49 +139,48 @@ class World:
                                      (k % 5 + 1).cast("int")).cast("int").alias("emp_min"),
                         F.element_at(F.array(F.lit(10), F.lit(50), F.lit(100), F.lit(None), F.lit(25)),
                                      (k % 5 + 1).cast("int")).cast("int").alias("emp_max"),
-                        F.when(k % 6 == 0, F.lit(None)).otherwise(k % 4).cast("int").alias("number_of_investments")))
+                        F.when(k % 6 == 0, F.lit(None)).otherwise(k % 4).cast("int").alias("number_of_investments"),
+                        "num_funding_rounds", "fpr_sum", "fpr_n", "n_acquired_by", "acquired_after",
+                        "num_acquisitions"))
 
     @cached_property
     def round(self) -> DataFrame:
         """Funding rounds: k, seq, announced_on, money."""
-        o = self._t("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_totalprice")
-        ok = F.col("o_orderkey")
-        return o.select(F.col("o_custkey").alias("k"), ok.alias("seq"),
-                        F.when(ok % 11 == 0, F.lit(None).cast("date"))
-                        .otherwise(F.col("o_orderdate").cast("date")).alias("announced_on"),
-                        F.when(F.col("o_orderpriority") == "5-LOW", F.lit(None).cast("double"))
-                        .when(ok % 7 == 0, F.lit(0.0))
-                        .otherwise(F.col("o_totalprice")).alias("money"))
+        return self.order_facts.select("k", "seq", "announced_on", "money")
 
     @cached_property
     def acquired(self) -> DataFrame:
         """acquired_by items: k, seq, announced_on."""
-        o = self._t("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
-        return (o.where((F.col("o_orderstatus") == "P") & (F.col("o_orderkey") % 50 == 0))
-                .select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("seq"),
-                        F.col("o_orderdate").cast("date").alias("announced_on")))
+        return (self.order_facts.where(F.col("acquired"))
+                .select("k", "seq", F.col("acquired_on").alias("announced_on")))
 
     @cached_property
     def acquisition(self) -> DataFrame:
         """acquisitions items: k, seq."""
-        o = self._t("orders").select("o_orderkey", "o_custkey", "o_totalprice")
-        return (o.where(F.col("o_totalprice") > 490000)
-                .select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("seq")))
+        return self.order_facts.where(F.col("is_acquisition")).select("k", "seq")
 
     @cached_property
-    def item(self) -> DataFrame:
-        """Line items of a company's orders; kind 1 investors, 2 offices,
-        3 products, 4 investments."""
+    def item_rows(self) -> DataFrame:
+        """Line items with their rules applied, keyed by order (seq) only;
+        kind 1 investors, 2 offices, 3 products, 4 investments."""
         li = self._t("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey",
                                         "l_extendedprice", "l_returnflag")
-        o = self._t("orders").select("o_orderkey", "o_custkey")
-        return (li.join(o, F.col("o_orderkey") == F.col("l_orderkey"))
-                .select(F.col("o_custkey").alias("k"), F.col("l_orderkey").alias("seq"),
-                        F.col("l_linenumber").alias("kind"), "l_suppkey", "l_partkey",
-                        F.col("l_extendedprice").alias("money"),
-                        F.when(F.col("l_returnflag") == "A", F.lit(config.INVESTOR_ORGANIZATION))
-                        .when(F.col("l_returnflag") == "R", F.lit(config.INVESTOR_PERSON))
-                        .otherwise(F.lit("Other")).alias("investor_type")))
+        return li.select(F.col("l_orderkey").alias("seq"), F.col("l_linenumber").alias("kind"),
+                         "l_suppkey", "l_partkey", F.col("l_extendedprice").alias("money"),
+                         F.when(F.col("l_returnflag") == "A", F.lit(config.INVESTOR_ORGANIZATION))
+                         .when(F.col("l_returnflag") == "R", F.lit(config.INVESTOR_PERSON))
+                         .otherwise(F.lit("Other")).alias("investor_type"))
+
+    @cached_property
+    def order_owner(self) -> DataFrame:
+        """seq (order) -> k (company)."""
+        return self._t("orders").select(F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("k"))
+
+    @cached_property
+    def item(self) -> DataFrame:
+        """Line items of a company's orders (long form with k)."""
+        return self.item_rows.join(self.order_owner, "seq").select(
+            "k", "seq", "kind", "l_suppkey", "l_partkey", "money", "investor_type")
 
     @cached_property
     def competitor(self) -> DataFrame:
