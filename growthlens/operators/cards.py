@@ -44,3 +44,20 @@ def profile_card(profiles: DataFrame) -> DataFrame:
         money_value.alias("money"),
         DS.money_short(DS.monthly_rate(tf, F.col("age")).cast("double")).alias("monthly_rate"),
     )
+
+
+# attribute labels shown on a profile, in display order
+ATTRIBUTE_LABELS = ["Website", "Founded", "Exit age (months)", "Location"]
+
+
+def profile_attributes(profiles: DataFrame) -> DataFrame:
+    """P5: (p, pos, label, value) for the attributes a profile has, in
+    display order; absent ones are filtered out of the array row-locally."""
+    card = profile_card(profiles)
+    values = [F.col("website"), F.col("founded_year"), F.col("exit_age").cast("string"), F.col("location")]
+    attrs = F.array(*[F.struct(F.lit(lbl).alias("label"), v.alias("value"))
+                      for lbl, v in zip(ATTRIBUTE_LABELS, values)])
+    present = F.filter(attrs, lambda a: a["value"].isNotNull())
+    return (card.select("p", F.posexplode(present).alias("pos", "a"))
+            .select("p", F.col("pos").cast("int").alias("pos"), F.col("a.label").alias("label"),
+                    F.col("a.value").alias("value")))

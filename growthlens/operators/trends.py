@@ -32,15 +32,11 @@ def trend_list(profiles: DataFrame, index: DataFrame, which: str) -> DataFrame:
 
 
 def index_counts(index: DataFrame, baselines: DataFrame) -> DataFrame:
-    """A1: number of indexed companies and of categories with a baseline."""
-    n = index.agg(F.count(F.lit(1)).alias("indexed_count"))
-    c = baselines.agg(F.count(F.lit(1)).alias("cat_count"))
-    return _one_row(n, c)
-
-
-def _one_row(a: DataFrame, b: DataFrame) -> DataFrame:
-    # both sides are single-row global aggregates; join on a constant key
-    return a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    """A1: number of indexed companies and of categories with a baseline.
+    The second count is a scalar subquery, so no join is needed."""
+    cat_count = baselines.select(F.count(F.lit(1))).scalar()
+    return index.agg(F.count(F.lit(1)).alias("indexed_count")).select("indexed_count",
+                                                                      cat_count.alias("cat_count"))
 
 
 def refresh_scores(index: DataFrame, profiles: DataFrame) -> DataFrame:

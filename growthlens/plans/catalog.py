@@ -204,6 +204,11 @@ def profile_card(spark, sf):
     return CA.profile_card(Ctx(spark, sf).profiles)
 
 
+@plan("profile_attributes")
+def profile_attributes(spark, sf):
+    return CA.profile_attributes(Ctx(spark, sf).profiles)
+
+
 # --------------------------------------------------------------------- trends
 @plan("trends_allstar")
 def trends_allstar(spark, sf):

@@ -483,5 +483,14 @@ SELECTS.update({
 })
 
 
+SELECTS["profile_attributes"] = f"""
+    SELECT p, CAST(row_number() OVER (PARTITION BY p ORDER BY o) - 1 AS INT) AS pos, label, value FROM (
+      SELECT p, 0 AS o, 'Website' AS label, website AS value FROM ({SELECTS['profile_card']}) WHERE website IS NOT NULL
+      UNION ALL SELECT p, 1, 'Founded', founded_year FROM ({SELECTS['profile_card']}) WHERE founded_year IS NOT NULL
+      UNION ALL SELECT p, 2, 'Exit age (months)', CAST(exit_age AS VARCHAR) FROM ({SELECTS['profile_card']})
+        WHERE exit_age IS NOT NULL
+      UNION ALL SELECT p, 3, 'Location', location FROM ({SELECTS['profile_card']}) WHERE location IS NOT NULL)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: with_world(sel) for name, sel in SELECTS.items()}

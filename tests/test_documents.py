@@ -52,3 +52,18 @@ def test_edge_documents(spark):
         assert r.loc_city is None and r.num_offices == 0 and r.num_competitors == 0
         assert r.competitors == [] and r.funding_rounds == [] and r.funding_per_round == 0.0
         assert r.age is None and r.is_acquired is False and r.num_employees is None
+
+
+def test_single_object_files(spark):
+    """The service's own file shapes: one JSON object per file."""
+    from growthlens import schemas
+    from growthlens.sources import keyed_json as KJ
+    from growthlens.sources import ranks_io as RIO
+    idx = _write(spark, [json.dumps({"acme": {"n": "Acme", "i": None, "s": 0.5, "c": ["A", "B"]},
+                                     "zeta": {"n": "Zeta", "i": "x", "s": 0.1, "c": ["B"]}})])
+    rows = {r.p: r for r in KJ.read_keyed(spark, idx, schemas.INDEX_ENTRY, "p", whole_file=True).collect()}
+    assert rows["acme"].c == ["A", "B"] and rows["zeta"].s == 0.1
+    # heap-ordered export (not sorted) is re-ranked by score on import
+    ranks = _write(spark, [json.dumps({"K": [{"p": "b", "s": 0.2}, {"p": "a", "s": 0.9}, {"p": "c", "s": 0.2}]})])
+    got = [(r.rank, r.p) for r in RIO.import_ranks(spark, ranks, whole_file=True).orderBy("rank").collect()]
+    assert got == [(1, "a"), (2, "b"), (3, "c")]
