@@ -83,6 +83,15 @@ def write_tree_files(spark: SparkSession, trees: dict[str, str], folder: str) ->
     return folder
 
 
+def folder_bytes(spark: SparkSession, folder: str) -> int:
+    """Total size of the files under ``folder`` from the file system's
+    metadata (no Spark job)."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return int(fs.getContentSummary(path).getLength())
+
+
 def load_tree_texts(spark: SparkSession, folder: str) -> DataFrame:
     """S3: (category, json) for every ``<category>.json`` in ``folder``.
 

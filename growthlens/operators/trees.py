@@ -23,6 +23,11 @@ from pyspark.sql import functions as F
 
 from .. import config
 
+# a packed model whose size is proven below this is broadcast to the scorer
+MAX_BROADCAST_MODEL_BYTES = 64 * 1024 * 1024
+# generous per-node size of the packed arrays (id path, 6 numbers, a label)
+PACKED_NODE_BYTES = 256
+
 PACKED_SCHEMA = ("category string, ids array<string>, cols array<int>, nums array<double>, "
                  "strs array<string>, tb array<int>, fb array<int>, n0 array<bigint>, n1 array<bigint>, "
                  "depth int, n_nodes int")
@@ -86,9 +91,16 @@ def _flatten_batches(batches):
                                           "n0", "n1", "depth", "n_nodes"])
 
 
-def pack_trees(tree_texts: DataFrame) -> DataFrame:
-    """(category, json) rows -> one packed row per tree (M1)."""
-    return tree_texts.select("category", "json").mapInPandas(_flatten_batches, PACKED_SCHEMA)
+def pack_trees(tree_texts: DataFrame, source_bytes: int | None = None) -> DataFrame:
+    """(category, json) rows -> one packed row per tree (M1).
+
+    ``source_bytes`` is the total size of the model files when known from
+    the file listing; packed arrays are smaller than the JSON text, so below
+    the bound the result is marked for broadcast without running a job."""
+    packed = tree_texts.select("category", "json").mapInPandas(_flatten_batches, PACKED_SCHEMA)
+    if source_bytes is not None and source_bytes <= MAX_BROADCAST_MODEL_BYTES:
+        return F.broadcast(packed)
+    return packed
 
 
 def tree_nodes(packed: DataFrame) -> DataFrame:
@@ -136,11 +148,13 @@ def predict(rows: DataFrame, packed: DataFrame) -> DataFrame:
     """Classify (p, category, vec, emp, ...) rows with their category's
     tree.  Rows without a tree keep null counts and reason ``no_model``.
 
-    The packed side is one row per model.  AQE broadcasts it when its
-    materialised size is under the broadcast threshold (the usual case: a
-    tree is at most a few thousand nodes) and reads the scored side through
-    the local shuffle reader, so a hot category is not gathered in one task;
-    beyond the threshold the join stays a shuffle join with skew splitting."""
+    The packed side is one row per model.  When its size is proven small
+    (node counts of an in-code model, or the byte size of the model files
+    from the listing) it arrives marked for broadcast, so the scored rows are
+    never shuffled by category and a hot category stays spread over all
+    tasks.  Otherwise it is a shuffle join; AQE still broadcasts it at
+    runtime when the materialised side is small, and splits skewed
+    partitions when it is not."""
     j = rows.join(packed, "category", "left")
     leaf = walk(F.col("vec"), F.col("emp"), F.col("cols"), F.col("nums"), F.col("strs"),
                 F.col("tb"), F.col("fb"), F.col("depth"))
@@ -162,4 +176,6 @@ def pack_constant_trees(spark, trees: dict[str, str]) -> DataFrame:
     defined (a handful of small trees), no Python worker needed."""
     rows = [flatten_tree(c, t) for c, t in sorted(trees.items())]
     cols = ["category", "ids", "cols", "nums", "strs", "tb", "fb", "n0", "n1", "depth", "n_nodes"]
-    return spark.createDataFrame([tuple(r[c] for c in cols) for r in rows], PACKED_SCHEMA)
+    df = spark.createDataFrame([tuple(r[c] for c in cols) for r in rows], PACKED_SCHEMA)
+    size = sum(r["n_nodes"] for r in rows) * PACKED_NODE_BYTES
+    return F.broadcast(df) if size <= MAX_BROADCAST_MODEL_BYTES else df

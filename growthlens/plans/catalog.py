@@ -517,7 +517,8 @@ def _trained_tree_folder(spark, sf):
 def train_trees(spark, sf):
     from ..operators import training as TRN
     from ..operators import trees as T
-    return T.tree_summary(T.pack_trees(TRN.load_tree_texts(spark, _trained_tree_folder(spark, sf))))
+    folder = _trained_tree_folder(spark, sf)
+    return T.tree_summary(T.pack_trees(TRN.load_tree_texts(spark, folder), TRN.folder_bytes(spark, folder)))
 
 
 @plan("load_trees")
@@ -531,14 +532,16 @@ def load_trees(spark, sf):
 def tree_nodes(spark, sf):
     from ..operators import training as TRN
     from ..operators import trees as T
-    return T.tree_nodes(T.pack_trees(TRN.load_tree_texts(spark, _trained_tree_folder(spark, sf))))
+    folder = _trained_tree_folder(spark, sf)
+    return T.tree_nodes(T.pack_trees(TRN.load_tree_texts(spark, folder), TRN.folder_bytes(spark, folder)))
 
 
 @plan("tree_summary")
 def tree_summary(spark, sf):
     from ..operators import training as TRN
     from ..operators import trees as T
-    return T.tree_summary(T.pack_trees(TRN.load_tree_texts(spark, _trained_tree_folder(spark, sf))))
+    folder = _trained_tree_folder(spark, sf)
+    return T.tree_summary(T.pack_trees(TRN.load_tree_texts(spark, folder), TRN.folder_bytes(spark, folder)))
 
 
 @plan("tree_predict_trained")
@@ -547,5 +550,6 @@ def tree_predict_trained(spark, sf):
     from ..operators import training as TRN
     from ..operators import trees as T
     c = Ctx(spark, sf)
-    packed = T.pack_trees(TRN.load_tree_texts(spark, _trained_tree_folder(spark, sf)))
+    folder = _trained_tree_folder(spark, sf)
+    packed = T.pack_trees(TRN.load_tree_texts(spark, folder), TRN.folder_bytes(spark, folder))
     return SC.score_categories(c.features, packed).select("p", "category", "leaf", "n0", "n1", "reason", "score5")
