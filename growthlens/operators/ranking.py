@@ -28,14 +28,15 @@ def positions(df: DataFrame, group_cols: list[str], order_cols: list, name: str
               num_partitions: int | None = None) -> DataFrame:
     """Add a 1-based ``name`` column: position of the row inside its group
     under ``order_cols`` (which must be a total order within the group)."""
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [_as_col(c) for c in group_cols] + [_as_col(c) for c in order_cols]
     # Partition ids and local row ids are only meaningful for one concrete
     # range partitioning, and range bounds are sampled.  Materialise the
     # tagged rows once (a Parquet table in the shared checkpoint folder) so
     # the count branch and the join branch see identical rows.
-    tagged = materialize(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    # without an explicit count the range partitioning follows the session's
+    # shuffle sizing (and AQE may coalesce small partitions)
+    ranged = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
+    tagged = materialize(ranged.sortWithinPartitions(*keys)
                          .withColumn("_pid", F.spark_partition_id())
                          .withColumn("_mid", F.monotonically_increasing_id()), "positions")
     counts = tagged.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_cnt"),

@@ -278,7 +278,8 @@ def search_blocked(spark, sf):
 
 @plan("keyword_score")
 def keyword_score(spark, sf):
-    return SE.search(Ctx(spark, sf).world.index, Ctx(spark, sf).world.queries).select("query_id", "p", "kscore")
+    c = Ctx(spark, sf)
+    return SE.search(c.world.index, c.world.queries).select("query_id", "p", "kscore")
 
 
 @plan("search_rejects")

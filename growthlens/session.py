@@ -20,6 +20,12 @@ _DEFAULT_CONF = {
     # runtime size check for broadcasting derived (small) join sides
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
+    # post-shuffle partitions are coalesced/split towards this size, and a
+    # partition 5x the median and over 256 MB counts as skewed and is split
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128MB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256MB",
+    "spark.sql.files.maxPartitionBytes": "128MB",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
