@@ -6,19 +6,23 @@ Two modes:
 (ts, event_id) per category: a known member's score is overwritten; a new
 company enters while the heap holds fewer than k; otherwise it replaces the
 minimum only when strictly greater.  The rule is order dependent (not
-associative), so each category is a sequential fold kept in
-``applyInPandasWithState`` with at most k entries of state.  Parallelism is
-the number of categories; the rows of one category inside one micro-batch
-are bounded by the trigger size (``maxFilesPerTrigger``).
+associative), so each category is a sequential fold.  Every micro-batch is
+processed in ``foreachBatch``: its events and the previous heaps (state
+rows first) are hash-partitioned by category and sorted by
+(category, state-first, ts, event_id), and ``mapInPandas`` streams through
+the sorted Arrow batches holding only the current heap -- O(k) memory per
+task, no group is ever gathered, categories run in parallel.  The new heaps
+are the next version of a small state table (k rows per category).
 
 ``exact`` -- the latest score of every (category, p) is kept by a streaming
 aggregate (``max_by`` over (ts, event_id), partial aggregation, state per
 key); the top-k is computed when read.  This one scales with no sequential
 step and equals the batch top-k of the latest scores.
 
-Sinks are ``foreachBatch`` writes into ``batch_id=<n>`` folders with
-overwrite, so a re-run batch replaces its own output (idempotent), and the
-stream's checkpoint lives in the shared checkpoint folder.
+Sinks write ``batch_id=<n>`` folders with overwrite, so a re-run batch
+replaces its own output (idempotent), and a batch reads the state version of
+the latest *earlier* batch; stream checkpoints live in the shared
+checkpoint folder.
 """
 
 from __future__ import annotations
@@ -28,13 +32,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import config
 from ..operators.ranking import top_k
 from ..session import scratch_path
 
-STATE_SCHEMA = "ps array<string>, ss array<double>"
 OUT_SCHEMA = "category string, rank bigint, p string, s double"
 
 
@@ -66,22 +68,71 @@ def _neg(p: str):
     return tuple(-ord(ch) for ch in p) + (1,)
 
 
-def _ranked(category: str, ps: list, ss: list) -> pd.DataFrame:
+def _ranked_rows(category: str, ps: list, ss: list) -> list[tuple]:
     order = sorted(range(len(ps)), key=lambda i: (-ss[i], ps[i]))
-    return pd.DataFrame({"category": [category] * len(order),
-                         "rank": [r + 1 for r in range(len(order))],
-                         "p": [ps[i] for i in order], "s": [ss[i] for i in order]})
-
-
-def _make_handler(k: int):
-    def handler(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (category,) = key
-        ps, ss = (list(state.get[0]), list(state.get[1])) if state.exists else ([], [])
-        batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
-        ps, ss = apply_updates(ps, ss, zip(batch["p"], batch["s"]), k)
-        state.update((ps, ss))
-        yield _ranked(category, ps, ss)
-    return handler
+    return [(category, r + 1, ps[i], ss[i]) for r, i in enumerate(order)]
+
+
+def _make_fold(k: int):
+    """mapInPandas body over rows sorted by (category, prio, ts, event_id):
+    prio 0 rows seed the heap (previous state), prio 1 rows are updates."""
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cat, ps, ss = None, [], []
+        for pdf in batches:
+            out: list[tuple] = []
+            for c, prio, p, s in zip(pdf["category"], pdf["prio"], pdf["p"], pdf["s"]):
+                if c != cat:
+                    if cat is not None:
+                        out.extend(_ranked_rows(cat, ps, ss))
+                    cat, ps, ss = c, [], []
+                if prio == 0:
+                    ps.append(p)
+                    ss.append(s)
+                else:
+                    ps, ss = apply_updates(ps, ss, [(p, s)], k)
+            if out:
+                yield pd.DataFrame(out, columns=["category", "rank", "p", "s"])
+        if cat is not None:
+            yield pd.DataFrame(_ranked_rows(cat, ps, ss), columns=["category", "rank", "p", "s"])
+    return fold
+
+
+def reference_topk_step(scores: DataFrame, state: DataFrame | None, k: int = config.TOP_K) -> DataFrame:
+    """New heaps (category, rank, p, s) after applying ``scores`` (category,
+    p, s, ts, event_id) in event order to the heaps in ``state``."""
+    ev = scores.select("category", F.lit(1).alias("prio"), "ts", "event_id", "p", "s")
+    if state is not None:
+        ts_type = ev.schema["ts"].dataType.simpleString()
+        seed = state.select("category", F.lit(0).alias("prio"), F.lit(None).cast(ts_type).alias("ts"),
+                            F.lit(None).cast("bigint").alias("event_id"), "p", "s")
+        ev = seed.unionByName(ev)
+    ordered = (ev.repartition("category")
+               .sortWithinPartitions("category", "prio", "ts", "event_id")
+               .select("category", "prio", "p", "s"))
+    return ordered.mapInPandas(_make_fold(k), OUT_SCHEMA)
+
+
+def reference_topk(events: DataFrame, k: int = config.TOP_K) -> DataFrame:
+    """Batch form: the heaps after replaying the whole event history."""
+    return reference_topk_step(events_as_scores(events), None, k)
+
+
+def _latest_version(spark: SparkSession, root: str, below: int | None = None) -> str | None:
+    """Path of the highest ``batch_id=<n>`` folder under ``root`` (n < below),
+    from the file listing -- no Spark job."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return None
+    best = None
+    for st in fs.listStatus(path):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith("batch_id="):
+            n = int(name.split("=", 1)[1])
+            if (below is None or n < below) and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+                best = n if best is None or n > best else best
+    return None if best is None else f"{root}/batch_id={best}"
 
 
 def _events_stream(spark: SparkSession, events_dir: str, pattern: str, max_files: int | None):
@@ -107,14 +158,21 @@ def run_reference_topk(spark: SparkSession, events_dir: str, k: int = config.TOP
                        out: str | None = None) -> DataFrame:
     """Reference-mode stream; returns the final heaps (category, rank, p, s)."""
     out = out or scratch_path(spark, "topk_reference")
-    ckpt = out + "_checkpoint"
-    scores = events_as_scores(_events_stream(spark, events_dir, pattern, max_files))
-    heaps = scores.groupBy("category").applyInPandasWithState(
-        _make_handler(k), OUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout)
-    _write_batches(heaps, out, ckpt)
-    emitted = spark.read.parquet(out)
-    last = emitted.groupBy("category").agg(F.max("batch_id").alias("batch_id"))
-    return emitted.join(last, ["category", "batch_id"]).select("category", "rank", "p", "s")
+    state_root = out + "/state"
+
+    def step(bdf: DataFrame, batch_id: int):
+        prev = _latest_version(spark, state_root, below=batch_id)
+        state = spark.read.parquet(prev) if prev else None
+        new = reference_topk_step(events_as_scores(bdf), state, k)
+        new.write.mode("overwrite").parquet(f"{state_root}/batch_id={batch_id}")
+
+    q = (_events_stream(spark, events_dir, pattern, max_files).writeStream.foreachBatch(step)
+         .option("checkpointLocation", out + "/_checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    latest = _latest_version(spark, state_root)
+    if latest is None:
+        return spark.createDataFrame([], OUT_SCHEMA)
+    return spark.read.parquet(latest).select("category", "rank", "p", "s")
 
 
 def run_exact_topk(spark: SparkSession, events_dir: str, k: int = config.TOP_K,
