@@ -506,6 +506,16 @@ def stream_profiles(spark, sf):
     return prof.select("p", "age", "success_all", "rate")
 
 
+@plan("stream_quarantine")
+def stream_quarantine(spark, sf):
+    from ..streaming import profiles as SP
+    c = Ctx(spark, sf)
+    landing = DOC.write_document_lines(DOC.build_documents(c.world), _scratch(spark, "landing"),
+                                       config.WORLD_CORRUPT_EVERY)
+    _p, quarantine = SP.run_profile_stream(spark, landing, c.world.index, c.packed_trees, c.baselines)
+    return quarantine.select("reason", "raw")
+
+
 # ------------------------------------------------------- trees: train / load
 def _trained_tree_folder(spark, sf):
     from ..operators import training as TRN
