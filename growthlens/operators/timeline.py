@@ -14,7 +14,7 @@ MONEY = "decimal(18,2)"
 
 def funding_by_year(rounds: DataFrame) -> DataFrame:
     """A4: p, year, amount (sum of the year's rounds)."""
-    return (rounds.groupBy("p", F.year("d").alias("year"))
+    return (rounds.groupBy("p", F.year("d").cast("bigint").alias("year"))
             .agg(F.sum(F.col("a").cast(MONEY)).cast("double").alias("amount")))
 
 

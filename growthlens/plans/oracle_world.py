@@ -36,7 +36,7 @@ WORLD_CTES = {
     ELSE 'Other' END AS investor_type
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
     "w_competitor": """
-  SELECT c_custkey AS k, j AS pos,
+  SELECT c_custkey AS k, CAST(j AS INT) AS pos,
     'c' || CAST((c_custkey * 7 + j * 13) % ((SELECT count(*) FROM customer) + 10) AS VARCHAR) AS competitor
   FROM customer, LATERAL (SELECT unnest(range(1, CAST(c_custkey % 9 AS BIGINT) + 1)) AS j) AS t""",
     "w_org": f"""
