@@ -73,6 +73,10 @@ def test_rate(spark):
     assert r == {"a": -7, "b": 15, "c": None, "d": None}
     m = {x.p: x.rate for x in SC.funding_rate(feats, base, "m").collect()}
     assert m["a"] == 0
+    # a category without a baseline gives a null rate (no error)
+    other = spark.createDataFrame([("e", 5, "NOBASE", 1200000.0, 30)],
+                                  "p string, k int, cat2 string, total_funding double, age bigint")
+    assert SC.funding_rate(other, base, "r").first().rate is None
 
 
 def test_category_score(spark):
