@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -50,7 +51,8 @@ def _export(node) -> dict:
     return {"col": slot, "value": repr(value), "tb": _export(node.rightChild()), "fb": _export(node.leftChild())}
 
 
-def train_trees(rows: DataFrame, max_depth: int = 6, min_instances: int = 2) -> dict[str, str]:
+def train_trees(rows: DataFrame, max_depth: int = 6, min_instances: int = 2,
+                parallel_fits: int = 4) -> dict[str, str]:
     """One tree per category -> {category: model-file JSON text}.
 
     One ``fit`` per category (the number of models is the number of
@@ -59,14 +61,18 @@ def train_trees(rows: DataFrame, max_depth: int = 6, min_instances: int = 2) ->
     # every fit scans its input several times: write the training rows once
     # (Parquet in the shared checkpoint folder) instead of recomputing them
     data = materialize(assembler.transform(rows).select("category", "label", "features"), "train_rows")
-    trees: dict[str, str] = {}
     categories = [r["category"] for r in data.select("category").distinct().orderBy("category").collect()]
-    for cat in categories:
+
+    def fit(cat: str) -> tuple[str, str]:
         part = data.where(F.col("category") == cat)
         model = DecisionTreeClassifier(maxDepth=max_depth, minInstancesPerNode=min_instances,
                                        labelCol="label", featuresCol="features", seed=7).fit(part)
-        trees[cat] = json.dumps(_export(model._java_obj.rootNode()), separators=(",", ":"))
-    return trees
+        return cat, json.dumps(_export(model._java_obj.rootNode()), separators=(",", ":"))
+
+    # the fits are independent jobs; submitting them from a few driver
+    # threads lets the scheduler run them side by side
+    with ThreadPoolExecutor(max_workers=max(1, min(parallel_fits, len(categories)))) as pool:
+        return dict(pool.map(fit, categories))
 
 
 def write_tree_files(spark: SparkSession, trees: dict[str, str], folder: str) -> str:
