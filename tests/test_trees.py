@@ -64,3 +64,28 @@ def test_tree_files_round_trip_names(spark):
     assert nodes.where(F.col("category") == "Hardware + Software").count() == 9
     summ = {r.category: r for r in T.tree_summary(T.pack_trees(TRN.load_tree_texts(spark, folder))).collect()}
     assert summ["Big Data"].n_leaves == 5 and summ["Big Data"].mixed_leaves == 1
+
+
+def test_exported_tree_classifies_like_fitted_model(spark):
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    from growthlens.plans.context import Ctx
+    from conftest import SF_CHECK
+    c = Ctx(spark, SF_CHECK)
+    rows = TRN.training_rows(c.features, c.world.company_category).where(F.col("category") == "ASIA")
+    cols = [f"x{i}" for i in TRN.TRAIN_SLOTS]
+    data = VectorAssembler(inputCols=cols, outputCol="features").transform(rows).withColumn("rid", F.monotonically_increasing_id())
+    model = DecisionTreeClassifier(maxDepth=6, minInstancesPerNode=2, seed=7).fit(data)
+    text = json.dumps(TRN._export(model._java_obj.rootNode()))
+    packed = T.pack_constant_trees(spark, {"ASIA": text})
+    # our scorer's vector: slot i holds x_i, the employees slot is unused by the model
+    vec = F.array(*[F.col(f"x{i}") if i in TRN.TRAIN_SLOTS else F.lit(None).cast("double")
+                    for i in range(len(config.VECTOR_SLOTS))])
+    ours = T.predict(data.select("rid", "category", vec.alias("vec"), F.lit("").alias("emp")), packed)
+    theirs = model.transform(data).select("rid", vector_to_array("rawPrediction").alias("raw"))
+    j = ours.join(theirs, "rid").select(
+        (F.coalesce("n0", F.lit(0)).cast("double") == F.col("raw")[0]).alias("ok0"),
+        (F.coalesce("n1", F.lit(0)).cast("double") == F.col("raw")[1]).alias("ok1"))
+    assert j.count() == data.count()
+    assert j.where(~F.col("ok0") | ~F.col("ok1")).count() == 0
