@@ -390,7 +390,7 @@ def load_category_stats(spark, sf):
 
 def _ingested(spark, sf):
     c = Ctx(spark, sf)
-    path = DOC.write_document_lines(DOC.build_documents(c.world), _scratch(spark, "orgs"),
+    path = DOC.write_document_lines(DOC.build_document_pages(c.world), _scratch(spark, "orgs"),
                                     config.WORLD_CORRUPT_EVERY)
     return c, DOC.split_documents(DOC.read_documents(spark, path))
 
@@ -398,7 +398,8 @@ def _ingested(spark, sf):
 @plan("ingest_orgs")
 def ingest_orgs(spark, sf):
     _, (good, _q) = _ingested(spark, sf)
-    return good.select("p", F.col("data.properties.founded_on").alias("founded_on"),
+    header = good.where(F.coalesce(F.col("data.page"), F.lit(0)) == 0)
+    return header.select("p", F.col("data.properties.founded_on").alias("founded_on"),
                        F.col("data.properties.total_funding_usd").alias("total_funding_usd"),
                        F.col("data.properties.num_employees_min").alias("emp_min"),
                        F.col("data.properties.num_employees_max").alias("emp_max"))
@@ -418,7 +419,7 @@ def doc_features(spark, sf):
                     "num_products", "total_funding_investments", "num_investments", "num_acquisitions",
                     "num_investors_orgs", "num_investors_persons", "num_funding_rounds", "funding_per_round",
                     F.array_join("competitors", ",").alias("competitors"),
-                    F.size("funding_rounds").cast("bigint").alias("n_rounds_dated"),
+                    F.col("num_rounds_dated").alias("n_rounds_dated"),
                     F.array_join("doc_categories", "|").alias("doc_categories"))
 
 
@@ -500,7 +501,7 @@ def topk_exact_latest(spark, sf):
 def stream_profiles(spark, sf):
     from ..streaming import profiles as SP
     c = Ctx(spark, sf)
-    landing = DOC.write_document_lines(DOC.build_documents(c.world), _scratch(spark, "landing"),
+    landing = DOC.write_document_lines(DOC.build_document_pages(c.world), _scratch(spark, "landing"),
                                        config.WORLD_CORRUPT_EVERY)
     prof, _q = SP.run_profile_stream(spark, landing, c.world.index, c.packed_trees, c.baselines)
     return prof.select("p", "age", "success_all", "rate")
@@ -510,7 +511,7 @@ def stream_profiles(spark, sf):
 def stream_quarantine(spark, sf):
     from ..streaming import profiles as SP
     c = Ctx(spark, sf)
-    landing = DOC.write_document_lines(DOC.build_documents(c.world), _scratch(spark, "landing"),
+    landing = DOC.write_document_lines(DOC.build_document_pages(c.world), _scratch(spark, "landing"),
                                        config.WORLD_CORRUPT_EVERY)
     _p, quarantine = SP.run_profile_stream(spark, landing, c.world.index, c.packed_trees, c.baselines)
     return quarantine.select("reason", "raw")

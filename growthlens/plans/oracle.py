@@ -446,7 +446,10 @@ SELECTS.update({
     "ingest_orgs": f"""SELECT p, founded_on, total_funding_usd, emp_min, emp_max FROM w_org
         WHERE k % {config.WORLD_CORRUPT_EVERY} <> 0""",
     "quarantine": f"""SELECT 'malformed_json' AS reason, 'not json' AS raw FROM w_org
-        WHERE k % {config.WORLD_CORRUPT_EVERY} = 0""",
+        WHERE k % {config.WORLD_CORRUPT_EVERY} = 0
+        UNION ALL
+        SELECT 'malformed_json' AS reason, 'not json' AS raw FROM w_round r JOIN w_org o ON o.k = r.k
+        WHERE o.k % {config.WORLD_CORRUPT_EVERY} = 0""",
     "doc_features": f"""SELECT f.p, f.is_acquired, f.loc_city, f.num_employees, f.age, f.num_competitors,
         f.num_offices, f.num_products, f.total_funding_investments, f.num_investments, f.num_acquisitions,
         f.num_investors_orgs, f.num_investors_persons, f.num_funding_rounds, f.funding_per_round,

@@ -30,6 +30,9 @@ RANK_ENTRY = T.StructType([T.StructField("p", S), T.StructField("s", D)])
 
 # Organisation document -- every path the service reads
 ORG_DOCUMENT = T.StructType([T.StructField("data", T.StructType([
+    # page of a paged document: 0 = header (properties), n > 0 = a later
+    # page of relationship items; a document without it is one whole page 0
+    T.StructField("page", L),
     T.StructField("properties", T.StructType([
         T.StructField("permalink", S),
         T.StructField("name", S),

@@ -1,15 +1,24 @@
 """Organisation documents (D4): bulk ingest with a quarantine (S4) and the
-feature projection over the nested document (F1-F23) with higher-order
-functions -- one ``select``, row-local, no shuffle, no UDF.
+feature projection over nested documents (F1-F22).
 
-The service fetched one document per company from an API; here documents
-land as JSON lines in a folder (``spark.read.json`` / ``readStream.json``)
-and malformed lines go to a quarantine frame instead of failing the job.
+Documents land as JSON lines (``spark.read.json`` / ``readStream.json``
+with an explicit schema, PERMISSIVE mode); malformed or key-less lines go to
+a quarantine frame instead of failing the job.
 
-``build_documents`` nests the long-form world into that shape so the ingest
-path can be exercised on the driver's tables.  A document is one record by
-the source's definition; the nesting gathers one company's relationship
-items into that record.
+A company's document may arrive as **pages**: page 0 carries the properties
+and the header relationships (headquarters, competitors, categories), later
+pages carry relationship items.  A classic whole document is simply page 0.
+Features are computed in two steps so no company is ever gathered:
+
+1. ``page_stats`` -- one row per page, row-local higher-order functions
+   (sizes, filtered counts, decimal sums, latest dates, last office);
+2. ``combine_pages`` -- a partial (map-side) aggregate of those rows per
+   company, joined with the header row.
+
+``build_document_pages`` writes the world's organisations in that shape:
+one header page per company (row-local) and one page per order with the
+order's round / acquisition items and its line items (bounded by the
+order's line count).
 """
 
 from __future__ import annotations
@@ -19,78 +28,91 @@ from pyspark.sql import functions as F
 
 from .. import config, schemas
 from ..functions.dates import as_of_col
-from ..operators.features import age_months, employees_label
 from ..functions.numeric import half_up
+from ..operators.features import age_months, employees_label
 from .world import World
 
 MONEY = "decimal(18,2)"
 
 
 # ----------------------------------------------------------------- writing
-def _nested(df: DataFrame, order: list[str], item: Column, name: str) -> DataFrame:
-    """Per company: items in ``order`` as {items: [...]} (null when none)."""
-    return (df.groupBy("k")
-            .agg(F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in order], item.alias("_it"))))
-                 .alias("_l"))
-            .select("k", F.struct(F.transform("_l", lambda x: x["_it"]).alias("items")).alias(name)))
+def _items(arr: Column) -> Column:
+    """{items: arr} or null when the array is null/empty (absent relationship)."""
+    return F.when(F.size(F.coalesce(arr, F.array())) > 0, F.struct(arr.alias("items")))
 
 
-def build_documents(world: World) -> DataFrame:
-    """k, p, doc (D4 struct) for every profiled company."""
+def _address(city: Column, region: Column) -> Column:
+    return F.struct(city.alias("city"), region.alias("region"), F.lit("X").alias("country"))
+
+
+def build_document_pages(world: World) -> DataFrame:
+    """k, p, doc for every page of every profiled company."""
     org = world.org
     comp = world.company.select("k", "n", "cat2", "hq_city", "hq_region")
-    it = world.item
-    rel = {
-        "acquired_by": _nested(world.acquired, ["seq"],
-                               F.struct(F.struct(F.col("announced_on")).alias("type")), "acquired_by"),
-        "offices": _nested(it.where(F.col("kind") == 2).join(comp.select("k", "hq_region"), "k"),
-                           ["seq", "l_suppkey", "l_partkey"],
-                           F.struct(F.struct(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("city"),
-                                             F.col("hq_region").alias("region"),
-                                             F.lit("X").alias("country")).alias("properties")), "offices"),
-        "competitors": _nested(world.competitor, ["pos"],
-                               F.struct(F.struct(F.col("competitor").alias("permalink")).alias("properties")),
-                               "competitors"),
-        "products": _nested(it.where(F.col("kind") == 3), ["seq", "l_suppkey", "l_partkey"],
-                            F.struct(F.struct(F.concat(F.lit("P"), F.col("l_partkey").cast("string"))
-                                              .alias("name")).alias("properties")), "products"),
-        "investments": _nested(it.where(F.col("kind") == 4), ["seq", "l_suppkey", "l_partkey"],
-                               F.struct(F.struct(F.struct(F.struct(F.col("money").alias("money_raised_usd"))
-                                                          .alias("properties")).alias("funding_round"))
-                                        .alias("relationships")), "investments"),
-        "acquisitions": _nested(world.acquisition, ["seq"],
-                                F.struct(F.struct(F.concat(F.lit("A"), F.col("seq").cast("string")).alias("name"))
-                                         .alias("properties")), "acquisitions"),
-        "investors": _nested(it.where(F.col("kind") == 1), ["seq", "l_suppkey", "l_partkey"],
-                             F.struct(F.col("investor_type").alias("type")), "investors"),
-        "funding_rounds": _nested(world.round, ["seq"],
-                                  F.struct(F.struct(F.col("money").alias("money_raised_usd"),
-                                                    F.col("announced_on")).alias("properties")), "funding_rounds"),
-    }
-    df = org.join(comp, "k")
-    for name, frame in rel.items():
-        df = df.join(frame, "k", "left")
-    hq = F.when(F.col("k") % 2 == 0, F.struct(F.struct(F.struct(
-        F.col("hq_city").alias("city"), F.col("hq_region").alias("region"), F.lit("X").alias("country"))
-        .alias("properties")).alias("item")))
-    cats = F.struct(F.array(
-        F.struct(F.struct(F.col("cat2").alias("name")).alias("properties")),
-        F.struct(F.struct(F.lit(config.WORLD_EXTRA_CATEGORY).alias("name")).alias("properties"))).alias("items"))
-    props = F.struct(
-        F.col("p").alias("permalink"), F.col("n").alias("name"), F.col("n").alias("short_description"),
-        F.concat(F.lit("http://www."), F.col("p"), F.lit(".example/x")).alias("homepage_url"),
-        F.col("total_funding_usd"), F.col("emp_min").alias("num_employees_min"),
-        F.col("emp_max").alias("num_employees_max"), "founded_on", "closed_on", "number_of_investments")
-    rels = F.struct(F.col("acquired_by"), hq.alias("headquarters"), *[F.col(n) for n in
-                    ("offices", "competitors", "products", "investments", "acquisitions", "investors",
-                     "funding_rounds")], cats.alias("categories"))
-    return df.select("k", "p", F.struct(F.struct(props.alias("properties"), rels.alias("relationships"))
-                                        .alias("data")).alias("doc"))
+    head = org.join(comp, "k").withColumn("_nn", world.customer_count())
+    k = F.col("k")
+    competitors = World.competitor_list(k, F.col("_nn"))
+    header = head.select("k", "p", F.struct(F.struct(
+        F.lit(0).cast("bigint").alias("page"),
+        F.struct(F.col("p").alias("permalink"), F.col("n").alias("name"), F.col("n").alias("short_description"),
+                 F.concat(F.lit("http://www."), F.col("p"), F.lit(".example/x")).alias("homepage_url"),
+                 F.col("total_funding_usd"), F.col("emp_min").alias("num_employees_min"),
+                 F.col("emp_max").alias("num_employees_max"), "founded_on", "closed_on",
+                 "number_of_investments").alias("properties"),
+        F.struct(
+            F.when(k % 2 == 0, F.struct(F.struct(_address(F.col("hq_city"), F.col("hq_region"))
+                                                 .alias("properties")).alias("item"))).alias("headquarters"),
+            _items(F.transform(competitors, lambda c: F.struct(F.struct(c.alias("permalink")).alias("properties"))))
+            .alias("competitors"),
+            F.struct(F.array(
+                F.struct(F.struct(F.col("cat2").alias("name")).alias("properties")),
+                F.struct(F.struct(F.lit(config.WORLD_EXTRA_CATEGORY).alias("name")).alias("properties")))
+                .alias("items")).alias("categories"),
+        ).alias("relationships")).alias("data")).alias("doc"))
+
+    # line items of one order, in item order (supplier, part); bounded by the
+    # order's line count, so this collect never spans a company
+    it = world.item_rows
+    kind = F.col("kind")
+
+    def per_order(cond: Column, item: Column) -> Column:
+        return F.sort_array(F.collect_list(F.when(cond, F.struct("l_suppkey", "l_partkey", item.alias("_it")))))
+
+    lines = it.groupBy("seq").agg(
+        per_order(kind == 2, F.struct(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("city"))
+                  ).alias("_off"),
+        per_order(kind == 3, F.struct(F.struct(F.concat(F.lit("P"), F.col("l_partkey").cast("string"))
+                                               .alias("name")).alias("properties"))).alias("_prod"),
+        per_order(kind == 4, F.struct(F.struct(F.struct(F.struct(F.col("money").alias("money_raised_usd"))
+                                                        .alias("properties")).alias("funding_round"))
+                                      .alias("relationships"))).alias("_inv"),
+        per_order(kind == 1, F.struct(F.col("investor_type").alias("type"))).alias("_invr"))
+    facts = world.order_facts.join(head.select("k", "p", "hq_region"), "k").join(lines, "seq", "left")
+    strip = lambda c: F.transform(F.col(c), lambda x: x["_it"])
+    offices = F.transform(F.col("_off"), lambda x: F.struct(_address(x["_it"]["city"], F.col("hq_region"))
+                                                              .alias("properties")))
+    pages = facts.select("k", "p", F.struct(F.struct(
+        (F.col("seq") + 1).cast("bigint").alias("page"),
+        F.struct(F.col("p").alias("permalink")).alias("properties"),
+        F.struct(
+            _items(F.when(F.col("acquired"), F.array(F.struct(F.struct(F.col("acquired_on").alias("announced_on"))
+                                                              .alias("type"))))).alias("acquired_by"),
+            _items(offices).alias("offices"),
+            _items(strip("_prod")).alias("products"),
+            _items(strip("_inv")).alias("investments"),
+            _items(F.when(F.col("is_acquisition"), F.array(F.struct(F.struct(
+                F.concat(F.lit("A"), F.col("seq").cast("string")).alias("name")).alias("properties")))))
+            .alias("acquisitions"),
+            _items(strip("_invr")).alias("investors"),
+            F.struct(F.array(F.struct(F.struct(F.col("money").alias("money_raised_usd"), "announced_on")
+                                      .alias("properties"))).alias("items")).alias("funding_rounds"),
+        ).alias("relationships")).alias("data")).alias("doc"))
+    return header.unionByName(pages, allowMissingColumns=True)
 
 
 def write_document_lines(docs: DataFrame, path: str, corrupt_every: int | None = None) -> str:
-    """Write one JSON document per line; with ``corrupt_every`` the lines of
-    companies with k % corrupt_every = 0 are replaced by junk text."""
+    """Write one JSON document (page) per line; with ``corrupt_every`` every
+    line of companies with k % corrupt_every = 0 is replaced by junk text."""
     line = F.to_json("doc")
     if corrupt_every:
         line = F.when(F.col("k") % corrupt_every == 0, F.lit("not json")).otherwise(line)
@@ -108,7 +130,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def split_documents(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good documents with p, quarantine(reason, raw))."""
+    """(good documents (p, data), quarantine (reason, raw))."""
     bad_parse = F.col(schemas.CORRUPT).isNotNull()
     no_key = F.col("data.properties.permalink").isNull()
     good = raw.where(~bad_parse & ~no_key).select(F.col("data.properties.permalink").alias("p"), "data")
@@ -123,62 +145,108 @@ def _count(items: Column) -> Column:
     return F.when(items.isNull(), F.lit(0)).otherwise(F.size(items)).cast("bigint")
 
 
-def document_features(docs: DataFrame, as_of=config.WORLD_AS_OF) -> DataFrame:
-    """F1-F22 over (p, data) documents; same column names as the relational
-    ``profile_features`` (without the index columns)."""
+def page_stats(docs: DataFrame) -> DataFrame:
+    """Step 1: one row per page (p, page, hdr, additive statistics)."""
     P = F.col("data.properties")
     R = F.col("data.relationships")
-    offices = R["offices"]["items"]
-    hq = R["headquarters"]["item"]["properties"]
-    addr = F.coalesce(hq, F.try_element_at(offices, F.lit(-1))["properties"])
-    founded = P["founded_on"]
-    acq_after = F.array_max(F.filter(F.transform(R["acquired_by"]["items"], lambda x: x["type"]["announced_on"]),
-                                     lambda d: d > founded))
+    page = F.coalesce(F.col("data.page"), F.lit(0)).cast("bigint")
     inv = R["investments"]["items"]
-    inv_total = F.aggregate(inv, F.lit(0).cast(MONEY), lambda acc, x: (acc + F.coalesce(
-        x["relationships"]["funding_round"]["properties"]["money_raised_usd"].cast(MONEY),
-        F.lit(0).cast(MONEY))).cast(MONEY))
     investors = R["investors"]["items"]
     rounds = R["funding_rounds"]["items"]
     nz = F.filter(rounds, lambda r: F.coalesce(r["properties"]["money_raised_usd"] != 0, F.lit(False)))
-    nz_sum = F.aggregate(nz, F.lit(0).cast(MONEY),
-                         lambda acc, r: (acc + r["properties"]["money_raised_usd"].cast(MONEY)).cast(MONEY))
-    nz_n = F.size(nz)
-    return docs.select(
-        "p",
-        P["name"].alias("name"),
-        P["short_description"].alias("description"),
-        F.coalesce(F.size(R["acquired_by"]["items"]) > 0, F.lit(False)).alias("is_acquired"),
-        P["total_funding_usd"].alias("total_funding"),
-        P["homepage_url"].alias("homepage_url"),
-        addr["city"].alias("loc_city"), addr["region"].alias("loc_region"), addr["country"].alias("loc_country"),
-        employees_label(P["num_employees_min"], P["num_employees_max"]).alias("num_employees"),
-        founded.alias("founded_on"), P["closed_on"].alias("closed_on"),
-        age_months(founded, acq_after, P["closed_on"], as_of_col(as_of)).alias("age"),
+    hdr = F.struct(
+        P["name"].alias("name"), P["short_description"].alias("description"),
+        P["total_funding_usd"].alias("total_funding"), P["homepage_url"].alias("homepage_url"),
+        P["num_employees_min"].alias("emp_min"), P["num_employees_max"].alias("emp_max"),
+        P["founded_on"].alias("founded_on"), P["closed_on"].alias("closed_on"),
+        P["number_of_investments"].alias("number_of_investments"),
+        R["headquarters"]["item"]["properties"].alias("hq"),
         F.coalesce(F.transform(R["competitors"]["items"], lambda x: x["properties"]["permalink"]),
                    F.array().cast("array<string>")).alias("competitors"),
-        _count(R["competitors"]["items"]).alias("num_competitors"),
-        _count(offices).alias("num_offices"),
-        _count(R["products"]["items"]).alias("num_products"),
-        F.coalesce(inv_total.cast("double"), F.lit(0.0)).alias("total_funding_investments"),
-        F.coalesce(P["number_of_investments"], F.lit(0)).cast("bigint").alias("num_investments"),
-        _count(R["acquisitions"]["items"]).alias("num_acquisitions"),
+        F.coalesce(F.transform(R["categories"]["items"], lambda x: x["properties"]["name"]),
+                   F.array().cast("array<string>")).alias("doc_categories"))
+    return docs.select(
+        "p", page.alias("page"),
+        F.when(page == 0, hdr).alias("hdr"),
+        _count(R["acquired_by"]["items"]).alias("n_acquired_by"),
+        F.array_max(F.transform(R["acquired_by"]["items"], lambda x: x["type"]["announced_on"])).alias("acq_max"),
+        F.try_element_at(R["offices"]["items"], F.lit(-1))["properties"].alias("last_office"),
+        _count(R["offices"]["items"]).alias("n_offices"),
+        _count(R["products"]["items"]).alias("n_products"),
+        _count(R["competitors"]["items"]).alias("n_competitors"),
+        _count(R["acquisitions"]["items"]).alias("n_acquisitions"),
+        F.aggregate(inv, F.lit(0).cast(MONEY), lambda acc, x: (acc + F.coalesce(
+            x["relationships"]["funding_round"]["properties"]["money_raised_usd"].cast(MONEY),
+            F.lit(0).cast(MONEY))).cast(MONEY)).alias("inv_sum"),
         F.coalesce(F.size(F.filter(investors, lambda x: x["type"] == config.INVESTOR_ORGANIZATION)), F.lit(0))
-        .cast("bigint").alias("num_investors_orgs"),
+        .cast("bigint").alias("n_inv_org"),
         F.coalesce(F.size(F.filter(investors, lambda x: x["type"] == config.INVESTOR_PERSON)), F.lit(0))
-        .cast("bigint").alias("num_investors_persons"),
-        F.coalesce(F.transform(F.filter(rounds, lambda r: r["properties"]["money_raised_usd"].isNotNull()
-                                        & r["properties"]["announced_on"].isNotNull()),
-                               lambda r: F.struct(r["properties"]["announced_on"].alias("d"),
-                                                  r["properties"]["money_raised_usd"].alias("a"))),
-                   F.array().cast("array<struct<d:date,a:double>>")).alias("funding_rounds"),
-        _count(rounds).alias("num_funding_rounds"),
-        F.when(F.coalesce(nz_n, F.lit(0)) == 0, F.lit(0.0))
-        .otherwise(half_up(nz_sum.cast("double") / nz_n, config.FUNDING_PER_ROUND_DECIMALS))
+        .cast("bigint").alias("n_inv_person"),
+        _count(rounds).alias("n_rounds"),
+        F.coalesce(F.size(F.filter(rounds, lambda r: r["properties"]["money_raised_usd"].isNotNull()
+                                   & r["properties"]["announced_on"].isNotNull())), F.lit(0))
+        .cast("bigint").alias("n_rounds_dated"),
+        F.aggregate(nz, F.lit(0).cast(MONEY),
+                    lambda acc, r: (acc + r["properties"]["money_raised_usd"].cast(MONEY)).cast(MONEY)).alias("nz_sum"),
+        F.coalesce(F.size(nz), F.lit(0)).cast("bigint").alias("nz_n"))
+
+
+def combine_pages(stats: DataFrame, as_of=config.WORLD_AS_OF) -> DataFrame:
+    """Step 2: per company, a partial aggregate of the page statistics joined
+    with the header row -> the same feature columns as the relational
+    ``profile_features`` (without the index columns)."""
+    agg = stats.groupBy("p").agg(
+        F.sum("n_acquired_by").alias("n_acquired_by"), F.max("acq_max").alias("acq_max"),
+        F.max_by("last_office", F.when(F.col("last_office").isNotNull(), F.col("page"))).alias("last_office"),
+        *[F.sum(c).alias(c) for c in ("n_offices", "n_products", "n_competitors", "n_acquisitions",
+                                      "n_inv_org", "n_inv_person", "n_rounds", "n_rounds_dated", "nz_n")],
+        F.sum("inv_sum").cast(MONEY).alias("inv_sum"), F.sum("nz_sum").cast(MONEY).alias("nz_sum"))
+    head = stats.where(F.col("hdr").isNotNull()).select("p", "hdr.*")
+    j = head.join(agg, "p", "left")
+    addr = F.coalesce(F.col("hq"), F.col("last_office"))
+    founded = F.col("founded_on")
+    acq_after = F.when(F.col("acq_max") > founded, F.col("acq_max"))
+    nz_n = F.coalesce(F.col("nz_n"), F.lit(0))
+    cnt = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
+    return j.select(
+        "p", "name", "description",
+        (cnt("n_acquired_by") > 0).alias("is_acquired"),
+        "total_funding", "homepage_url",
+        addr["city"].alias("loc_city"), addr["region"].alias("loc_region"), addr["country"].alias("loc_country"),
+        employees_label(F.col("emp_min"), F.col("emp_max")).alias("num_employees"),
+        "founded_on", "closed_on",
+        age_months(founded, acq_after, F.col("closed_on"), as_of_col(as_of)).alias("age"),
+        "competitors",
+        cnt("n_competitors").alias("num_competitors"),
+        cnt("n_offices").alias("num_offices"),
+        cnt("n_products").alias("num_products"),
+        F.coalesce(F.col("inv_sum").cast("double"), F.lit(0.0)).alias("total_funding_investments"),
+        F.coalesce(F.col("number_of_investments"), F.lit(0)).cast("bigint").alias("num_investments"),
+        cnt("n_acquisitions").alias("num_acquisitions"),
+        cnt("n_inv_org").alias("num_investors_orgs"),
+        cnt("n_inv_person").alias("num_investors_persons"),
+        cnt("n_rounds_dated").alias("num_rounds_dated"),
+        cnt("n_rounds").alias("num_funding_rounds"),
+        F.when(nz_n == 0, F.lit(0.0))
+        .otherwise(half_up(F.col("nz_sum").cast("double") / nz_n, config.FUNDING_PER_ROUND_DECIMALS))
         .alias("funding_per_round"),
-        F.coalesce(F.transform(R["categories"]["items"], lambda x: x["properties"]["name"]),
-                   F.array().cast("array<string>")).alias("doc_categories"),
-    )
+        "doc_categories")
+
+
+def document_features(docs: DataFrame, as_of=config.WORLD_AS_OF) -> DataFrame:
+    """F1-F22 over (p, data) documents or document pages."""
+    return combine_pages(page_stats(docs), as_of)
+
+
+def document_rounds(docs: DataFrame) -> DataFrame:
+    """F19 in long form from documents: (p, page, d, a) for rounds with both
+    a date and an amount -- exploded per page, never gathered."""
+    r = docs.select("p", F.coalesce(F.col("data.page"), F.lit(0)).alias("page"),
+                    F.explode(F.col("data.relationships.funding_rounds.items")).alias("r"))
+    return (r.where(F.col("r.properties.money_raised_usd").isNotNull()
+                    & F.col("r.properties.announced_on").isNotNull())
+            .select("p", "page", F.col("r.properties.announced_on").alias("d"),
+                    F.col("r.properties.money_raised_usd").alias("a")))
 
 
 def with_index(features: DataFrame, index: DataFrame) -> DataFrame:

@@ -30,6 +30,11 @@ def _permalink(k: Column) -> Column:
     return F.concat(F.lit("c"), k.cast("string"))
 
 
+def _competitor_of(k: Column, pos: Column, nn: Column) -> Column:
+    """Competitor rule: some permalinks fall outside the index (nn + 10)."""
+    return _permalink((k * 7 + pos * 13) % (nn + 10))
+
+
 @dataclass
 class World:
     spark: SparkSession
@@ -186,12 +191,23 @@ class World:
     def competitor(self) -> DataFrame:
         """competitors items: k, pos, competitor (some fall outside the index)."""
         cust = self._t("customer").select("c_custkey")
-        nn = self._t("customer").select(F.count(F.lit(1))).scalar()
         k = F.col("c_custkey")
         return (cust.where(k % 9 >= 1)
                 .select(k.alias("k"), F.explode(F.sequence(F.lit(1).cast("bigint"), k % 9)).alias("pos"))
                 .select("k", F.col("pos").cast("int").alias("pos"),
-                        _permalink((F.col("k") * 7 + F.col("pos") * 13) % (nn + 10)).alias("competitor")))
+                        _competitor_of(F.col("k"), F.col("pos"), self.customer_count()).alias("competitor")))
+
+    def customer_count(self) -> Column:
+        """Number of customers as a scalar subquery (no join)."""
+        return self._t("customer").select(F.count(F.lit(1))).scalar()
+
+    @staticmethod
+    def competitor_list(k: Column, nn: Column) -> Column:
+        """The same competitors as an ordered array of one company's row
+        (null when it has none) -- row-local, no grouping.  ``nn`` must be a
+        plain column (subqueries are not allowed inside lambdas)."""
+        return F.when(k % 9 >= 1, F.transform(F.sequence(F.lit(1).cast("bigint"), k % 9),
+                                              lambda j: _competitor_of(k, j, nn)))
 
     # -------------------------------------------------------------- requests
     @cached_property

@@ -1,11 +1,16 @@
 """Document arrival -> profile -> store.
 
-Documents land as JSON lines; ``readStream.json`` with the explicit D4 schema
-picks them up, and each micro-batch is scored with the batch operators
-inside ``foreachBatch`` (features are row-local, trees and baselines are
-small broadcast inputs).  Every batch writes its profiles and its quarantine
-into ``batch_id=<n>`` folders with overwrite -- idempotent on replay -- and
-the profile table is read as the latest version per permalink.
+Documents (or document pages) land as JSON lines; ``readStream.json`` with
+the explicit D4 schema picks them up.  Each micro-batch, inside
+``foreachBatch``, reduces its pages to page statistics (row-local) and
+stores them; the companies it touched are then recombined from *all* their
+stored page statistics (a partial aggregate per company), so pages of one
+company spread over several micro-batches still give exact features.  The
+touched companies are scored with the batch operators (trees and baselines
+are small inputs).  Every batch writes its page statistics, profiles and
+quarantine into ``batch_id=<n>`` folders with overwrite -- idempotent on
+replay -- and the profile table is read as the latest version per
+permalink.
 """
 
 from __future__ import annotations
@@ -34,7 +39,11 @@ def run_profile_stream(spark: SparkSession, landing: str, index: DataFrame, pack
 
     def score_batch(bdf: DataFrame, batch_id: int):
         good, bad = DOC.split_documents(bdf)
-        feats = DOC.with_index(DOC.document_features(good, as_of), index)
+        DOC.page_stats(good).write.mode("overwrite").parquet(f"{out}/pages/batch_id={batch_id}")
+        touched = spark.read.parquet(f"{out}/pages/batch_id={batch_id}").select("p").distinct()
+        stats = (spark.read.parquet(f"{out}/pages").where(F.col("batch_id") <= batch_id)
+                 .join(touched, "p", "left_semi").drop("batch_id"))
+        feats = DOC.with_index(DOC.combine_pages(stats, as_of), index)
         prof = SC.build_profiles(feats, packed_trees, baselines)
         (prof.select("p", "age", "success_all", "rate", F.lit(batch_id).alias("fetched_at"))
          .write.mode("overwrite").parquet(f"{out}/profiles/batch_id={batch_id}"))

@@ -63,3 +63,30 @@ def test_reference_stream_in_several_batches(spark):
     for cat, entries in want.items():
         g = got_pd[got_pd.category == cat].sort_values("rank")
         assert list(zip(g.p, g.s)) == entries
+
+
+def test_profile_stream_pages_across_batches(spark):
+    """Pages of one company arriving in different micro-batches give the
+    same profiles as all pages scored at once."""
+    from pyspark.sql import functions as F
+    from growthlens.operators import scoring as SC
+    from growthlens.plans.context import Ctx
+    from growthlens.session import scratch_path
+    from growthlens.sources import documents as DOC
+    from growthlens.streaming import profiles as SP
+    c = Ctx(spark, SF_SMALL)
+    pages = DOC.build_document_pages(c.world).withColumn("_odd", F.col("doc.data.page") % 2 == 1)
+    land = scratch_path(spark, "pages_landing")
+    for odd in (False, True):   # header + even pages first, odd pages in a later file
+        (pages.where(F.col("_odd") == odd).select(F.to_json("doc").alias("value")).coalesce(1)
+         .write.mode("append").text(land))
+    out = scratch_path(spark, "pages_stream")
+    prof, _q = SP.run_profile_stream(spark, land, c.world.index, c.packed_trees, c.baselines, out=out, max_files=1)
+    good, _ = DOC.split_documents(DOC.read_documents(spark, land))
+    batch = SC.build_profiles(DOC.with_index(DOC.document_features(good), c.world.index), c.packed_trees,
+                              c.baselines)
+    cols = ["p", "age", "success_all", "rate"]
+    got = sorted(tuple(r) for r in prof.select(*cols).collect())
+    want = sorted(tuple(r) for r in batch.select(*cols).collect())
+    assert got == want and len(got) > 0
+    assert spark.read.parquet(out + "/pages").select("batch_id").distinct().count() == 2
