@@ -19,14 +19,23 @@ from ..functions import text as TX
 from .ranking import positions
 
 
+def sent_query(q):
+    """The search box trims surrounding whitespace before checking and
+    sending the query."""
+    return F.regexp_replace(q, r"^\s+|\s+$", "")
+
+
 def accepted_queries(queries: DataFrame, min_len: int = config.SEARCH_MIN_QUERY_LEN) -> DataFrame:
-    return queries.where(F.length("q") >= min_len)
+    """Queries that pass the guard, as sent (trimmed)."""
+    sent = queries.select("query_id", sent_query(F.col("q")).alias("q"))
+    return sent.where(F.length("q") >= min_len)
 
 
 def search_rejects(queries: DataFrame, min_len: int = config.SEARCH_MIN_QUERY_LEN) -> DataFrame:
     """Queries refused before searching, with the reason."""
-    return (queries.where(F.length("q") < min_len)
-            .select("query_id", "q", F.when(F.length("q") == 0, F.lit("empty"))
+    sent = sent_query(F.col("q"))
+    return (queries.where(F.length(sent) < min_len)
+            .select("query_id", "q", F.when(F.length(sent) == 0, F.lit("empty"))
                     .otherwise(F.lit("too_short")).alias("reason")))
 
 

@@ -277,7 +277,12 @@ MORE_CTES = {
     "w_topk": f"""
   SELECT * FROM (SELECT category, CAST(row_number() OVER (PARTITION BY category ORDER BY s DESC NULLS LAST, p)
                                         AS BIGINT) AS rank, p, s FROM w_eff) WHERE rank <= {config.TOP_K}""",
-    "w_q_acc": f"SELECT * FROM w_query WHERE length(q) >= {config.SEARCH_MIN_QUERY_LEN}",
+    "w_q_acc": f"""SELECT query_id, q FROM (
+      SELECT query_id, regexp_replace(q, '^\\s+|\\s+$', '', 'g') AS q FROM w_query)
+      WHERE length(q) >= {config.SEARCH_MIN_QUERY_LEN}""",
+    "w_keys_acc": f"""
+  SELECT query_id, CAST(generate_subscripts(ks, 1) - 1 AS INT) AS pos, unnest(ks) AS key
+  FROM (SELECT query_id, {_KEYS} AS ks FROM w_q_acc)""",
     "w_keys": f"""
   SELECT query_id, CAST(generate_subscripts(ks, 1) - 1 AS INT) AS pos, unnest(ks) AS key
   FROM (SELECT query_id, {_KEYS} AS ks FROM w_query)""",
@@ -286,7 +291,7 @@ MORE_CTES = {
   FROM (SELECT p, {_TOKENS} AS ts FROM w_company)""",
     "w_match": f"""
   SELECT kk.query_id, c.p, CAST(min(kk.pos) AS INT) AS kpos
-  FROM w_keys kk JOIN w_q_acc a ON a.query_id = kk.query_id
+  FROM w_keys_acc kk
   JOIN w_company c ON length(kk.key) >= {config.SEARCH_MIN_KEY_LEN} AND contains(lower(c.n), kk.key)
   GROUP BY kk.query_id, c.p""",
     "w_kw": """
@@ -294,8 +299,9 @@ MORE_CTES = {
     CAST(sum(CASE WHEN t.token = kk.key THEN 10 + CASE WHEN kk.pos = t.pos THEN 3 ELSE -1 END
                   WHEN contains(t.token, kk.key) THEN 3 + CASE WHEN kk.pos = t.pos THEN 2 ELSE 0 END
                   ELSE -1 END)
-         - abs(max(t.ntok) - (SELECT count(*) FROM w_keys k2 WHERE k2.query_id = m.query_id)) AS BIGINT) AS kscore
-  FROM w_match m JOIN w_keys kk ON kk.query_id = m.query_id JOIN w_tokens t ON t.p = m.p
+         - abs(max(t.ntok) - (SELECT count(*) FROM w_keys_acc k2 WHERE k2.query_id = m.query_id)) AS BIGINT)
+      AS kscore
+  FROM w_match m JOIN w_keys_acc kk ON kk.query_id = m.query_id JOIN w_tokens t ON t.p = m.p
   GROUP BY m.query_id, m.p""",
     "w_search": """
   SELECT w.query_id, CAST(row_number() OVER (PARTITION BY w.query_id ORDER BY w.kscore + 10 * c.s DESC, w.p)
@@ -403,8 +409,9 @@ SELECTS.update({
     "search_filter": "SELECT query_id, p FROM w_match",
     "search_blocked": "SELECT query_id, p, kpos FROM w_match",
     "keyword_score": "SELECT query_id, p, kscore FROM w_kw",
-    "search_rejects": f"""SELECT query_id, q, CASE WHEN length(q) = 0 THEN 'empty' ELSE 'too_short' END AS reason
-        FROM w_query WHERE length(q) < {config.SEARCH_MIN_QUERY_LEN}""",
+    "search_rejects": f"""SELECT query_id, q,
+        CASE WHEN length(regexp_replace(q, '^\\s+|\\s+$', '', 'g')) = 0 THEN 'empty' ELSE 'too_short' END AS reason
+        FROM w_query WHERE length(regexp_replace(q, '^\\s+|\\s+$', '', 'g')) < {config.SEARCH_MIN_QUERY_LEN}""",
     "search": "SELECT query_id, pos, p, n, i, s, score FROM w_search",
     "search_page": f"SELECT query_id, CAST(ceil(pos / {config.PAGE_SIZE}) AS BIGINT) AS page, pos, p FROM w_search",
     "page_counts": f"""SELECT a.query_id, CAST(coalesce(m.n, 0) AS BIGINT) AS n_results,

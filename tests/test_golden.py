@@ -202,3 +202,11 @@ def test_money_and_commas(spark):
     e = spark.createDataFrame([("1-10",), ("1000-5000",), ("25",), (None,)], "e string")
     assert [r[0] for r in e.select(DS.employees_display(F.col("e"))).collect()] == \
         ["1 - 10", "1,000 - 5,000", "25", None]
+
+
+def test_query_guard_trims(spark):
+    q = spark.createDataFrame([(1, "  red  "), (2, "  co "), (3, "   "), (4, "bolt")], "query_id bigint, q string")
+    acc = {r.query_id: r.q for r in SE.accepted_queries(q).collect()}
+    assert acc == {1: "red", 4: "bolt"}
+    rej = {r.query_id: r.reason for r in SE.search_rejects(q).collect()}
+    assert rej == {2: "too_short", 3: "empty"}
