@@ -503,5 +503,12 @@ SELECTS["profile_attributes"] = f"""
       UNION ALL SELECT p, 3, 'Location', location FROM ({SELECTS['profile_card']}) WHERE location IS NOT NULL)"""
 
 
+SELECTS["ranks_export"] = """
+    SELECT CAST(json_object(category, to_json(list(
+             CASE WHEN s IS NULL THEN json_object('p', p) ELSE json_object('p', p, 's', s) END ORDER BY rank)))
+           AS VARCHAR) AS value
+    FROM w_topk GROUP BY category"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: with_world(sel) for name, sel in SELECTS.items()}
