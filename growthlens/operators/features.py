@@ -2,9 +2,10 @@
 
 Each relationship is reduced per company with a partial (map-side) aggregate
 -- count / sum / max_by -- so a company owning a huge share of the rows is
-pre-aggregated inside every map task before the shuffle on ``k``.  All
-reductions are keyed by ``k`` and joined on ``k``; the joins reuse the
-aggregation's hash partitioning.
+pre-aggregated inside every map task before the shuffle on ``k``.
+Order-level relationships arrive pre-reduced with the organisation rows (one
+aggregate over orders); line items are reduced per order, then per company.
+All reductions are keyed by ``k`` and joined on ``k``.
 
 The nested-document form of the same features lives in ``documents.py``.
 """

@@ -1,10 +1,12 @@
 """Success scoring (M3-M6), funding baselines (A2) and rate.
 
-Pipeline per profiled company (partitioned by ``k`` from the feature joins):
-eligible categories are a row-local ``array_intersect``; each is classified
-against a broadcast tree; the per-company maximum is a ``groupBy(k)`` that
-reuses the existing ``k`` partitioning, so profile building adds no shuffle
-beyond the feature aggregation itself.
+Pipeline per profiled company: eligible categories are a row-local
+``filter``/``array_contains`` over the document and index categories; each
+is classified against its tree in a broadcast join (the model's size is
+proven small), so the scored rows are never shuffled by category; the
+per-company maximum is a partial aggregate on ``k`` joined back on ``k``.
+Baselines are partial aggregates per category; the rate joins them back on
+the company's last category.
 """
 
 from __future__ import annotations
