@@ -43,3 +43,10 @@ def take_rows(docs: DataFrame, kept: DataFrame, copies: str | None = None) -> Da
     else:
         hits = keyed.join(keys, "key", "left_semi").groupBy("key").agg(F.min("row").alias("row"))
     return hits.select("row.*")
+
+
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file lies; the same on driver and executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, pii, secrets
-from .common import documents
+from . import (bitpack, counting, exact_dedup, fingerprints, langid, minhash, mixing, packing, pii, secrets)
+from .common import documents, tokenizer_file
 
 
 def op1_exact_dedup(spark, sf_dir):
@@ -14,6 +14,30 @@ def op2_pii(spark, sf_dir):
     return pii.digest(pii.find_personal_data(documents(spark, sf_dir)))
 
 
+def op3_minhash(spark, sf_dir):
+    return minhash.near_duplicates(documents(spark, sf_dir)).drop("text_sha256")
+
+
+def op4_langid(spark, sf_dir):
+    return langid.identify(documents(spark, sf_dir))
+
+
+def op5_bitpack(spark, sf_dir):
+    return bitpack.digest(bitpack.stored_tokens(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json")))
+
+
+def op6_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprints(documents(spark, sf_dir))
+
+
+def op7_packing(spark, sf_dir):
+    return packing.digest(packing.pack(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json")))
+
+
+def op8_counting(spark, sf_dir):
+    return counting.count_tokens(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
+
+
 def op9_secrets(spark, sf_dir):
     return secrets.digest(secrets.find_secrets(documents(spark, sf_dir)))
 
@@ -22,4 +46,5 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_pii, op9_secrets, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_pii, op3_minhash, op4_langid, op5_bitpack, op6_fingerprints,
+                                   op7_packing, op8_counting, op9_secrets, op10_mixing)}

@@ -53,15 +53,16 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return int(a[0]), int(a[1])
 
 
-def multipliers(n: int, seed: int) -> np.ndarray:
-    return _mix(np.arange(1, n + 1, dtype=U) * U(0x9E3779B97F4A7C15) + U(seed)) | U(1)
-
-
-def signature(s: np.ndarray, mult: np.ndarray, block: int = 2048) -> np.ndarray:
-    """One MinHash value for each multiplier, cut to 16 bits each."""
-    least = np.full(len(mult), U(2**64 - 1))
-    for a in range(0, len(s), block):
-        x = s[a:a + block][:, None] * mult
-        x ^= x >> U(32)
-        np.minimum(least, x.min(axis=0), out=least)
-    return (_mix(least) & U(0xFFFF)).astype(np.uint16)
+def multipliers32(n: int, seed: int) -> np.ndarray:
+    return (_mix(np.arange(1, n + 1, dtype=U) * U(0x9E3779B97F4A7C15) + U(seed)) >> U(32)).astype(np.uint32) | np.uint32(1)
+
+
+def least(s: np.ndarray, mult: np.ndarray, block: int = 2048) -> np.ndarray:
+    """The MinHash value of a set under each multiplier, 32 bits, well mixed."""
+    x = (s >> U(32)).astype(np.uint32)
+    out = np.full(len(mult), 2**32 - 1, np.uint32)
+    for a in range(0, len(x), block):
+        y = x[a:a + block][:, None] * mult
+        y ^= y >> np.uint32(15)
+        np.minimum(out, y.min(axis=0), out=out)
+    return (_mix(out.astype(U) * U(0x9E3779B97F4A7C15)) & U(0xFFFFFFFF)).astype(np.uint32)
