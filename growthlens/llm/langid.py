@@ -4,7 +4,7 @@ Subwords are the runs of ``SIZES`` bytes of the lower-cased UTF-8 text that lie
 ASCII punctuation count as the word's boundary, which may stand at either end of a run).  Each is hashed to one of
 ``BUCKETS`` rows of an embedding table; a document is the mean of its rows, and a linear softmax over it gives the
 languages' probabilities, and that of ``noise``.  Both tables are trained by stochastic gradient descent in numpy on a
-bounded sample of labelled rows (``MAX_TRAIN`` documents, as many of each language), collected as hashed counts (at most
+bounded sample of labelled rows (``MAX_TRAIN`` documents, as many of each language, and an excerpt of each), collected as hashed counts (at most
 BUCKETS numbers a document), never as text.  Noise is made from the sample: documents with their letters shuffled,
 random letters, and letters of other scripts.  A sixth of the sample is held back: on it the temperature of the softmax
 is fitted and the rejection score is set so that at most ``MAX_LOST`` of its rightly labelled documents are rejected, and
@@ -34,10 +34,10 @@ from .common import text_of
 BUCKETS = 1 << 14
 SIZES = (1, 2, 3, 4)
 DIM = 16
-MAX_TRAIN = 1800
-EPOCHS = 12
+MAX_TRAIN = 1200
+EPOCHS = 15
 RATE = 0.5
-REJECT_BELOW = 0.5
+REJECT_BELOW = 0.2
 MAX_LOST = 0.001
 NOISE_CHARS = 4000
 PIECE = 1 << 20
@@ -168,6 +168,15 @@ def noise(text: str, kind: int) -> str:
     return "".join(out)
 
 
+def excerpt(text: str) -> str:
+    """Two to thirteen words in a row: languages are also learned from short texts."""
+    words = text.split()
+    rng = np.random.default_rng(zlib.crc32(text.encode("utf-8", "ignore")))
+    n = int(rng.integers(2, 14))
+    at = int(rng.integers(0, max(1, len(words) - n + 1)))
+    return " ".join(words[at:at + n])
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether crc32 of the id as text leaves 2 when divided by 4; a null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
@@ -188,8 +197,10 @@ def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model:
 
     def features(batches):
         for pdf in batches:
-            extra = [(None, noise(t, k % 3)) for k, t in enumerate(pdf["text"]) if k % 2 == 0]
-            texts = [*zip(pdf["lang"], pdf["text"], strict=True), *extra]
+            both = [*zip(pdf["lang"], pdf["text"], strict=True)]
+            extra = [(lang, excerpt(t)) for lang, t in both]
+            extra += [(None, noise(excerpt(t) if k % 4 else t, k % 3)) for k, (_, t) in enumerate(both) if k % 2 == 0]
+            texts = both + extra
             got = [counts(t) for _, t in texts]
             spots = [np.flatnonzero(c) for c in got]
             yield pd.DataFrame({"lang": [lang for lang, _ in texts], "at": [s.astype(np.int32).tobytes() for s in spots],
