@@ -13,9 +13,8 @@ Only the connectivity of links is asked for, so no group is expanded into pairs:
 1. classes without any bucket partner within the sketch distance drop out (a left-semi join: one row a class and bucket);
    the texts of the others are fetched once and their sets written;
 2. each bucket links its members to its least member, confirmed on the sets; components of these links;
-3. the exact way for the rest: members that still have a bucket partner in another component are compared by their
-   rarest shingles.  Two sets of similarity t share one of the n - ceil(t * n) + 1 rarest shingles of either, so the
-   join on those loses no link; pairs inside one component need no comparison.
+3. the exact way for the rest: members that still have a bucket partner in another component are compared on full sets,
+   in pairs of blocks of bounded size inside tasks; pairs inside one component need no comparison.
 
 Nothing is capped; skewed buckets are split by the adaptive skew join.  Shingles are represented by 64-bit hashes.
 
@@ -44,6 +43,7 @@ MAX_DISTANCE = 2 * CHUNKS - 1
 SKETCH = 256
 MAX_BITS = 52
 SEED = 11
+BLOCK = 500
 _MASKS = np.array([2**64 - 1 - (0xFFFF << (16 * j)) for j in range(4)], np.uint64).view(np.int64).tolist()
 _SIG = [f"s{i}" for i in range(CHUNKS)]
 _BITS = [f"b{i}" for i in range(SKETCH // 64)]
@@ -169,24 +169,9 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     named = materialize(named.join(mixed.select("bucket"), "bucket"), "op3-mixed")
     apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & (
         _bits("x", "y") <= MAX_BITS)
-    rest = materialize(named.alias("x").join(named.alias("y"), apart, "left_semi").select(
-        "cid", "label", *_BITS).distinct(), "op3-rest")
-    grams = sets.join(rest.select("cid", "label"), "cid").select("cid", "label", "n", "grams").mapInArrow(
-        _exploded, "cid bigint, label bigint, n bigint, gram bigint")
-    grams = materialize(grams, "op3-grams")
-    frequency = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    needed = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    ranked = grams.join(frequency, "gram").withColumn("place", F.expr(
-        "row_number() over (partition by cid order by df, gram)")).where(F.col("place") <= needed).where("df > 1")
-    rare = materialize(ranked.select("cid", "label", "n", "gram"), "op3-rare")
-    alike = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.label") != F.col("y.label")) & (
-        F.col("x.cid") < F.col("y.cid")) & (F.least("x.n", "y.n") * 100 >= percent * F.greatest("x.n", "y.n"))
-    pairs = rare.alias("x").join(rare.alias("y"), alike).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")) \
-        .distinct()
-    sketch = rest.select("cid", *_BITS)
-    pairs = pairs.join(sketch.alias("p"), F.col("a") == F.col("p.cid")).join(
-        sketch.alias("q"), F.col("b") == F.col("q.cid")).where(_bits("p", "q") <= MAX_BITS).select("a", "b")
-    more = materialize(_confirmed(pairs, sets, percent), "op3-more")
+    rest = materialize(named.alias("x").join(named.alias("y"), apart, "left_semi").select("bucket", "cid", "label"),
+                       "op3-rest")
+    more = materialize(_across(rest, sets, percent), "op3-more")
     if more.limit(1).count():
         labels = connected(links.union(more), "op3-all")
 
@@ -203,13 +188,42 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
         F.col("component_id")).alias("kept"), "text_sha256")
 
 
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each shingle of a set."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            s = np.frombuffer(batch.column("grams")[k].as_buffer(), np.int64)
-            head = [pa.array(np.full(len(s), batch.column(c)[k].as_py(), np.int64)) for c in ("cid", "label", "n")]
-            yield pa.RecordBatch.from_arrays([*head, pa.array(s)], names=["cid", "label", "n", "gram"])
+def _across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links between different labels among the bucket members ``rest`` (bucket, cid, label).
+
+    Families are the components of the buckets, so every pair in question lies inside one.  A family is cut into blocks
+    of about ``BLOCK`` members; members of a label that fills blocks by itself get blocks of their own.  Each pair of
+    blocks (but two of the same label) is one bounded group, compared on full sets inside a task, which only gives the
+    links that join two labels for the first time.
+    """
+    heads = rest.groupBy("bucket").agg(F.min("cid").alias("a"))
+    families = connected(rest.join(heads, "bucket").select("a", F.col("cid").alias("b")), "op3-families")
+    nodes = rest.select("cid", "label").distinct().join(families.select(
+        F.col("node").alias("cid"), F.col("label").alias("family")), "cid")
+    nodes = materialize(nodes, "op3-members")
+    of_label = nodes.groupBy("family", "label").agg(F.count(F.lit(1)).alias("members"))
+    part = F.when(F.col("members") >= BLOCK, F.col("label")).otherwise(F.lit(-1))
+    of_part = of_label.groupBy("family", part.alias("part")).agg(F.sum("members").alias("in_part"))
+    nodes = nodes.join(of_label, ["family", "label"]).withColumn("part", part).join(of_part, ["family", "part"])
+    nodes = nodes.select("cid", "label", "family", "part", F.pmod(
+        F.xxhash64("cid"), F.ceil(F.col("in_part") / BLOCK)).alias("block"))
+    nodes = materialize(nodes, "op3-blocks")
+    blocks = nodes.select("family", "part", "block").distinct()
+    x, y = (blocks.select("family", F.struct("part", "block").alias(c)) for c in "xy")
+    groups = x.join(y, "family").where("x <= y and (x = y or x.part <> y.part or x.part = -1)")
+    groups = groups.where("not (x = y and x.part <> -1)").select("family", F.struct("family", "x", "y").alias("task"),
+                                                                 F.explode(F.array_distinct(F.array("x", "y"))).alias("at"))
+    held = nodes.join(groups.select("task", "family", "at.part", "at.block"), ["family", "part", "block"])
+    held = held.select("task", "cid", "label").join(sets, "cid")
+
+    def links(table: pa.Table) -> pa.Table:
+        labels, cids = table.column("label").to_pylist(), table.column("cid").to_pylist()
+        got = [np.frombuffer(g.as_buffer(), np.uint64) for g in table.column("grams")]
+        pairs = shingles.joined(got, labels, percent)
+        return pa.table({"a": pa.array([cids[i] for i, _ in pairs], pa.int64()),
+                         "b": pa.array([cids[j] for _, j in pairs], pa.int64())})
+
+    return held.groupBy("task").applyInArrow(links, "a bigint, b bigint")
 
 
 def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import (bitpack, counting, exact_dedup, fingerprints, langid, minhash, mixing, packing, pii, secrets)
+from . import (bitpack, counting, credentials, exact_dedup, fingerprints, langid, minhash, mixing, packing, pii)
 from .common import documents, tokenizer_file
 
 
@@ -39,7 +39,7 @@ def op8_counting(spark, sf_dir):
 
 
 def op9_secrets(spark, sf_dir):
-    return secrets.digest(secrets.find_secrets(documents(spark, sf_dir)))
+    return credentials.digest(credentials.find_secrets(documents(spark, sf_dir)))
 
 
 def op10_mixing(spark, sf_dir):

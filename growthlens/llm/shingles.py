@@ -66,3 +66,35 @@ def least(s: np.ndarray, mult: np.ndarray, block: int = 2048) -> np.ndarray:
         y ^= y >> np.uint32(15)
         np.minimum(out, y.min(axis=0), out=out)
     return (_mix(out.astype(U) * U(0x9E3779B97F4A7C15)) & U(0xFFFFFFFF)).astype(np.uint32)
+
+
+def joined(sets: list[np.ndarray], labels: list[int], percent: int) -> list[tuple[int, int]]:
+    """Pairs of sets with different labels whose similarity is at least ``percent``; only those that join two groups of
+    labels for the first time."""
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    grams, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(inverse, kind="stable")
+    holders = owner[order]
+    begin = np.concatenate([[0], np.cumsum(np.bincount(inverse, minlength=len(grams)))])
+    at = np.cumsum(sizes) - sizes
+    root = {label: label for label in labels}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    pairs = []
+    for i in range(len(sets)):
+        mine = inverse[at[i]:at[i] + sizes[i]]
+        count = begin[mine + 1] - begin[mine]
+        spots = np.repeat(begin[mine] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        both = np.bincount(holders[spots], minlength=len(sets))
+        for j in np.flatnonzero(100 * both >= percent * (sizes + sizes[i] - both)).tolist():
+            a, b = find(labels[i]), find(labels[j])
+            if a != b:
+                root[a] = b
+                pairs.append((i, j))
+    return pairs
