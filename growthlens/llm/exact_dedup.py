@@ -67,8 +67,8 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     for more in ready[1:]:
         final = final.unionByName(more)
     final = materialize(rows.select("rid", "doc_id", "text_sha256").join(final, "rid"), "op1-final")
-    groups = final.groupBy("level", "name").agg(F.max(F.struct("doc_id", "rid")).alias("keep"),
-                                                F.count(F.lit(1)).alias("group_size"))
+    groups = materialize(final.groupBy("level", "name").agg(
+        F.max(F.struct("doc_id", "rid")).alias("keep"), F.count(F.lit(1)).alias("group_size")), "op1-groups")
     return final.join(groups, ["level", "name"]).select(
         "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("keep.rid")).alias("kept"),
         "text_sha256")

@@ -123,6 +123,7 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], seed: int = 5) -> Mode
     used = order[len(x) // 6:]
     emb = rng.normal(0, 1, (BUCKETS, DIM)).astype(np.float32)
     out, bias = np.zeros((DIM, k), np.float32), np.zeros(k, np.float32)
+    seen = np.zeros(BUCKETS, bool)
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
         for a in range(0, len(used), 32):
@@ -133,11 +134,12 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], seed: int = 5) -> Mode
             p[np.arange(len(rows)), y[rows]] -= 1
             g = p / len(rows)
             spot = np.flatnonzero(xs.any(axis=0))
+            seen[spot] = True
             emb[spot] -= 60 * rate * (xs[:, spot].T @ (g @ out.T))
             out -= rate * (h.T @ g)
             bias -= rate * g.sum(axis=0)
         rng.shuffle(used)
-    emb[~x[used].any(axis=0)] = 0  # never seen: says nothing
+    emb[~seen] = 0  # says nothing
     z = (x @ emb @ out + bias).astype(np.float64)
     temperature, reject = 1.0, REJECT_BELOW
     if len(held):
