@@ -27,9 +27,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO_PIECES = 240_000
+MEMO_PIECES = 600_000
 LONG_PIECE = 64
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 4 << 20
 _WS = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}]"
 _UNSURE_SPACE = _WS + " (?:" + _WS + "|$)"
 
