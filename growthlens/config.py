@@ -37,7 +37,7 @@ MONEY_SUFFIXES = [(1e3, "k"), (1e6, "m"), (1e9, "b"), (1e12, "t")]
 WORLD_AS_OF = _dt.date(2001, 9, 1)
 WORLD_EXTRA_CATEGORY = "Unlisted"       # second document category
 WORLD_MIN_CATEGORY_SIZE = 100           # baseline cut-off for the world's index size
-WORLD_CORRUPT_EVERY = 29                # raw document lines replaced by junk
+WORLD_CORRUPT_EVERY = 29                # companies whose document lines each have a junk line beside them
 WORLD_LIST_SIZE = 10                    # related lists: list_id = k / 10, pos = k % 10
 
 # search queries: (query_id, text)

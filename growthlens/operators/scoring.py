@@ -32,8 +32,8 @@ def eligible_categories(features: DataFrame) -> DataFrame:
 def category_score(s, n0, n1):
     """M4: class-1 count present -> 0.5 + s/2 * n1/total, else s/2 * n0/total."""
     total = (F.coalesce(n0, F.lit(0)) + F.coalesce(n1, F.lit(0))).cast("double")
-    return (F.when(n1.isNotNull(), F.lit(0.5) + s * F.lit(0.5) * n1 / total)
-            .otherwise(s * F.lit(0.5) * n0 / total))
+    return (F.when(n1.isNotNull(), F.lit(0.5) + F.try_divide(s * F.lit(0.5) * n1, total))
+            .otherwise(F.try_divide(s * F.lit(0.5) * n0, total)))
 
 
 def score_categories(features: DataFrame, packed: DataFrame) -> DataFrame:

@@ -408,8 +408,8 @@ def ingest_orgs(spark, sf):
 
 @plan("quarantine")
 def quarantine(spark, sf):
-    _, (_g, q) = _ingested(spark, sf)
-    return q
+    c, (good, q) = _ingested(spark, sf)
+    return q.unionByName(DOC.not_in_index(good, c.world.index))
 
 
 @plan("doc_features")

@@ -450,8 +450,7 @@ ALL_CTES["w_rate"] = ALL_CTES["w_rate"].replace("{base}", "r")
 SELECTS.update({
     "load_companies": "SELECT p, n, i, s, cat1 || '|' || cat2 AS categories FROM w_company",
     "load_category_stats": SELECTS["category_baselines"],
-    "ingest_orgs": f"""SELECT p, founded_on, total_funding_usd, emp_min, emp_max FROM w_org
-        WHERE k % {config.WORLD_CORRUPT_EVERY} <> 0""",
+    "ingest_orgs": f"""SELECT p, founded_on, total_funding_usd, emp_min, emp_max FROM w_org""",
     "quarantine": f"""SELECT 'malformed_json' AS reason, 'not json' AS raw FROM w_org
         WHERE k % {config.WORLD_CORRUPT_EVERY} = 0
         UNION ALL
@@ -464,9 +463,8 @@ SELECTS.update({
           AS competitors,
         (SELECT count(*) FROM w_rounds_f r WHERE r.p = f.p) AS n_rounds_dated,
         f.cat2 || '|{config.WORLD_EXTRA_CATEGORY}' AS doc_categories
-        FROM w_feat f WHERE f.k % {config.WORLD_CORRUPT_EVERY} <> 0""",
-    "doc_profiles": f"""SELECT p, age, success_all, rate FROM w_prof
-        WHERE k % {config.WORLD_CORRUPT_EVERY} <> 0""",
+        FROM w_feat f""",
+    "doc_profiles": f"""SELECT p, age, success_all, rate FROM w_prof""",
     "has_profile": "SELECT c.p, o.p IS NOT NULL AS has_profile FROM w_company c LEFT JOIN w_org o ON o.p = c.p",
     "profile_lookup": """SELECT l.p, pr.age, pr.success_all, pr.rate
         FROM (SELECT DISTINCT competitor AS p FROM w_competitor) l LEFT JOIN w_prof pr ON pr.p = l.p""",

@@ -15,7 +15,7 @@ WORLD_CTES = {
     CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 'http://img.example/' || CAST(c_custkey AS VARCHAR) END AS i,
     floor((c_acctbal + 1000) * 10 / 11) / 10000 AS s,
     r_name AS cat1, c_mktsegment AS cat2, n_name AS hq_city, r_name AS hq_region
-  FROM customer JOIN part ON p_partkey = c_custkey % 200
+  FROM customer JOIN part ON p_partkey = c_custkey % (SELECT count(*) FROM part)
   JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey""",
     "w_company_category": """
   SELECT p, k, 0 AS ord, cat1 AS category, s FROM w_company UNION ALL

@@ -33,6 +33,8 @@ ORG_DOCUMENT = T.StructType([T.StructField("data", T.StructType([
     # page of a paged document: 0 = header (properties), n > 0 = a later
     # page of relationship items; a document without it is one whole page 0
     T.StructField("page", L),
+    # a re-sent page carries a higher version; without one it counts as 0
+    T.StructField("version", L),
     T.StructField("properties", T.StructType([
         T.StructField("permalink", S),
         T.StructField("name", S),

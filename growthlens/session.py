@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -40,11 +41,13 @@ _DEFAULT_CONF = {
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "growthlens") -> SparkSession:
     """Build (or reuse) a session with the settings the plans rely on."""
-    master = master or os.environ.get("GROWTHLENS_MASTER", "local[8]")
-    b = SparkSession.builder.master(master).appName(app_name)
+    b = SparkSession.builder.appName(app_name)
     for k, v in _DEFAULT_CONF.items():
         b = b.config(k, v)
-    b = b.config("spark.driver.memory", os.environ.get("GROWTHLENS_DRIVER_MEMORY", "16g"))
+    master = master or os.environ.get("GROWTHLENS_MASTER")
+    if master or "PYSPARK_GATEWAY_PORT" not in os.environ:  # spark-submit has its own master and driver memory
+        b = b.master(master or "local[8]").config(
+            "spark.driver.memory", os.environ.get("GROWTHLENS_DRIVER_MEMORY", "16g"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()
@@ -61,27 +64,42 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return d
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if is_cluster(sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         # Unset: this is a local test session, so a local folder is right.
         conf_dir = tempfile.mkdtemp(prefix="growthlens-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
 
+def is_cluster(master: str) -> bool:
+    """Whether executors run outside the driver's process."""
+    return not (master == "local" or master.startswith("local["))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors of a cluster this package, once per Spark context."""
+    sc = spark.sparkContext
+    if not is_cluster(sc.master) or getattr(sc, "_growthlens_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="growthlens-zip-"), "growthlens.zip")
+    with zipfile.ZipFile(target, "w") as out:
+        for folder, _, names in os.walk(home):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    path = os.path.join(folder, n)
+                    out.write(path, os.path.relpath(path, os.path.dirname(home)))
+    sc.addPyFile(target)
+    sc._growthlens_shipped = True
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/growthlens/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme so Python code can open a local path."""
-    if path.startswith("file:"):
-        path = path[len("file:"):]
-        while path.startswith("//"):
-            path = path[1:]
-    return path
-
-
 def materialize(df, name: str):
     """Write ``df`` once as Parquet under the shared checkpoint folder and
     return a frame reading it back.

@@ -111,12 +111,12 @@ def build_document_pages(world: World) -> DataFrame:
 
 
 def write_document_lines(docs: DataFrame, path: str, corrupt_every: int | None = None) -> str:
-    """Write one JSON document (page) per line; with ``corrupt_every`` every
-    line of companies with k % corrupt_every = 0 is replaced by junk text."""
-    line = F.to_json("doc")
+    """Write one JSON document (page) per line; with ``corrupt_every`` a junk
+    line stands beside every line of companies with k % corrupt_every = 0."""
+    lines = F.array(F.to_json("doc"))
     if corrupt_every:
-        line = F.when(F.col("k") % corrupt_every == 0, F.lit("not json")).otherwise(line)
-    docs.select(line.alias("value")).write.mode("overwrite").text(path)
+        lines = F.when(F.col("k") % corrupt_every == 0, F.array(F.to_json("doc"), F.lit("not json"))).otherwise(lines)
+    docs.select(F.explode(lines).alias("value")).write.mode("overwrite").text(path)
     return path
 
 
@@ -140,6 +140,12 @@ def split_documents(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, quarantine
 
 
+def not_in_index(good: DataFrame, index: DataFrame) -> DataFrame:
+    """Quarantine rows (reason, raw) of documents whose company is not indexed."""
+    lost = good.join(index.select("p"), "p", "left_anti")
+    return lost.select(F.lit("not_in_index").alias("reason"), F.to_json(F.struct("data")).alias("raw"))
+
+
 # --------------------------------------------------------------- features
 def _count(items: Column) -> Column:
     return F.when(items.isNull(), F.lit(0)).otherwise(F.size(items)).cast("bigint")
@@ -166,7 +172,7 @@ def page_stats(docs: DataFrame) -> DataFrame:
         F.coalesce(F.transform(R["categories"]["items"], lambda x: x["properties"]["name"]),
                    F.array().cast("array<string>")).alias("doc_categories"))
     return docs.select(
-        "p", page.alias("page"),
+        "p", page.alias("page"), F.coalesce(F.col("data.version"), F.lit(0)).cast("bigint").alias("version"),
         F.when(page == 0, hdr).alias("hdr"),
         _count(R["acquired_by"]["items"]).alias("n_acquired_by"),
         F.array_max(F.transform(R["acquired_by"]["items"], lambda x: x["type"]["announced_on"])).alias("acq_max"),
@@ -191,10 +197,21 @@ def page_stats(docs: DataFrame) -> DataFrame:
         F.coalesce(F.size(nz), F.lit(0)).cast("bigint").alias("nz_n"))
 
 
+def latest_pages(stats: DataFrame) -> DataFrame:
+    """The latest version of every (company, page): the highest version, then
+    the latest micro-batch where known, then the greatest content, so that a
+    re-sent document replaces the earlier one and reruns agree."""
+    first = [c for c in ("version", "batch_id") if c in stats.columns]
+    rest = [c for c in stats.columns if c not in ("p", "page", *first)]
+    newest = F.max(F.struct(*first, *rest)).alias("_newest")
+    return stats.groupBy("p", "page").agg(newest).select("p", "page", *[F.col(f"_newest.{c}") for c in rest])
+
+
 def combine_pages(stats: DataFrame, as_of=config.WORLD_AS_OF) -> DataFrame:
     """Step 2: per company, a partial aggregate of the page statistics joined
     with the header row -> the same feature columns as the relational
     ``profile_features`` (without the index columns)."""
+    stats = latest_pages(stats)
     agg = stats.groupBy("p").agg(
         F.sum("n_acquired_by").alias("n_acquired_by"), F.max("acq_max").alias("acq_max"),
         F.max_by("last_office", F.when(F.col("last_office").isNotNull(), F.col("page"))).alias("last_office"),
@@ -238,21 +255,10 @@ def document_features(docs: DataFrame, as_of=config.WORLD_AS_OF) -> DataFrame:
     return combine_pages(page_stats(docs), as_of)
 
 
-def document_rounds(docs: DataFrame) -> DataFrame:
-    """F19 in long form from documents: (p, page, d, a) for rounds with both
-    a date and an amount -- exploded per page, never gathered."""
-    r = docs.select("p", F.coalesce(F.col("data.page"), F.lit(0)).alias("page"),
-                    F.explode(F.col("data.relationships.funding_rounds.items")).alias("r"))
-    return (r.where(F.col("r.properties.money_raised_usd").isNotNull()
-                    & F.col("r.properties.announced_on").isNotNull())
-            .select("p", "page", F.col("r.properties.announced_on").alias("d"),
-                    F.col("r.properties.money_raised_usd").alias("a")))
-
-
 def with_index(features: DataFrame, index: DataFrame) -> DataFrame:
     """Attach the index score and categories (k, s, cat1, cat2) to document
     features, so the scoring operators accept them."""
     idx = index.select("p", F.col("s"), "c", F.get(F.col("c"), 0).alias("cat1"),
                        F.try_element_at(F.col("c"), F.lit(-1)).alias("cat2"),
-                       F.xxhash64("p").alias("k"))
+                       F.col("p").alias("k"))
     return features.join(idx, "p")

@@ -18,7 +18,6 @@ from .. import config
 from .tables import read_table
 
 # name variants by custkey % 4 and image presence by custkey % 5 are world rules
-_NAME_PARTKEYS = 200
 MONEY = "decimal(18,2)"
 
 
@@ -48,10 +47,11 @@ class World:
     def company(self) -> DataFrame:
         """p, k, n, i, s, cat1 (region), cat2 (segment), hq_city, hq_region."""
         cust = self._t("customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
-        # part (key range < 200), nation and region are dimension scans; the
-        # planner broadcasts them from their Parquet size statistics, and a
-        # larger-than-threshold input falls back to a shuffle join by itself.
-        part = self._t("part").where(F.col("p_partkey") < _NAME_PARTKEYS).select("p_partkey", "p_name")
+        # names go round the whole part table (keys 0 to count - 1); part, nation
+        # and region are dimension scans, broadcast from their Parquet size
+        # statistics, and a larger input falls back to a shuffle join by itself.
+        part = self._t("part").select("p_partkey", "p_name")
+        cust = cust.withColumn("_name_key", F.col("c_custkey") % self.part_count())
         nation = self._t("nation").select("n_nationkey", "n_name", "n_regionkey")
         region = self._t("region").select("r_regionkey", "r_name")
         k = F.col("c_custkey")
@@ -60,7 +60,7 @@ class World:
                 .when(k % 4 == 2, F.concat(F.col("p_name"), F.lit(" co!")))
                 .otherwise(F.col("p_name")))
         return (cust
-                .join(part, F.col("p_partkey") == k % _NAME_PARTKEYS)
+                .join(part, F.col("p_partkey") == F.col("_name_key"))
                 .join(nation, F.col("n_nationkey") == F.col("c_nationkey"))
                 .join(region, F.col("r_regionkey") == F.col("n_regionkey"))
                 .select(_permalink(k).alias("p"), k.alias("k"), name.alias("n"),
@@ -201,6 +201,10 @@ class World:
         """Number of customers as a scalar subquery (no join)."""
         return self._t("customer").select(F.count(F.lit(1))).scalar()
 
+    def part_count(self) -> Column:
+        """Number of parts as a scalar subquery (no join)."""
+        return self._t("part").select(F.count(F.lit(1))).scalar()
+
     @staticmethod
     def competitor_list(k: Column, nn: Column) -> Column:
         """The same competitors as an ordered array of one company's row

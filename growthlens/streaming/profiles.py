@@ -42,11 +42,12 @@ def run_profile_stream(spark: SparkSession, landing: str, index: DataFrame, pack
         DOC.page_stats(good).write.mode("overwrite").parquet(f"{out}/pages/batch_id={batch_id}")
         touched = spark.read.parquet(f"{out}/pages/batch_id={batch_id}").select("p").distinct()
         stats = (spark.read.parquet(f"{out}/pages").where(F.col("batch_id") <= batch_id)
-                 .join(touched, "p", "left_semi").drop("batch_id"))
+                 .join(touched, "p", "left_semi"))
         feats = DOC.with_index(DOC.combine_pages(stats, as_of), index)
         prof = SC.build_profiles(feats, packed_trees, baselines)
         (prof.select("p", "age", "success_all", "rate", F.lit(batch_id).alias("fetched_at"))
          .write.mode("overwrite").parquet(f"{out}/profiles/batch_id={batch_id}"))
+        bad = bad.unionByName(DOC.not_in_index(good, index))
         bad.write.mode("overwrite").parquet(f"{out}/quarantine/batch_id={batch_id}")
 
     q = (raw.writeStream.foreachBatch(score_batch).option("checkpointLocation", out + "/_checkpoint")
