@@ -9,8 +9,8 @@ seen), and numpy expands the pieces into ids.  The memo holds at most
 
 Two kinds of tokenizer are supported:
 
-``words``   white space is dropped, so every space is a boundary, and letters are lower-cased, so A-Z may be before
-            (but not where that could make a special-token string).
+``words``   white space is dropped, so every space is a boundary, and letters are lower-cased, so the memo holds ASCII
+            pieces in lower case (but none that could then be a special-token string).
 ``spaces``  byte-level BPE with the usual pattern: a space belongs to the word
             after it and runs of white space form pieces of their own.  A space
             is a boundary unless white space (or the end) stands on both of its
@@ -87,8 +87,6 @@ class PieceEncoder:
         if self.kind == "spaces":
             whole = pc.match_substring_regex(texts, _UNSURE_SPACE).to_numpy(zero_copy_only=False).copy()
             whole |= pc.equal(texts, "").to_numpy(zero_copy_only=False)
-        elif not pc.any(pc.match_substring(texts, "<|")).as_py():
-            texts = pc.ascii_lower(texts)
         lists = pc.split_pattern(texts, " ")
         starts = lists.offsets.to_numpy()
         starts = starts - starts[0]
@@ -111,7 +109,7 @@ class PieceEncoder:
             place[spot] = np.arange(len(spot))
             index = place[index]
         else:
-            pieces, inside = names, None
+            pieces = [p.lower() if p.isascii() and "<|" not in p else p for p in names]
         table = self._ids_of(pieces)
         size = np.fromiter(map(len, table), np.int64, len(table)) // 4
         if whole.any():
