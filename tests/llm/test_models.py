@@ -85,6 +85,18 @@ def test_pieces_equal_the_library(path, kind):
         assert [ids[at[k]:at[k + 1]].tolist() for k in range(len(texts))] == want
 
 
+@pytest.mark.parametrize("path,kind", [(WORDS, "words"), (BYTES, "spaces")])
+def test_slices_equal_the_library(path, kind, monkeypatch):
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table(f"{SF_SMALL}/documents.parquet", columns=["text"])["text"].combine_chunks()
+    monkeypatch.setattr(pieces, "SLICE_BYTES", 30_000)
+    monkeypatch.setattr(pieces, "MEMO_PIECES", 2_000)
+    encoder = pieces.PieceEncoder(path, kind)
+    got = [ids[at[k]:at[k + 1]].tolist() for _, ids, at in encoder.slices(texts) for k in range(len(at) - 1)]
+    assert got == [e.ids for e in encoder.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("width", [1, 7, 8, 13, 16, 17, 31, 32])
 def test_bits_round_trip(width):
     ids = np.random.default_rng(width).integers(0, 2**width, 1000, dtype=np.uint64).astype(np.uint32)
