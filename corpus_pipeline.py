@@ -17,6 +17,8 @@ from growthlens.session import materialize
 SHINGLE_WORDS = 5
 SIMILAR_PERCENT = 80
 TOKENIZER = "byte_bpe_50k.json"
+#: Smaller than the operator's own: the executors' heaps have grown in the stages before.
+MEMO_PIECES = 120_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +43,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents in packed sequences (operator 7)."""
-    return packing.digest(packing.pack(docs, tokenizer_file(TOKENIZER)))
+    return packing.digest(packing.pack(docs, tokenizer_file(TOKENIZER), memo=MEMO_PIECES))
 
 
 STAGES = [("language_id", language_id), ("exact_copies", exact_copies), ("near_copies", near_copies),

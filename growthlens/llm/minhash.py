@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from . import shingles
-from .common import numbered, take_rows, text_of
+from .common import giving_back, numbered, take_rows, text_of
 from .components import connected
 
 SYMBOLS = 64
@@ -121,7 +121,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     one = lambda x: sets.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("grams").alias(f"grams_{x}"))
     both = pairs.join(one("a"), "a").join(one("b"), "b")
     both = both.where(F.least("n_a", "n_b") * 100 >= percent * F.greatest("n_a", "n_b"))
-    got = both.mapInArrow(_common, "a bigint, b bigint, n_a bigint, n_b bigint, both bigint")
+    got = both.mapInArrow(giving_back(_common), "a bigint, b bigint, n_a bigint, n_b bigint, both bigint")
     return got.where(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
 
 
@@ -131,7 +131,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
         raise ValueError("the signature distances are proven for a similarity of 0.8 or more")
     text = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_of(docs).alias("text"))
     shas = text.withColumn("text_sha256", F.sha2("text", 256))
-    rows = materialize(shas.mapInArrow(_signatures(size), _SCHEMA), "op3-rows")
+    rows = materialize(shas.mapInArrow(giving_back(_signatures(size)), _SCHEMA), "op3-rows")
     classes = rows.where("n > 0").groupBy("h1", "h2").agg(
         F.min("doc_id").alias("doc_id"), *[F.max(c).alias(c) for c in ["n", *_SIG, *_BITS]])
     classes = numbered(classes, "op3-classes", "cid")
@@ -150,7 +150,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     wanted = classes.join(entries.select("cid").distinct(), "cid", "left_semi")
     ids = wanted.select(F.col("doc_id").alias("wanted")).distinct()
     texts = text.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
-    sets = texts.mapInArrow(_sets(size), "h1 bigint, h2 bigint, grams binary")
+    sets = texts.mapInArrow(giving_back(_sets(size)), "h1 bigint, h2 bigint, grams binary")
     sets = materialize(wanted.select("cid", "n", "h1", "h2").join(sets, ["h1", "h2"]).groupBy("cid").agg(
         F.max("n").alias("n"), F.max("grams").alias("grams")), "op3-sets")
 

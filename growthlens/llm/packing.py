@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pieces
-from .common import text_of
+from .common import giving_back, text_of
 
 WINDOW = 2048
 TIERS = (256, 512, 1024, 2048)
@@ -112,13 +112,13 @@ _SCHEMA = ("doc_id bigint, start bigint, length bigint, ids binary, doc_tokens b
            "offset bigint, tier bigint, step_group bigint")
 
 
-def pack(docs: DataFrame, path: str, kind: str = "spaces", end_id: int = 1) -> DataFrame:
+def pack(docs: DataFrame, path: str, kind: str = "spaces", end_id: int = 1, memo: int = pieces.MEMO_PIECES) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id, offset, tier (the
-    window's length) and step_group."""
+    window's length) and step_group.  ``memo`` bounds the pieces whose ids a Python worker remembers."""
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_of(docs).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = pieces.load(path, kind)
+        encoder = pieces.load(path, kind, memo)
         base = TaskContext.get().partitionId() << 33
         tail = np.array([end_id], "<u4")
         packer = Packer()
@@ -158,7 +158,7 @@ def pack(docs: DataFrame, path: str, kind: str = "spaces", end_id: int = 1) -> D
         if due:
             yield emit()
 
-    return rows.mapInArrow(run, _SCHEMA)
+    return rows.mapInArrow(giving_back(run), _SCHEMA)
 
 
 def _placed(window: list[Piece]) -> Iterator[tuple[int, Piece]]:

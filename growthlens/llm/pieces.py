@@ -4,8 +4,9 @@ Encoding a text equals encoding its space-separated pieces one by one as long
 as every cut is a boundary that the tokenizer itself makes.  The pieces of an
 Arrow batch are dictionary-encoded in Arrow, each distinct piece is looked up
 in a memo kept by the Python worker (the library encodes the ones not yet
-seen), and numpy expands the pieces into ids.  The memo holds at most
-``MEMO_PIECES`` pieces in two generations, so its memory is bounded.
+seen, ``LIBRARY_PIECES`` at a time), and numpy expands the pieces into ids.
+The memo holds at most ``memo`` pieces in two generations, so its memory is
+bounded; its size changes the speed alone.
 
 Two kinds of tokenizer are supported:
 
@@ -29,6 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 MEMO_PIECES = 600_000
+LIBRARY_PIECES = 8192
 LONG_PIECE = 64
 SLICE_BYTES = 4 << 20
 _WS = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}]"
@@ -37,10 +39,11 @@ _UNSURE_SPACE = _WS + " (?:" + _WS + "|$)"
 _loaded: dict[tuple[str, str], PieceEncoder] = {}
 
 
-def load(path: str, kind: str) -> PieceEncoder:
-    """The worker's encoder for a tokenizer file; kept between tasks."""
+def load(path: str, kind: str, memo: int = MEMO_PIECES) -> PieceEncoder:
+    """The worker's encoder for a tokenizer file, with a memo of at most ``memo`` pieces; kept between tasks."""
     if (path, kind) not in _loaded:
         _loaded[path, kind] = PieceEncoder(path, kind)
+    _loaded[path, kind].memo = memo
     return _loaded[path, kind]
 
 
@@ -52,13 +55,17 @@ class PieceEncoder:
             raise ValueError(f"unknown kind of tokenizer: {kind}")
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = kind
+        self.memo = MEMO_PIECES
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as native 32-bit integers."""
-        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in got]
+        out: list[bytes] = []
+        for a in range(0, len(texts), LIBRARY_PIECES):
+            got = self.tokenizer.encode_batch_fast(texts[a:a + LIBRARY_PIECES], add_special_tokens=False)
+            out += [array("I", e.ids).tobytes() for e in got]
+        return out
 
     def _ids_of(self, pieces: list[str]) -> list[bytes]:
         """Ids of each distinct piece, by memo or else by the library."""
@@ -76,7 +83,7 @@ class PieceEncoder:
                 found[k] = ids
                 if len(pieces[k]) <= LONG_PIECE:
                     young[pieces[k]] = ids
-        if len(young) > MEMO_PIECES // 2:
+        if len(young) > self.memo // 2:
             self._old, self._young = young, {}
         return found
 

@@ -11,7 +11,7 @@ import numpy as np
 import xxhash
 
 U = np.uint64
-MEMO_WORDS = 400_000
+MEMO_WORDS = 100_000
 _words: dict[bytes, int] = {}
 
 
