@@ -8,11 +8,11 @@ strictly greater index score -- so no per-company list is materialised.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
-from .ranking import positions, top_k
+from .ranking import top_k
 
 
 def known_competitors(edges: DataFrame, index: DataFrame) -> DataFrame:
@@ -22,9 +22,10 @@ def known_competitors(edges: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def competitor_list(edges: DataFrame, index: DataFrame) -> DataFrame:
-    """J2 + sort: competitors ordered by s desc (permalink asc on ties)."""
-    return positions(known_competitors(edges, index), ["p"],
-                     [F.col("s").desc(), F.col("competitor").asc()], "pos")
+    """J2 + sort: competitors ordered by s desc (permalink asc on ties).  A
+    group is the competitor list of one document, so a plain row number does."""
+    order = Window.partitionBy("p").orderBy(F.col("s").desc(), F.col("competitor").asc())
+    return known_competitors(edges, index).withColumn("pos", F.row_number().over(order).cast("bigint"))
 
 
 def competitor_rank(profiled: DataFrame, edges: DataFrame, index: DataFrame) -> DataFrame:

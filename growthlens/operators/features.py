@@ -154,9 +154,14 @@ def feature_vector(features: DataFrame) -> DataFrame:
     return features.select(*cols)
 
 
-def vector_array(features: DataFrame) -> DataFrame:
+def vector_columns() -> dict:
     """Feature vector as one ``array<double>`` (slot 1 null) plus ``emp``."""
     slots = [F.lit(None).cast("double") if i == config.EMPLOYEES_SLOT else F.col(n).cast("double")
              for i, n in enumerate(config.VECTOR_SLOTS)]
-    return features.select("p", "k", "s", "c", "doc_categories", F.array(*slots).alias("vec"),
-                           F.coalesce(F.col("num_employees"), F.lit("")).alias("emp"))
+    return {"vec": F.array(*slots), "emp": F.coalesce(F.col("num_employees"), F.lit(""))}
+
+
+def vector_array(features: DataFrame) -> DataFrame:
+    """The columns that scoring one category at a time reads."""
+    return features.select("p", "k", "s", "c", "doc_categories",
+                           *[c.alias(n) for n, c in vector_columns().items()])

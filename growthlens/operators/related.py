@@ -37,8 +37,26 @@ def category_candidates(lists: DataFrame, company_category: DataFrame, topk: Dat
     """Top-k companies of each list member's index categories, not on
     the original list.  The top-k side holds at most k rows per category;
     AQE broadcasts it once its runtime size is known to be small."""
-    cats = (lists.select("list_id", F.col("pos").alias("src_pos"), "p")
+    cats = list_categories(lists, company_category)
+    return _of_categories(cats, lists, topk)
+
+
+def list_categories(lists: DataFrame, company_category: DataFrame) -> DataFrame:
+    """The index categories of the list members: list_id, src_pos, sub, category."""
+    return (lists.select("list_id", F.col("pos").alias("src_pos"), "p")
             .join(company_category.select("p", F.col("ord").cast("bigint").alias("sub"), "category"), "p").drop("p"))
+
+
+def first_category_candidates(lists: DataFrame, company_category: DataFrame, topk: DataFrame) -> DataFrame:
+    """J4 with each category taken once per list, at its first occurrence,
+    before the top-k join: what ``first_discovery`` needs of it, without the
+    fan-out of categories that many members share."""
+    first = list_categories(lists, company_category).groupBy("list_id", "category").agg(
+        F.min(F.struct("src_pos", "sub")).alias("_at"))
+    return _of_categories(first.select("list_id", "_at.src_pos", "_at.sub", "category"), lists, topk)
+
+
+def _of_categories(cats: DataFrame, lists: DataFrame, topk: DataFrame) -> DataFrame:
     tk = topk.select("category", "rank", F.col("p").alias("cand"))
     c = cats.join(tk, "category").drop("category")
     return (c.join(lists.select("list_id", F.col("p").alias("cand")), ["list_id", "cand"], "left_anti")
@@ -54,6 +72,13 @@ def first_discovery(cands: DataFrame) -> DataFrame:
                         F.col("_k.rank").alias("rank"))
 
 
+def discoveries(lists: DataFrame, edges: DataFrame, index: DataFrame, company_category: DataFrame,
+                topk: DataFrame) -> DataFrame:
+    """Both sides of a list's candidates, each at its first discovery."""
+    return first_discovery(competitor_candidates(lists, edges, index).unionByName(
+        first_category_candidates(lists, company_category, topk)))
+
+
 def effective_scores(index: DataFrame, profiles: DataFrame) -> DataFrame:
     """J6 for related: success_all of a profiled company, else index s."""
     return (index.select("p", "n", "i", "s").join(profiles.select("p", "success_all"), "p", "left")
@@ -64,9 +89,7 @@ def related(lists: DataFrame, edges: DataFrame, index: DataFrame, company_catego
             topk: DataFrame, profiles: DataFrame) -> DataFrame:
     """Per list, <= 5 best competitors then the best category finds
     up to 11 in total, each side ordered by effective score desc."""
-    cands = competitor_candidates(lists, edges, index).unionByName(
-        category_candidates(lists, company_category, topk))
-    first = first_discovery(cands)
+    first = discoveries(lists, edges, index, company_category, topk)
     scored = first.join(effective_scores(index, profiles), "p")
     ranked = top_k(scored, ["list_id", "side"], [F.col("score").desc(), F.col("p").asc()],
                    config.RELATED_TOTAL, "side_rank")

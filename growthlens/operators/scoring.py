@@ -1,12 +1,13 @@
 """Success scoring (M3-M6), funding baselines (A2) and rate.
 
 Pipeline per profiled company: eligible categories are a row-local
-``filter``/``array_contains`` over the document and index categories; each
-is classified against its tree in a broadcast join (the model's size is
-proven small), so the scored rows are never shuffled by category; the
-per-company maximum is a partial aggregate on ``k`` joined back on ``k``.
-Baselines are partial aggregates per category; the rate joins them back on
-the company's last category.
+``filter``/``array_contains`` over the document and index categories.  A
+profile is scored inside its row (``with_success``); the long form, one row
+per company and category, classifies each against its tree in a broadcast
+join (the model's size is proven small), so the scored rows are never
+shuffled by category.  Baselines are partial aggregates per category; the
+rate is a column of the join with them on the company's last category, so a
+profile is built without a join of the features with themselves.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions.numeric import half_up_long, significant, truthy_number
 from . import trees as T
-from .features import vector_array
+from .features import vector_array, vector_columns
 
 
 def eligible_categories(features: DataFrame) -> DataFrame:
@@ -62,6 +63,33 @@ def success_overall(features: DataFrame, scores: DataFrame) -> DataFrame:
                     F.coalesce(F.col("success"), F.create_map().cast("map<string,double>")).alias("success")))
 
 
+def with_success(features: DataFrame, packed: DataFrame, row_local: bool = True) -> DataFrame:
+    """M5 beside the features: success_all and the category map ``success``.
+
+    A company's eligible categories are scored inside its own row, so that no
+    row is shuffled: the models arrive as one value (a scalar subquery), which
+    is right for a model of a proven size (``trees.MAX_BROADCAST_MODEL_BYTES``).
+    With ``row_local`` off, for larger models, the long form is joined back.
+    """
+    if not row_local:
+        succ = success_overall(features, score_categories(features, packed))
+        return features.join(succ.drop("p"), "k", "left")
+    eligible = F.array_distinct(F.filter("doc_categories", lambda c: F.array_contains(F.col("c"), c)))
+    rows = features.withColumns({**vector_columns(), "_models": T.models(packed).scalar()})
+    of_model = F.filter(F.transform(eligible, lambda c: F.struct(
+        c.alias("category"), F.try_element_at("_models", c).alias("m"))), lambda x: x["m"].isNotNull())
+    leaves = F.transform(of_model, lambda x: F.struct(x["category"].alias("category"), x["m"].alias("m"), T.walk(
+        F.col("vec"), F.col("emp"), *(x["m"][a] for a in ("cols", "nums", "strs", "tb", "fb", "depth"))).alias("leaf")))
+    scored = F.transform(leaves, lambda x: F.struct(x["category"].alias("category"), category_score(
+        F.col("s"), F.get(x["m"]["n0"], x["leaf"]), F.get(x["m"]["n1"], x["leaf"])).alias("score")))
+    rows = rows.withColumn("_scored", scored)
+    best = F.array_max(F.transform("_scored", lambda x: x["score"]))
+    rounded = F.map_from_entries(F.transform("_scored", lambda x: F.struct(
+        x["category"].alias("category"), significant(x["score"], config.SCORE_SIGNIFICANT_DIGITS).alias("score5"))))
+    return rows.select(*features.columns, F.coalesce(F.greatest(best, F.lit(0.0)), F.lit(0.0)).alias("success_all"),
+                       F.coalesce(rounded, F.create_map().cast("map<string,double>")).alias("success"))
+
+
 def monthly_funding(total_funding, age):
     """total_funding / max(age - 6, 1) when both are truthy."""
     ok = truthy_number(total_funding) & truthy_number(age)
@@ -84,20 +112,24 @@ def category_baselines(company_category: DataFrame, features: DataFrame,
             .where(F.col("t") > min_companies))
 
 
-def funding_rate(features: DataFrame, baselines: DataFrame, baseline: str = "r") -> DataFrame:
-    """round((monthly funding - baseline) / d) against the company's
-    last index category; null when a value or the baseline is missing."""
+def with_rate(features: DataFrame, baselines: DataFrame, baseline: str = "r") -> DataFrame:
+    """The features with ``rate`` = round((monthly funding - baseline)
+    / d) against the company's last index category; null when a value or the
+    baseline is missing."""
     # one row per category; AQE broadcasts it after checking its runtime size
     b = baselines.select(F.col("category").alias("cat2"), F.col(baseline).alias("_base"), F.col("d").alias("_d"))
     mf = monthly_funding(F.col("total_funding"), F.col("age"))
     rate = half_up_long(F.try_divide(mf - F.col("_base"), F.col("_d")))
-    return features.join(b, "cat2", "left").select("k", "p", rate.alias("rate"))
+    return features.join(b, "cat2", "left").withColumn("rate", rate).drop("_base", "_d")
+
+
+def funding_rate(features: DataFrame, baselines: DataFrame, baseline: str = "r") -> DataFrame:
+    """K, p, rate."""
+    return with_rate(features.select("k", "p", "cat2", "total_funding", "age"), baselines, baseline).select(
+        "k", "p", "rate")
 
 
 def build_profiles(features: DataFrame, packed: DataFrame, baselines: DataFrame,
                    baseline: str = "r") -> DataFrame:
     """M6: features + success + rate, one row per profiled company."""
-    scores = score_categories(features, packed)
-    succ = success_overall(features, scores)
-    rate = funding_rate(features, baselines, baseline)
-    return (features.join(succ.drop("p"), "k", "left").join(rate.drop("p"), "k", "left"))
+    return with_rate(with_success(features, packed), baselines, baseline)

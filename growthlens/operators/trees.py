@@ -167,6 +167,12 @@ def predict(rows: DataFrame, packed: DataFrame) -> DataFrame:
                     F.when(F.col("cols").isNull(), F.lit("no_model")).otherwise(F.lit("ok")).alias("reason"))
 
 
+def models(packed: DataFrame) -> DataFrame:
+    """All packed trees as one value: a map from category to arrays."""
+    parts = F.struct("cols", "nums", "strs", "tb", "fb", "n0", "n1", "depth")
+    return packed.agg(F.map_from_entries(F.collect_list(F.struct(F.col("category"), parts.alias("m")))).alias("models"))
+
+
 def tree_texts_from_constants(spark, trees: dict[str, str]) -> DataFrame:
     return spark.createDataFrame(sorted(trees.items()), "category string, json string")
 

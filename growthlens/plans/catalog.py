@@ -325,9 +325,7 @@ def related_by_category(spark, sf):
 @plan("related_dedup")
 def related_dedup(spark, sf):
     c = Ctx(spark, sf)
-    cands = RE.competitor_candidates(c.world.lists, c.edges, c.world.index).unionByName(
-        RE.category_candidates(c.world.lists, c.world.company_category, c.topk))
-    return RE.first_discovery(cands)
+    return RE.discoveries(c.world.lists, c.edges, c.world.index, c.world.company_category, c.topk)
 
 
 @plan("related")

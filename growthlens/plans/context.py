@@ -45,7 +45,7 @@ class Ctx:
 
     @cached_property
     def success(self) -> DataFrame:
-        return SC.success_overall(self.features, self.scores)
+        return SC.with_success(self.features, self.packed_trees).select("k", "p", "success_all", "success")
 
     @cached_property
     def baselines(self) -> DataFrame:
@@ -59,8 +59,7 @@ class Ctx:
     @cached_property
     def profiles(self) -> DataFrame:
         """features + success_all + success map + rate."""
-        return (self.features.join(self.success.drop("p"), "k", "left")
-                .join(self.rate.drop("p"), "k", "left"))
+        return SC.build_profiles(self.features, self.packed_trees, self.baselines, self.baseline)
 
     @cached_property
     def edges(self) -> DataFrame:

@@ -429,10 +429,11 @@ SELECTS.update({
     "funding_bounds": "SELECT p, min_amount, min_date, max_year FROM w_fb",
     "funding_scale": "SELECT p, pow FROM w_fb",
     "funding_timeline": """
-        SELECT y.p, make_date(CAST(y.year AS INT), 1, 1) AS d, y.amount / power(10.0, b.pow - 2) AS a
-        FROM w_fy y JOIN w_fb b ON b.p = y.p
-        UNION ALL
-        SELECT p, min_date AS d, 0.0 AS a FROM w_fb WHERE min_date < make_date(CAST(min_year AS INT), 1, 1)""",
+        SELECT p, CAST(row_number() OVER (PARTITION BY p ORDER BY d) - 1 AS INT) AS pos, d, a FROM (
+          SELECT y.p, make_date(CAST(y.year AS INT), 1, 1) AS d, y.amount / power(10.0, b.pow - 2) AS a
+          FROM w_fy y JOIN w_fb b ON b.p = y.p
+          UNION ALL
+          SELECT p, min_date AS d, 0.0 AS a FROM w_fb WHERE min_date < make_date(CAST(min_year AS INT), 1, 1))""",
     "funding_domain": f"""
         SELECT p,
           make_date(CAST(year(CASE WHEN min_date < make_date(CAST(min_year AS INT), 1, 1) THEN min_date
