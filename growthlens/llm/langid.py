@@ -111,28 +111,36 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(x: np.ndarray, y: np.ndarray, langs: list[str], seed: int = 5) -> Model:
-    """x: documents x BUCKETS counts as floats, overwritten; y: the language's number, len(langs) for noise."""
+def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, langs: list[str], seed: int = 5) -> Model:
+    """rows: the buckets and counts of each document; y: the language's number, len(langs) for noise.  Rows become
+    vectors of BUCKETS floats a few at a time."""
     k = len(langs) + 1
     if not langs:
         return Model([], np.zeros((BUCKETS, 1), np.float32), np.zeros(1), 1.0, 0.0)
     rng = np.random.default_rng(seed)
-    x /= np.maximum(x.sum(axis=1, keepdims=True), 1)
-    order = rng.permutation(len(x))
-    held = order[:len(x) // 6]
-    used = order[len(x) // 6:]
+
+    def dense(ks: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(ks), BUCKETS), np.float32)
+        for i, k in enumerate(ks):
+            at, n = rows[k]
+            x[i, at] = n / np.float32(max(n.sum(), 1))
+        return x
+
+    order = rng.permutation(len(rows))
+    held = order[:len(rows) // 6]
+    used = order[len(rows) // 6:]
     emb = rng.normal(0, 1, (BUCKETS, DIM)).astype(np.float32)
     out, bias = np.zeros((DIM, k), np.float32), np.zeros(k, np.float32)
     seen = np.zeros(BUCKETS, bool)
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
         for a in range(0, len(used), 32):
-            rows = rng.permutation(used)[:32] if len(used) < 32 else used[a:a + 32]
-            xs = x[rows]
+            some = rng.permutation(used)[:32] if len(used) < 32 else used[a:a + 32]
+            xs = dense(some)
             h = xs @ emb
             p = _softmax(h @ out + bias)
-            p[np.arange(len(rows)), y[rows]] -= 1
-            g = p / len(rows)
+            p[np.arange(len(some)), y[some]] -= 1
+            g = p / len(some)
             spot = np.flatnonzero(xs.any(axis=0))
             seen[spot] = True
             emb[spot] -= 60 * rate * (xs[:, spot].T @ (g @ out.T))
@@ -140,7 +148,9 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], seed: int = 5) -> Mode
             bias -= rate * g.sum(axis=0)
         rng.shuffle(used)
     emb[~seen] = 0  # says nothing
-    z = (x @ emb @ out + bias).astype(np.float64)
+    z = np.zeros((len(rows), k))
+    for a in range(0, len(held), 32):
+        z[held[a:a + 32]] = dense(held[a:a + 32]) @ emb @ out + bias
     temperature, reject = 1.0, REJECT_BELOW
     if len(held):
         loss = lambda t: -np.log(_softmax(z[held] / t)[np.arange(len(held)), y[held]] + 1e-12).mean()
@@ -190,7 +200,7 @@ def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     rows = rows.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy("lang").collect()}
     if not sizes:
-        return train(np.zeros((0, BUCKETS)), np.zeros(0, int), [])
+        return train([], np.zeros(0, int), [])
     langs = sorted(sizes)
     share = {lang: min(1.0, max_train / len(langs) / sizes[lang]) for lang in langs}
     mark = F.pmod(F.xxhash64(F.lit(3), F.col("doc_id")), F.lit(1 << 20)) / float(1 << 20)
@@ -209,11 +219,9 @@ def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model:
                                 "n": [c[s].astype(np.int32).tobytes() for c, s in zip(got, spots, strict=True)]})
 
     sample = sorted(((r[0] is None, r[0] or "", r[1], r[2]) for r in picked.mapInPandas(features, "lang string, at binary, n binary").collect()))
-    x, y = np.zeros((len(sample), BUCKETS), np.float32), np.zeros(len(sample), int)
-    for k, (made, lang, at, n) in enumerate(sample):
-        x[k, np.frombuffer(at, np.int32)] = np.frombuffer(n, np.int32)
-        y[k] = len(langs) if made else langs.index(lang)
-    return train(x, y, langs)
+    y = np.array([len(langs) if made else langs.index(lang) for made, lang, _, _ in sample], int)
+    return train([(np.frombuffer(at, np.int32), np.frombuffer(n, np.int32).astype(np.float32))
+                  for _, _, at, n in sample], y, langs)
 
 
 def predicted(model: Model, text: Column) -> Column:
