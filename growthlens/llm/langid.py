@@ -6,9 +6,10 @@ ASCII punctuation count as the word's boundary, which may stand at either end of
 languages' probabilities, and that of ``noise``.  Both tables are trained by stochastic gradient descent in numpy on a
 bounded sample of labelled rows (``MAX_TRAIN`` documents, as many of each language, and an excerpt of each), collected as hashed counts (at most
 BUCKETS numbers a document), never as text.  Noise is made from the sample: documents with their letters shuffled,
-random letters, and letters of other scripts.  A sixth of the sample is held back: on it the temperature of the softmax
-is fitted and the rejection score is set so that at most ``MAX_LOST`` of its rightly labelled documents are rejected, and
-never above ``REJECT_BELOW``.  A language is always predicted; a low score only marks it as rejected.
+random letters, and letters of other scripts.  A sixth of the documents, with all that is made of them, is held back: on
+it the temperature of the softmax is fitted, and the rejection score is the one at which the share of its language rows
+that are rejected plus the share of its noise that is kept is least (``Model.lost``, ``Model.kept``).  A document is
+rejected if noise is its top class or its score is below that.  A language is always predicted.
 
 Prediction is a map over whole texts: embedding and softmax are folded into one table of BUCKETS x languages floats,
 which is all that the tasks receive.  lang, source and doc_id are no inputs of a prediction.
@@ -22,7 +23,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -36,9 +37,8 @@ SIZES = (1, 2, 3, 4)
 DIM = 16
 MAX_TRAIN = 1200
 EPOCHS = 15
+LEAST_STEPS = 700
 RATE = 0.5
-REJECT_BELOW = 0.2
-MAX_LOST = 0.001
 NOISE_CHARS = 4000
 PIECE = 1 << 20
 _LETTER = re.compile(r"[^\W\d_]")
@@ -93,6 +93,8 @@ class Model:
     bias: np.ndarray
     temperature: float
     reject: float
+    lost: float = 0.0  # share of the held-back language rows that are rejected
+    kept: float = 0.0  # share of the held-back noise that is not
 
     def scores(self, text: str | None) -> np.ndarray | None:
         """Probabilities of the languages and of noise; None if the text has no letter or no language is known."""
@@ -105,15 +107,21 @@ class Model:
                 n += len(b)
         return _softmax((total / max(n, 1) + self.bias) / self.temperature)
 
+    def rejects(self, p: np.ndarray) -> np.ndarray:
+        """Whether rows of probabilities are rejected: noise is the top class, or no language has enough."""
+        best = p[..., :-1].max(axis=-1)
+        return (p[..., -1] >= best) | (best < self.reject)
+
 
 def _softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, langs: list[str], seed: int = 5) -> Model:
-    """rows: the buckets and counts of each document; y: the language's number, len(langs) for noise.  Rows become
-    vectors of BUCKETS floats a few at a time."""
+def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, langs: list[str], back: np.ndarray,
+          seed: int = 5) -> Model:
+    """rows: the buckets and counts of each document; y: the language's number, len(langs) for noise; back: whether it
+    is held back.  Rows become vectors of BUCKETS floats a few at a time."""
     k = len(langs) + 1
     if not langs:
         return Model([], np.zeros((BUCKETS, 1), np.float32), np.zeros(1), 1.0, 0.0)
@@ -126,14 +134,16 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, langs: list[
             x[i, at] = n / np.float32(max(n.sum(), 1))
         return x
 
-    order = rng.permutation(len(rows))
-    held = order[:len(rows) // 6]
-    used = order[len(rows) // 6:]
+    if back.all():  # a few rows
+        back = ~back
+    held = np.flatnonzero(back)
+    used = rng.permutation(np.flatnonzero(~back))
     emb = rng.normal(0, 1, (BUCKETS, DIM)).astype(np.float32)
     out, bias = np.zeros((DIM, k), np.float32), np.zeros(k, np.float32)
     seen = np.zeros(BUCKETS, bool)
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = max(EPOCHS, -(-LEAST_STEPS * 32 // len(used)))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         for a in range(0, len(used), 32):
             some = rng.permutation(used)[:32] if len(used) < 32 else used[a:a + 32]
             xs = dense(some)
@@ -151,15 +161,28 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, langs: list[
     z = np.zeros((len(rows), k))
     for a in range(0, len(held), 32):
         z[held[a:a + 32]] = dense(held[a:a + 32]) @ emb @ out + bias
-    temperature, reject = 1.0, REJECT_BELOW
-    if len(held):
-        loss = lambda t: -np.log(_softmax(z[held] / t)[np.arange(len(held)), y[held]] + 1e-12).mean()
-        temperature = float(min(np.geomspace(0.2, 5, 60), key=loss))
-        p = _softmax(z[held] / temperature)
-        right = p.max(axis=1)[(p.argmax(axis=1) == y[held]) & (y[held] < len(langs))]
-        if len(right):
-            reject = float(min(REJECT_BELOW, np.quantile(right, MAX_LOST)))
-    return Model(langs, (emb @ out).astype(np.float32), bias.astype(np.float64), temperature, reject)
+    model = Model(langs, (emb @ out).astype(np.float32), bias.astype(np.float64), 1.0, 0.0)
+    if not len(held):
+        return model
+    loss = lambda t: -np.log(_softmax(z[held] / t)[np.arange(len(held)), y[held]] + 1e-12).mean()
+    temperature = float(min(np.geomspace(0.2, 5, 60), key=loss))
+    return replace(model, temperature=temperature, **rejection(_softmax(z[held] / temperature), y[held] == len(langs)))
+
+
+def rejection(p: np.ndarray, made: np.ndarray) -> dict[str, float]:
+    """reject, lost and kept for the probabilities of held-back rows, of which ``made`` are noise: the score of least
+    lost + kept; of several the highest of those that lose least, since what held-back languages never score is unsure."""
+    best = p[:, :-1].max(axis=1)
+    top = p[:, -1] >= best
+    ends = np.unique(np.concatenate([[0.0], best, [1.0]]))
+
+    def errors(reject: float) -> tuple[float, float]:
+        gone = top | (best < reject)
+        return (float(gone[~made].mean()) if (~made).any() else 0.0, float((~gone[made]).mean()) if made.any() else 0.0)
+
+    reject = min(((ends[1:] + ends[:-1]) / 2).tolist(), key=lambda t: (round(sum(errors(t)), 9), errors(t)[0], -t))
+    lost, kept = errors(reject)
+    return {"reject": reject, "lost": lost, "kept": kept}
 
 
 def noise(text: str, kind: int) -> str:
@@ -200,7 +223,7 @@ def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     rows = rows.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy("lang").collect()}
     if not sizes:
-        return train([], np.zeros(0, int), [])
+        return train([], np.zeros(0, int), [], np.zeros(0, bool))
     langs = sorted(sizes)
     share = {lang: min(1.0, max_train / len(langs) / sizes[lang]) for lang in langs}
     mark = F.pmod(F.xxhash64(F.lit(3), F.col("doc_id")), F.lit(1 << 20)) / float(1 << 20)
@@ -210,18 +233,25 @@ def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     def features(batches):
         for pdf in batches:
             both = [*zip(pdf["lang"], pdf["text"], strict=True)]
-            extra = [(lang, excerpt(t)) for lang, t in both]
-            extra += [(None, noise(excerpt(t) if k % 4 else t, k % 3)) for k, (_, t) in enumerate(both) if k % 2 == 0]
-            texts = both + extra
-            got = [counts(t) for _, t in texts]
+            back = [zlib.crc32(t.encode("utf-8", "ignore")) % 6 == 0 for _, t in both]
+            texts = [(lang, t, b) for (lang, t), b in zip(both, back, strict=True)]
+            texts += [(lang, excerpt(t), b) for (lang, t), b in zip(both, back, strict=True)]
+            for k, ((_, t), b) in enumerate(zip(both, back, strict=True)):
+                if b or k % 4 == 0:
+                    texts.append((None, noise(t, k % 3), b))
+                if b or k % 4 == 2:
+                    texts.append((None, noise(excerpt(t), k % 3), b))
+            got = [counts(t) for _, t, _ in texts]
             spots = [np.flatnonzero(c) for c in got]
-            yield pd.DataFrame({"lang": [lang for lang, _ in texts], "at": [s.astype(np.int32).tobytes() for s in spots],
+            yield pd.DataFrame({"lang": [lang for lang, _, _ in texts], "back": [b for _, _, b in texts],
+                                "at": [s.astype(np.int32).tobytes() for s in spots],
                                 "n": [c[s].astype(np.int32).tobytes() for c, s in zip(got, spots, strict=True)]})
 
-    sample = sorted(((r[0] is None, r[0] or "", r[1], r[2]) for r in picked.mapInPandas(features, "lang string, at binary, n binary").collect()))
-    y = np.array([len(langs) if made else langs.index(lang) for made, lang, _, _ in sample], int)
+    made = picked.mapInPandas(features, "lang string, back boolean, at binary, n binary")
+    sample = sorted(((r[0] is None, r[0] or "", r[1], r[2], r[3]) for r in made.collect()))
+    y = np.array([len(langs) if none else langs.index(lang) for none, lang, _, _, _ in sample], int)
     return train([(np.frombuffer(at, np.int32), np.frombuffer(n, np.int32).astype(np.float32))
-                  for _, _, at, n in sample], y, langs)
+                  for _, _, _, at, n in sample], y, langs, np.array([r[2] for r in sample], bool))
 
 
 def predicted(model: Model, text: Column) -> Column:
@@ -233,7 +263,7 @@ def predicted(model: Model, text: Column) -> Column:
             p = model.scores(t)
             best = 0 if p is None else int(p[:-1].argmax())
             out.append(("und", 0.0, True) if p is None else (
-                model.langs[best], float(p[best]), bool(p[best] < model.reject)))
+                model.langs[best], float(p[best]), bool(model.rejects(p))))
         return pd.DataFrame(out, columns=["lang_pred", "score", "rejected"])
     return guess(text)
 

@@ -74,6 +74,22 @@ def test_language(spark, edges):
     assert all(r.lang_pred == "und" and r.score == 0 for r in odd if r.doc_id in (3, 4, 5, 6))
 
 
+def test_rejection_is_fitted(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs)
+    assert len(model.langs) == 4 and model.reject > 0.25 and model.lost < 0.05 and model.kept < 0.05
+    assert model.rejects(np.array([[0.25, 0.25, 0.25, 0.25, 0], [0, 0.21, 0, 0, 0.79], [0, 0.97, 0, 0, 0.03]])).tolist() \
+        == [True, True, False]
+    texts = [r.text for r in docs.where("doc_id % 4 = 0").collect() if r.text]
+    made = spark.createDataFrame([(k, langid.noise(t, k % 3)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = made.select(langid.predicted(model, made["text"]).alias("p")).select("p.*").collect()
+    assert np.mean([r.rejected for r in got if r.lang_pred != "und"]) > 0.97
+    # scores of held-back rows: languages at 0.6 and more, noise up to 0.4; the threshold lies where both end
+    p = np.array([[0.9, 0, 0.1], [0, 0.7, 0.3], [0.6, 0.3, 0.1], [0.4, 0.3, 0.3], [0.1, 0.3, 0.6]])
+    fitted = langid.rejection(p, np.array([False, False, False, True, True]))
+    assert 0.4 < fitted["reject"] < 0.6 and fitted["lost"] == fitted["kept"] == 0
+
+
 @pytest.mark.parametrize("path,kind", [(WORDS, "words"), (BYTES, "spaces")])
 def test_pieces_equal_the_library(path, kind):
     rnd = random.Random(3)
