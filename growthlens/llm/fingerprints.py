@@ -7,8 +7,10 @@ each octave of time (0 to 16, 16 to 32, 32 to 64, ...), one hex digit each, ``-`
 any length share their samples.  The likeness of two fingerprints weighs the samples by the steps that they stand for
 and takes off the agreement expected by chance.
 
-``neighbours`` finds close documents: bands of sampled digits are the buckets, each bucket's members are compared with
-its least member (no pairs within a bucket), and the likeness verifies.
+``neighbours`` finds close documents: equal fingerprints form classes, bands of sampled digits are the classes' buckets,
+and the likeness verifies.  A bucket's members are compared with its least member; those that are then still in different
+components are compared with one another in bounded blocks.  So any two bucket partners that are alike end up connected,
+without a group being expanded into pairs.  No registered query calls it: op6_fingerprints only makes fingerprints.
 
 For a text and the next in descending order of doc_id the walk over the edited text (its second half replaced by the
 start of the next) goes on from where the walk over the text stood.  Texts are range-partitioned by doc_id once; a task
@@ -29,11 +31,12 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import text_of
+from .common import numbered, text_of
+from .components import across, connected
 
 PERIOD = 1 << 12
 SYMBOLS = 256
@@ -227,20 +230,83 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return made.where("place is null").select(*cols).unionByName(seams.select(*cols))
 
 
+def _filled(fingerprint: str = "fingerprint") -> Column:
+    """Digits of a fingerprint before its end."""
+    return F.length(F.regexp_replace(fingerprint, "-", ""))
+
+
+def _alike(least: float, short: int):
+    def links(table: pa.Table) -> pa.Table:
+        """Links of bucket partners that join two labels for the first time."""
+        cids, marks = table.column("cid").to_pylist(), table.column("fingerprint").to_pylist()
+        label = np.unique(table.column("label").to_numpy(), return_inverse=True)[1]
+        n, pad = max(map(len, marks)), ord("-")
+        x = np.frombuffer("".join(m.ljust(n, "-") for m in marks).encode(), np.uint8).reshape(len(marks), n)
+        bands = x.reshape(len(x), -1, BAND)
+        whole, bands = (bands != pad).all(axis=2), np.ascontiguousarray(x).view(np.uint64)
+        few = (x != pad).sum(axis=1) <= short
+        spans = np.repeat([_octave(k)[1] - _octave(k)[0] for k in range(n // SAMPLES)], SAMPLES)
+        out = []
+        for i in range(len(x)):
+            partner = ((bands == bands[i]) & whole & whole[i]).any(axis=1)
+            if few[i]:
+                partner |= few & ((x[:, :BAND - 1] == x[i, :BAND - 1]) & (x[:, :BAND - 1] != pad)).any(axis=1)
+            js = np.flatnonzero(partner & (label != label[i]))
+            weight = spans * ((x[js] != pad) | (x[i] != pad))
+            same = (weight * (x[js] == x[i])).sum(axis=1) / weight.sum(axis=1)
+            for j, v in zip(js, np.clip((same - 1 / 16) / (1 - 1 / 16), 0, 1), strict=True):
+                if v >= least and label[j] != label[i]:
+                    out.append((cids[i], cids[j], float(v)))
+                    label[label == label[j]] = label[i]
+        a, b, v = zip(*out, strict=True) if out else ((), (), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "likeness": pa.array(v, pa.float64())})
+    return links
+
+
 def neighbours(marked: DataFrame, least: float = 0.5) -> DataFrame:
-    """Verified links (a, b, likeness) between documents (doc_id, fingerprint) that share a band of ``BAND`` sampled
-    digits in one of the first octaves, each bucket's members with its least member."""
-    bands = F.filter(F.transform(F.sequence(F.lit(0), F.floor(F.length("fingerprint") / BAND).cast("int") - 1),
-                                 lambda i: F.struct(i.alias("band"), F.substring("fingerprint", i * BAND + 1, F.lit(BAND))
-                                                    .alias("digits"))), lambda b: ~F.contains(b["digits"], F.lit("-")))
-    marked = marked.select("doc_id", "fingerprint")
-    entries = marked.select("doc_id", F.explode(bands).alias("b")).select("doc_id", "b.*")
-    heads = entries.groupBy("band", "digits").agg(F.min("doc_id").alias("a"))
-    links = entries.join(heads, ["band", "digits"]).where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    """Verified links (a, b, likeness), a < b, that connect all documents (doc_id, fingerprint) which are alike and share
+    a band of ``BAND`` sampled digits; not every such pair is given, but its two documents are always connected.
+
+    Texts that end before their first band does have no band.  A partner of one, alike by ``least``, has at most ``short``
+    digits and shares one of the first digits with it, so these digits are buckets of texts as short as that.  Equal
+    fingerprints are linked to the least doc_id, whatever their bands.  Rows with a null id take no part.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("least must be above 0 and at most 1")
+    short = int((BAND - 1) / (least * 15 / 16 + 1 / 16))
+    marked = marked.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "fingerprint")
+    classes = numbered(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "op6-classes", "cid")
+    equal = marked.join(classes, "fingerprint").where("first <> doc_id").select(
+        F.col("first").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("likeness")).distinct()
+
+    def buckets(size: int, count: Column) -> Column:
+        all_of = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.concat_ws(
+            ":", F.lit(size), i, F.substring("fingerprint", i * size + 1, F.lit(size))))
+        return F.filter(all_of, lambda b: ~F.contains(b, F.lit("-")))
+
+    of_short = F.when(_filled() <= short, buckets(1, F.lit(BAND - 1))).otherwise(F.array().cast("array<string>"))
+    index = F.concat(buckets(BAND, F.floor(F.length("fingerprint") / BAND).cast("int")), of_short)
+    entries = materialize(classes.select("cid", F.explode(index).alias("bucket")), "op6-entries")
+    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("cid").alias("a")).where(
+        "members > 1").select("bucket", "a")
+    pairs = entries.join(shared, "bucket").where("a <> cid").select("a", F.col("cid").alias("b")).distinct()
 
     @F.pandas_udf("double")
     def alike(x, y):
         return x.combine(y, likeness).astype("float64")
 
-    both = links.join(marked.toDF("a", "fa"), "a").join(marked.toDF("b", "fb"), "b")
-    return both.select("a", "b", alike("fa", "fb").alias("likeness")).where(F.col("likeness") >= least)
+    one = lambda c: classes.select(F.col("cid").alias(c), F.col("fingerprint").alias(f"f{c}"))
+    star = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", alike("fa", "fb").alias("likeness"))
+    star = materialize(star.where(F.col("likeness") >= least), "op6-star")
+
+    labels = connected(star.select("a", "b"), "op6-star").withColumnRenamed("node", "cid")
+    named = entries.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    mixed = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    rest = materialize(named.join(mixed.select("bucket"), "bucket"), "op6-rest")
+    more = across(rest, classes.select("cid", "fingerprint"), _alike(least, short),
+                  "a bigint, b bigint, likeness double", "op6")
+
+    name = lambda c: classes.select(F.col("cid").alias(c), F.col("first").alias(f"id_{c}"))
+    found = star.unionByName(more).join(name("a"), "a").join(name("b"), "b").select(
+        F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "likeness").where("a <> b")
+    return found.unionByName(equal).groupBy("a", "b").agg(F.max("likeness").alias("likeness"))

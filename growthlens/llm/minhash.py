@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from . import shingles
 from .common import giving_back, numbered, take_rows, text_of
-from .components import connected
+from .components import across, connected
 
 SYMBOLS = 64
 CHUNKS = 16
@@ -43,7 +43,6 @@ MAX_DISTANCE = 2 * CHUNKS - 1
 SKETCH = 256
 MAX_BITS = 52
 SEED = 11
-BLOCK = 500
 _MASKS = np.array([2**64 - 1 - (0xFFFF << (16 * j)) for j in range(4)], np.uint64).view(np.int64).tolist()
 _SIG = [f"s{i}" for i in range(CHUNKS)]
 _BITS = [f"b{i}" for i in range(SKETCH // 64)]
@@ -189,33 +188,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
 
 
 def _across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links between different labels among the bucket members ``rest`` (bucket, cid, label).
-
-    Families are the components of the buckets, so every pair in question lies inside one.  A family is cut into blocks
-    of about ``BLOCK`` members; members of a label that fills blocks by itself get blocks of their own.  Each pair of
-    blocks (but two of the same label) is one bounded group, compared on full sets inside a task, which only gives the
-    links that join two labels for the first time.
-    """
-    heads = rest.groupBy("bucket").agg(F.min("cid").alias("a"))
-    families = connected(rest.join(heads, "bucket").select("a", F.col("cid").alias("b")), "op3-families")
-    nodes = rest.select("cid", "label").distinct().join(families.select(
-        F.col("node").alias("cid"), F.col("label").alias("family")), "cid")
-    nodes = materialize(nodes, "op3-members")
-    of_label = nodes.groupBy("family", "label").agg(F.count(F.lit(1)).alias("members"))
-    part = F.when(F.col("members") >= BLOCK, F.col("label")).otherwise(F.lit(-1))
-    of_part = of_label.groupBy("family", part.alias("part")).agg(F.sum("members").alias("in_part"))
-    nodes = nodes.join(of_label, ["family", "label"]).withColumn("part", part).join(of_part, ["family", "part"])
-    nodes = nodes.select("cid", "label", "family", "part", F.pmod(
-        F.xxhash64("cid"), F.ceil(F.col("in_part") / BLOCK)).alias("block"))
-    nodes = materialize(nodes, "op3-blocks")
-    blocks = nodes.select("family", "part", "block").distinct()
-    x, y = (blocks.select("family", F.struct("part", "block").alias(c)) for c in "xy")
-    groups = x.join(y, "family").where("x <= y and (x = y or x.part <> y.part or x.part = -1)")
-    groups = groups.where("not (x = y and x.part <> -1)").select("family", F.struct("family", "x", "y").alias("task"),
-                                                                 F.explode(F.array_distinct(F.array("x", "y"))).alias("at"))
-    held = nodes.join(groups.select("task", "family", "at.part", "at.block"), ["family", "part", "block"])
-    held = held.select("task", "cid", "label").join(sets, "cid")
-
+    """Links between different labels among the bucket members ``rest`` (bucket, cid, label), confirmed on full sets."""
     def links(table: pa.Table) -> pa.Table:
         labels, cids = table.column("label").to_pylist(), table.column("cid").to_pylist()
         got = [np.frombuffer(g.as_buffer(), np.uint64) for g in table.column("grams")]
@@ -223,7 +196,7 @@ def _across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return pa.table({"a": pa.array([cids[i] for i, _ in pairs], pa.int64()),
                          "b": pa.array([cids[j] for _, j in pairs], pa.int64())})
 
-    return held.groupBy("task").applyInArrow(links, "a bigint, b bigint")
+    return across(rest, sets, links, "a bigint, b bigint", "op3")
 
 
 def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

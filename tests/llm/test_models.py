@@ -11,7 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from llm_cases import SF_SMALL, edges, empty  # noqa: F401
-from growthlens.llm import bitpack, counting, fingerprints, langid, minhash, packing, pieces
+from growthlens.llm import bitpack, components, counting, fingerprints, langid, minhash, packing, pieces
 from growthlens.llm.common import tokenizer_file
 
 WORDS, BYTES = tokenizer_file("word_bpe_49k.json"), tokenizer_file("byte_bpe_50k.json")
@@ -169,6 +169,60 @@ def test_edit_likeness_and_bands(spark):
     assert [(r.a, r.b) for r in fingerprints.neighbours(df).collect()] == [(1, 2)]
 
 
+def connected_sets(nodes, links):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    out = defaultdict(set)
+    for n in nodes:
+        out[find(n)].add(n)
+    return sorted(map(sorted, out.values()))
+
+
+@pytest.mark.parametrize("block", [3, 500])
+def test_neighbours_connect_what_brute_force_does(spark, block, monkeypatch):
+    monkeypatch.setattr(components, "BLOCK", block)
+    rnd = random.Random(6)
+    make = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    opening, texts = make(300), []
+    for _ in range(12):  # pairs of alike texts behind an opening that all of them share
+        t = make(3000)
+        texts += [opening + t, opening + t[:1500] + "Z" + t[1501:]]
+    texts = [opening + make(3000)] + texts + ["", "", "a", "a", "b", "ab", "abc", "abd", "ba", "hello", "hello!", texts[0]]
+    mark = [fingerprints.pair([t], [t])[0][2] for t in texts]
+    digits = [m.rstrip("-") for m in mark]
+
+    def partners(i, j):
+        bands = [{(k, m[k:k + 8]) for k in range(0, len(m) - 7, 8)} for m in (digits[i], digits[j])]
+        short = max(len(digits[i]), len(digits[j])) <= 13 and any(x == y for x, y in zip(digits[i][:7], digits[j][:7]))
+        return mark[i] == mark[j] or bands[0] & bands[1] or short
+
+    n = len(texts)
+    close = [(i, j) for i in range(n) for j in range(i) if fingerprints.likeness(mark[i], mark[j]) >= 0.5]
+    df = spark.createDataFrame(list(enumerate(mark)), "doc_id long, fingerprint string")
+    got = fingerprints.neighbours(df).collect()
+    assert connected_sets(range(n), [(r.a, r.b) for r in got]) == connected_sets(range(n), [p for p in close if partners(*p)])
+    # very short texts miss no partner at all
+    assert all(partners(i, j) for i, j in close if min(len(digits[i]), len(digits[j])) < 8)
+    assert all(r.a < r.b and r.likeness == fingerprints.likeness(mark[r.a], mark[r.b]) for r in got)
+    assert fingerprints.neighbours(df.limit(0)).collect() == []
+
+
+def test_neighbours_behind_a_shared_band(spark):
+    rnd = random.Random(7)
+    b = [rnd.choice("0123456789abcdef") for _ in range(64)]
+    c = [("0" if d != "0" else "1") if k >= 8 and k % 8 == 3 else d for k, d in enumerate(b)]  # shares the first band only
+    a = b[:8] + [("0" if d != "0" else "1") for d in b[8:]]
+    df = spark.createDataFrame([(k, "".join(m)) for k, m in enumerate((a, b, c))], "doc_id long, fingerprint string")
+    assert [(r.a, r.b) for r in fingerprints.neighbours(df).collect()] == [(1, 2)]
+
+
 def test_packing(edges):
     t = Tokenizer.from_file(BYTES)
     df = edges.where("doc_id is not null").dropDuplicates(["doc_id"])
