@@ -124,8 +124,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return got.where(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, text_sha256."""
+def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, text_sha256 and label, which is of one component
+    only and null for rows without shingles."""
     if percent < 80:
         raise ValueError("the signature distances are proven for a similarity of 0.8 or more")
     text = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_of(docs).alias("text"))
@@ -177,13 +178,18 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     known = classes.select("cid", "h1", "h2", F.col("doc_id").alias("first")).join(
         labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     names = known.groupBy("label").agg(F.min("first").alias("component_id"))
-    known = materialize(known.select("h1", "h2", "label").join(names, "label").select("h1", "h2", "component_id"),
+    known = materialize(known.select("h1", "h2", "label").join(names, "label").select("h1", "h2", "component_id", "label"),
                         "op3-known")
     out = rows.where("n > 0").select("doc_id", "n", "text_sha256", "h1", "h2").join(known, ["h1", "h2"]).select(
-        "doc_id", F.col("n").alias("n_shingles"), "component_id", "text_sha256")
+        "doc_id", F.col("n").alias("n_shingles"), "component_id", "text_sha256", "label")
     lone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"),
-                                      "text_sha256")
-    return out.unionByName(lone).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(
+                                      "text_sha256", F.lit(None).cast("bigint").alias("label"))
+    return out.unionByName(lone)
+
+
+def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, text_sha256."""
+    return _components(docs, size, percent).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(
         F.col("component_id")).alias("kept"), "text_sha256")
 
 
@@ -200,5 +206,10 @@ def _across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each component of near duplicates; all columns pass unchanged."""
-    return take_rows(docs, near_duplicates(docs, size, percent).where("kept"))
+    """``docs`` with one row of each component of near duplicates, that of the least doc_id (null last), then of the least
+    text hash; all columns pass unchanged."""
+    least = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("doc_id"),
+                           F.col("text_sha256").alias("text_sha256"))).alias("least")
+    lone = F.when(F.col("label").isNull(), F.struct("doc_id", "text_sha256")).alias("lone")
+    kept = _components(docs, size, percent).groupBy("label", lone).agg(least)
+    return take_rows(docs, kept.select("least.doc_id", "least.text_sha256"))

@@ -60,6 +60,20 @@ def test_near_duplicates(spark, edges):
         assert got == sorted(plain_components(docs, 4), key=str)
 
 
+def test_one_row_of_each_component_stays(spark):
+    def copies(name, n):
+        w = [f"{name}{k}" for k in range(200)]
+        return [" ".join(w[:40 * k] + ["new"] + w[40 * k:]) for k in range(n)]
+
+    nameless, again, other = copies("a", 4), copies("b", 4), copies("c", 3)
+    rows = [(None, t) for t in nameless] + list(zip((5, 5, 7, None), again, strict=True)) + [(5, t) for t in other]
+    rows += [(None, ""), (8, "")]
+    got = minhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    first = lambda texts: min(texts, key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    want = [(None, first(nameless)), (5, first(again[:2])), (5, first(other)), (None, ""), (8, "")]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_language(spark, edges):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     lang = {r.doc_id: r.lang for r in docs.collect()}
