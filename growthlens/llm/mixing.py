@@ -8,10 +8,12 @@ document plus half of its own stay within the budget; so the words taken end wit
 
 No source is sorted in one task: the keys are mapped monotonically to ``BINS`` bins, the words of each (source, bin) are
 summed (combined on the map side), running sums over at most ``BINS`` rows a source find the one bin where the budget
-ends, and only the documents of that bin are ordered.  The text itself is not shuffled.
+ends, and only the documents of that bin are ordered.  While that bin holds more than ``ORDERED`` documents (low quality
+weights, repeated ids), it is binned again between its own least and largest key, then size, then text hash.  The text
+itself is not shuffled.
 
 Defined cases: a null text has size 0; documents of size 0 are taken zero times; equal keys (repeated rows) are ordered
-by size and then alike, so reruns agree; sources without words have target 0; an empty table gives an empty result;
+by size and text hash, so reruns agree; sources without words have target 0; an empty table gives an empty result;
 other columns are ignored, whatever their names.
 """
 
@@ -20,12 +22,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .common import numbered, take_rows, text_of
 
 SHARE = 1.5
 MAX_EPOCHS = 2
 WEIGHTS = (3, 1, 2)
 BINS = 1 << 16
+ORDERED = 1 << 14
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -77,26 +81,62 @@ def mix(docs: DataFrame, share: float = SHARE, seed: int = 7, weight: Column | N
         F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(0).cast("bigint"))
     plan = plan.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
 
-    per_bin = rows.groupBy("source", "bin").agg(F.sum("size").alias("words"))
-    upto = Window.partitionBy("source").orderBy("bin")
-    same = F.col("source").eqNullSafe(F.col("plan_source"))
     named = plan.withColumnRenamed("source", "plan_source")
-    bins = per_bin.withColumn("end", F.sum("words").over(upto)).join(named, same)
-    last = bins.groupBy("plan_source", "source_size", "target", "epochs", "budget").agg(
-        F.min(F.when(F.col("end") > F.col("budget"), F.struct("bin", (F.col("end") - F.col("words")).alias("before"))))
-        .alias("cut"))
-    last = last.select("plan_source", "source_size", "target", "epochs", "budget",
-                       F.coalesce("cut.bin", F.lit(BINS)).alias("cut_bin"),
-                       F.coalesce("cut.before", F.lit(0)).alias("cut_before"))
-    whole = rows.join(last, same)
-    inside = whole.where(F.col("bin") == F.col("cut_bin"))
-    in_order = Window.partitionBy("source").orderBy("key", "size", "doc_id", "text_sha256", "rid")
-    before = F.coalesce(F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = inside.withColumn("more", F.col("cut_before") + before + F.col("size") / 2 <= F.col("budget"))
-    outside = whole.where(F.col("bin") != F.col("cut_bin")).withColumn("more", F.col("bin") < F.col("cut_bin"))
-    both = outside.unionByName(inside)
-    return both.select("doc_id", "text_sha256", "size", "source", "source_size", "target",
-                       ((F.col("epochs") + F.col("more").cast("bigint")) * F.col("size")).alias("taken"))
+    todo = rows.withColumn("hash", F.conv(F.substring("text_sha256", 1, 13), 16, 10).cast("bigint")).join(
+        named, F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source").withColumn("before", F.lit(0).cast("bigint"))
+    parts = []
+    while todo is not None:
+        cuts = materialize(_cuts(todo), "op10-cuts")
+        whole = todo.drop("before").join(cuts, F.col("source").eqNullSafe(F.col("cut_source")))
+        parts.append(whole.where("bin <> cut_bin").withColumn("more", F.col("bin") < F.col("cut_bin")))
+        inside = whole.where("bin = cut_bin").withColumnRenamed("cut_before", "before")
+        parts.append(_ordered(inside.where(F.col("members") <= ORDERED)))
+        todo = None
+        if cuts.where(F.col("members") > ORDERED).limit(1).count():
+            wide = inside.where(F.col("members") > ORDERED).drop("cut_source", "cut_bin", "members")
+            todo = _narrower(materialize(wide, "op10-wide"))
+    out = [p.select("doc_id", "text_sha256", "size", "source", "source_size", "target",
+                    ((F.col("epochs") + F.col("more").cast("bigint")) * F.col("size")).alias("taken")) for p in parts]
+    both = out[0]
+    for p in out[1:]:
+        both = both.unionByName(p)
+    return both
+
+
+def _cuts(rows: DataFrame) -> DataFrame:
+    """cut_source, cut_bin, cut_before, members: the bin of each source in which the budget ends (``BINS``: none), the
+    words before it and its number of documents."""
+    per_bin = rows.groupBy("source", "budget", "before", "bin").agg(
+        F.sum("size").alias("words"), F.count(F.lit(1)).alias("members"))
+    upto = Window.partitionBy("source").orderBy("bin")
+    ends = per_bin.withColumn("end", F.col("before") + F.sum("words").over(upto))
+    cut = F.min(F.when(F.col("end") > F.col("budget"), F.struct(
+        "bin", (F.col("end") - F.col("words")).alias("before"), "members"))).alias("cut")
+    return ends.groupBy(F.col("source").alias("cut_source")).agg(cut).select(
+        "cut_source", F.coalesce("cut.bin", F.lit(BINS)).alias("cut_bin"),
+        F.coalesce("cut.before", F.lit(0)).alias("cut_before"), F.coalesce("cut.members", F.lit(0)).alias("members"))
+
+
+_ORDER = ["key", "size", "hash", "rid"]
+
+
+def _ordered(inside: DataFrame) -> DataFrame:
+    """Documents of the bins in which the budgets end, with ``more``."""
+    in_order = Window.partitionBy("source").orderBy(*_ORDER)
+    words = F.coalesce(F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return inside.withColumn("more", F.col("before") + words + F.col("size") / 2 <= F.col("budget"))
+
+
+def _narrower(rows: DataFrame) -> DataFrame:
+    """``rows`` with bins between the ends of the first column of the order that differs within the source."""
+    ends = rows.groupBy(F.col("source").alias("end_source")).agg(
+        *[f(c).alias(f"{c}_{n}") for c in _ORDER for n, f in (("lo", F.min), ("hi", F.max))])
+    ends = materialize(ends, "op10-ends")
+    place = F.coalesce(*[F.when(F.col(f"{c}_lo") < F.col(f"{c}_hi"), (F.col(c) - F.col(f"{c}_lo")).cast("double")
+                                / (F.col(f"{c}_hi") - F.col(f"{c}_lo"))) for c in _ORDER])
+    binned = rows.drop("bin").join(ends, F.col("source").eqNullSafe(F.col("end_source")))
+    binned = binned.withColumn("bin", F.least(F.lit(BINS - 1), F.floor(place * BINS)).cast("int"))
+    return binned.drop("end_source", *[f"{c}_{n}" for c in _ORDER for n in ("lo", "hi")])
 
 
 def mixed_documents(docs: DataFrame, share: float = SHARE, seed: int = 7) -> DataFrame:

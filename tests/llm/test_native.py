@@ -133,6 +133,25 @@ def test_mixing(spark, edges):
     assert mixed.columns == docs.columns
 
 
+def test_cut_bins_are_narrowed(spark, monkeypatch):
+    ids = [*range(300), *[None] * 150, *[7] * 150]
+    rows = [(i, "x" * 400 + f"{k} y" * (k % 3), "long" if k % 5 else "more") for k, i in enumerate(ids)]  # low weights
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    want = sorted(map(str, mixing.mix(docs).collect()))
+    most, ordered = [], mixing._ordered
+
+    def watched(inside):
+        most.append(max((r["count"] for r in inside.groupBy("source").count().collect()), default=0))
+        return ordered(inside)
+
+    monkeypatch.setattr(mixing, "_ordered", watched)
+    monkeypatch.setattr(mixing, "ORDERED", 5)
+    monkeypatch.setattr(mixing, "BINS", 8)
+    got = mixing.mix(docs)
+    assert sorted(map(str, got.collect())) == want and got.count() == len(rows)
+    assert len(most) > 1 and 0 < max(most) <= 5
+
+
 def test_empty_tables(empty):
     assert exact_dedup.exact_dedup(empty).collect() == []
     assert pii.digest(pii.find_personal_data(empty)).collect() == []
