@@ -1,9 +1,10 @@
-"""Hierarchical packing of token sequences into windows of several lengths (operator 7).
+"""Packing of token sequences into windows of one length, ``WINDOW`` (operator 7).
 
-A document's ids (with its end id) are cut into whole windows of the longest tier as far as they go; what is left is
-routed to the smallest tier of ``TIERS`` that holds it.  Tiers are packed from the longest down: the largest waiting
-piece opens a window, and its gap is filled from the pieces of its own and the shorter tiers, the largest that fits
-first; when none fits, the shortest waiting piece is cut to fill the gap exactly.  A task packs ``WAITING_IDS`` ids at a
+A document's ids (with its end id) are cut into whole windows as far as they go; what is left waits in the list of the
+smallest length of ``TIERS`` that holds it.  These lists only serve to find pieces: shorter tiers have no windows of
+their own, so short documents fill windows of ``WINDOW`` together and may be cut.  The largest waiting piece opens a
+window, and its gap is filled with the largest that fits; when none fits, the shortest waiting piece is cut to fill the
+gap exactly.  A task packs ``WAITING_IDS`` ids at a
 time, so its memory is bounded; what is left at the very end, less than one window, is cut into windows whose lengths
 are powers of two, which need no padding.  So no window has padding.
 
