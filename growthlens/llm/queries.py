@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import (bitpack, counting, credentials, exact_dedup, fingerprints, langid, minhash, mixing, packing, pii)
+from . import (bitpack, compression, counting, credentials, exact_dedup, fingerprints, langid, licenses, minhash, mixing,
+               packing, pii, spelling)
 from .common import documents, tokenizer_file
 
 
@@ -46,5 +47,18 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_vector_codes(spark, sf_dir):
+    return compression.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_spelling(spark, sf_dir):
+    return spelling.variants(documents(spark, sf_dir))
+
+
+def op13_licenses(spark, sf_dir):
+    return licenses.digest(licenses.scan(documents(spark, sf_dir)))
+
+
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_pii, op3_minhash, op4_langid, op5_bitpack, op6_fingerprints,
-                                   op7_packing, op8_counting, op9_secrets, op10_mixing)}
+                                   op7_packing, op8_counting, op9_secrets, op10_mixing, op11_vector_codes, op12_spelling,
+                                   op13_licenses)}
