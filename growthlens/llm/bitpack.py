@@ -151,8 +151,9 @@ class Shard:
 def write_shards(docs: DataFrame, folder: str, path: str, kind: str, end_id: int) -> DataFrame:
     """Encode ``docs`` and write the shards; returns the manifest: part, file, n_docs, n_ids (one row a shard)."""
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_of(docs).alias("text"))
+    # equal or null ids are dealt by the text's hash, so that they need not meet in one task
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
-    rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_last()).sortWithinPartitions(*order)
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = pieces.load(path, kind)
@@ -160,7 +161,6 @@ def write_shards(docs: DataFrame, folder: str, path: str, kind: str, end_id: int
         part = TaskContext.get().partitionId()
         store, base = open_folder(folder)
         writer = None
-        tail = np.array([end_id], np.uint32)
         for batch in batches:
             names = batch.column("doc_id").to_pylist()
             for a, ids, at in encoder.slices(batch.column("text")):
@@ -168,8 +168,9 @@ def write_shards(docs: DataFrame, folder: str, path: str, kind: str, end_id: int
                     store.create_dir(base, recursive=True)
                     temp = f"{base}/_{part}-{uuid.uuid4().hex}"
                     writer = ShardWriter(store.open_output_stream(temp), width)
+                ids, at = np.insert(ids, at[1:], end_id), at + np.arange(len(at))
                 for k in range(len(at) - 1):
-                    writer.add(names[a + k], np.concatenate([ids[at[k]:at[k + 1]], tail]))
+                    writer.add(names[a + k], ids[at[k]:at[k + 1]])
         if writer is not None:
             writer.close()
             writer.out.close()

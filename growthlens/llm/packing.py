@@ -1,15 +1,18 @@
-"""Packing of token sequences into windows of one length, ``WINDOW`` (operator 7).
+"""Hierarchical packing of token sequences into windows of several lengths (operator 7).
 
-A document's ids (with its end id) are cut into whole windows as far as they go; what is left waits in the list of the
-smallest length of ``TIERS`` that holds it.  These lists only serve to find pieces: shorter tiers have no windows of
-their own, so short documents fill windows of ``WINDOW`` together and may be cut.  The largest waiting piece opens a
-window, and its gap is filled with the largest that fits; when none fits, the shortest waiting piece is cut to fill the
-gap exactly.  A task packs ``WAITING_IDS`` ids at a
-time, so its memory is bounded; what is left at the very end, less than one window, is cut into windows whose lengths
-are powers of two, which need no padding.  So no window has padding.
+A document's ids (with its end id) are routed by their number to the tier of the smallest length of ``TIERS`` that holds
+them.  Each tier is packed into windows of its own length, the longest tier first: a window opens with the largest waiting
+document of its tier (for the shortest tier, the largest that waits) and its gap is filled with the largest waiting
+documents of shorter tiers that fit.  What no document fits is filled exactly by cutting: from a document longer than the
+longest window, which has to be cut anyway, or else from the largest waiting document, whose rest waits on in the tier of
+its new length.  So documents that fit a window stay whole but for these cuts, and no window has padding: every length is
+a power of two.  What short tiers keep after the gaps of longer windows are filled becomes windows of their own length.
 
-Windows of equal length are dealt into step groups of ``STEP`` windows: sorted by their attention cost (the sum of the
-squared piece lengths) and dealt back and forth, so the groups of a task cost about the same.
+A task packs ``WAITING_IDS`` ids at a time, so its memory is bounded; what is left at the very end, less than one window,
+is cut into windows of powers of two.
+
+Step groups balance the load: windows of equal length are dealt into groups of ``STEP`` windows, sorted by their attention
+cost (the sum of the squared piece lengths) and dealt back and forth, so the groups of a tier cost about the same.
 
 Each task packs its own documents: no shuffle, and no task sees more than its share of the input.
 
@@ -20,6 +23,7 @@ table gives an empty result; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 from bisect import bisect_right, insort
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,39 +35,42 @@ from pyspark.sql import functions as F
 from . import pieces
 from .common import giving_back, text_of
 
-WINDOW = 2048
 TIERS = (256, 512, 1024, 2048)
+WINDOW = TIERS[-1]
 WAITING_IDS = 1 << 21
 STEP = 8
 Piece = tuple[int, int, int]  # length, number of the document, start in it
 
 
 class Packer:
-    """Packs pieces into windows; ``windows`` are lists of pieces, each with a total length of a tier or power of two."""
+    """Packs pieces into windows, lists of pieces whose total length is that of a tier or another power of two."""
 
     def __init__(self) -> None:
-        self.tiers: list[list[Piece]] = [[] for _ in TIERS]
+        self.tiers: list[list[Piece]] = [[] for _ in TIERS]  # sorted by length
+        self.long: deque[Piece] = deque()  # rests of documents longer than any window
         self.waiting = 0
 
     def add(self, doc: int, n: int) -> Iterator[list[Piece]]:
-        """Whole windows of the document; its rest waits."""
-        whole = n // WINDOW * WINDOW
+        """Takes a document; a long one gives whole windows, but for its last ids."""
+        whole = max(0, n // WINDOW - 1) * WINDOW if n > WINDOW else 0
         for a in range(0, whole, WINDOW):
             yield [(WINDOW, doc, a)]
-        if n > whole:
-            self._wait((n - whole, doc, whole))
+        self._wait((n - whole, doc, whole))
 
     def _wait(self, piece: Piece) -> None:
-        insort(self.tiers[self._tier(piece[0])], piece)
         self.waiting += piece[0]
+        if piece[0] > WINDOW:
+            self.long.append(piece)
+        else:
+            insort(self.tiers[self._tier(piece[0])], piece)
 
     @staticmethod
     def _tier(n: int) -> int:
         return next(k for k, most in enumerate(TIERS) if n <= most)
 
-    def _take(self, most: int) -> Piece | None:
-        """The largest waiting piece of at most ``most`` ids."""
-        for tier in reversed(self.tiers[:self._tier(most) + 1]):
+    def _take(self, most: int, tiers: int) -> Piece | None:
+        """The largest waiting piece of at most ``most`` ids in the first ``tiers`` tiers."""
+        for tier in reversed(self.tiers[:min(self._tier(most) + 1, tiers)]):
             k = bisect_right(tier, most, key=lambda p: p[0])
             if k:
                 self.waiting -= tier[k - 1][0]
@@ -71,26 +78,40 @@ class Packer:
         return None
 
     def _cut(self, n: int) -> Piece:
-        """The first ``n`` ids of the shortest waiting piece; its rest waits on."""
-        length, doc, start = next(t for t in self.tiers if t).pop(0)
+        """The first ``n`` ids of a long document, or else of the largest waiting piece; its rest waits on."""
+        length, doc, start = self.long.popleft() if self.long else next(t for t in reversed(self.tiers) if t).pop()
         self.waiting -= length
-        self._wait((length - n, doc, start + n))
-        return n, doc, start
+        if length > n:
+            self._wait((length - n, doc, start + n))
+        return min(n, length), doc, start
 
-    def window(self, size: int) -> list[Piece]:
-        """A full window; at least ``size`` ids must wait."""
+    def window(self, size: int, tier: int) -> list[Piece]:
+        """A full window of ``size`` ids, opened by a piece of ``tier``; at least ``size`` ids must wait."""
         held, gap = [], size
         while gap:
-            piece = self._take(gap) or self._cut(gap)
+            if held or not self.tiers[tier]:
+                piece = self._take(gap, max(1, tier)) or self._cut(gap)
+            else:
+                piece = self._take(gap, tier + 1) or self._cut(gap)
             held.append(piece)
             gap -= piece[0]
         return held
 
     def drain(self, last: bool) -> Iterator[list[Piece]]:
-        while self.waiting >= WINDOW:
-            yield self.window(WINDOW)
+        """The windows that waiting ids fill; with ``last`` all of them."""
+        while self.waiting >= TIERS[0]:
+            made = False
+            for k in reversed(range(len(TIERS))):
+                while self.tiers[k] and self.waiting >= TIERS[k]:
+                    made = True
+                    yield self.window(TIERS[k], k)
+            if self.long and self.waiting >= WINDOW:
+                made = True
+                yield [self._cut(WINDOW)]
+            if not made:
+                break
         while last and self.waiting:
-            yield self.window(1 << (self.waiting.bit_length() - 1))
+            yield self.window(1 << (self.waiting.bit_length() - 1), 0)
 
 
 def _step_groups(windows: list[list[Piece]], first: int) -> list[int]:
@@ -121,7 +142,6 @@ def pack(docs: DataFrame, path: str, kind: str = "spaces", end_id: int = 1, memo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = pieces.load(path, kind, memo)
         base = TaskContext.get().partitionId() << 33
-        tail = np.array([end_id], "<u4")
         packer = Packer()
         held: dict[int, tuple[int | None, np.ndarray]] = {}  # documents with ids that wait or are due
         due: list[list[Piece]] = []
@@ -136,9 +156,12 @@ def pack(docs: DataFrame, path: str, kind: str = "spaces", end_id: int = 1, memo
             made += len(due)
             groups = max(numbers, default=groups - 1) + 1
             due, due_ids = [], 0
-            used = {p[1] for t in packer.tiers for p in t}
-            for d in [d for d in held if d not in used]:
-                del held[d]
+            used = {p[1] for t in (*packer.tiers, packer.long) for p in t}
+            for d in list(held):
+                if d in used:  # the rest of its slice is not kept with it
+                    held[d] = held[d][0], held[d][1].copy()
+                else:
+                    del held[d]
             cols = list(zip(*out, strict=True))
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.binary() if k == 3 else pa.int64()) for k, c in enumerate(cols)],
@@ -147,9 +170,10 @@ def pack(docs: DataFrame, path: str, kind: str = "spaces", end_id: int = 1, memo
         for batch in batches:
             names = batch.column("doc_id").to_pylist()
             for a, ids, at in encoder.slices(batch.column("text")):
+                ids, at = np.insert(ids, at[1:], end_id).astype("<u4", copy=False), at + np.arange(len(at))
                 for k in range(len(at) - 1):
                     number += 1
-                    held[number] = names[a + k], np.concatenate([ids[at[k]:at[k + 1]].astype("<u4"), tail])
+                    held[number] = names[a + k], ids[at[k]:at[k + 1]]
                     due += packer.add(number, len(held[number][1]))
                     due_ids += len(held[number][1])
                     if due_ids >= WAITING_IDS:

@@ -259,6 +259,47 @@ def test_packing(edges):
     assert packing.pack(edges, BYTES).select("sequence_id", "offset").distinct().count() >= len(rows)
 
 
+def test_packing_makes_windows_of_every_tier(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").coalesce(1)
+    rows = packing.pack(docs, BYTES).select("doc_id", "start", "length", "doc_tokens", "sequence_id", "tier", "step_group").collect()
+    held, parts, groups = defaultdict(int), defaultdict(list), defaultdict(lambda: defaultdict(int))
+    for r in rows:
+        held[r.sequence_id, r.tier] += r.length
+        parts[r.doc_id, r.doc_tokens].append((r.start, r.length))
+        groups[r.tier, r.step_group][r.sequence_id] += r.length ** 2
+    windows = [tier for _, tier in held]
+    assert all(n == tier for (_, tier), n in held.items())  # no padding
+    assert all(windows.count(tier) >= 20 for tier in packing.TIERS)
+    assert sum(tier not in packing.TIERS for tier in windows) <= 8  # the last remainder alone
+    fit = [len(p) for (_, n), p in parts.items() if n <= packing.WINDOW]
+    assert sum(k > 1 for k in fit) <= 0.05 * len(fit)
+    for (_, n), p in parts.items():
+        assert sum(k for _, k in p) == n
+    for tier in packing.TIERS:
+        cost = [sum(w.values()) for (t, _), w in groups.items() if t == tier and len(w) == packing.STEP]
+        assert max(cost) <= 1.5 * min(cost)
+
+
+def test_packer_places_each_id_once():
+    rnd = random.Random(8)
+    for _ in range(50):
+        packer, windows = packing.Packer(), []
+        sizes = [rnd.choice([1, rnd.randint(1, 300), rnd.randint(1, 3000), rnd.randint(1, 20000), 2048, 4096])
+                 for _ in range(rnd.randint(0, 40))]
+        for d, n in enumerate(sizes):
+            windows += packer.add(d, n)
+            if rnd.random() < 0.1:
+                windows += packer.drain(last=False)
+        windows += packer.drain(last=True)
+        assert packer.waiting == 0 and all(sum(p[0] for p in w) in {1 << k for k in range(12)} for w in windows)
+        for d, n in enumerate(sizes):
+            at = 0
+            for length, _, start in sorted((p for w in windows for p in w if p[1] == d), key=lambda p: p[2]):
+                assert start == at and length > 0
+                at += length
+            assert at == n
+
+
 def test_counting(edges):
     t = Tokenizer.from_file(BYTES)
     n = {r.doc_id: len(t.encode(r.text or "", add_special_tokens=False).ids) for r in edges.collect()}
