@@ -1,8 +1,9 @@
 """Connected components of an undirected graph given as a table of edges, with joins only.
 
-Every round each node takes the least label among its own and its neighbours', then the label of its label (pointer
-jumping), so that the number of rounds grows with the logarithm of a component's diameter.  Labels and edges are tables
-in the shared folder; only the number of changed labels comes to the driver.
+A round hooks each node to the least of itself and its neighbours, follows the hooks to their ends by doubling, and
+contracts the edges: both ends become their nodes' ends, and edges inside one end and repeated ones drop out.  Every node
+that still has an edge is hooked or hooked to, so each round at least halves their number, and an edge is joined only as
+long as it connects two parts.  Tables lie in the shared folder; only whether a table has rows comes to the driver.
 """
 
 from __future__ import annotations
@@ -20,21 +21,29 @@ BLOCK = 500
 
 def connected(edges: DataFrame, name: str) -> DataFrame:
     """edges (a, b) -> (node, label) for each node that has an edge; label is the least node of its component."""
-    both = edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other").where("node <> other").distinct()
-    both = materialize(both, f"{name}-edges")
-    labels = materialize(both.groupBy("node").agg(F.min("other").alias("least")).select(
-        "node", F.least("node", "least").alias("label")), f"{name}-labels0")
-    step, changed = 0, 1
-    while changed:
+    tidy = lambda e: e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges = materialize(tidy(edges), f"{name}-edges")
+    labels, step = None, 0
+    while labels is None or edges.limit(1).count():
         step += 1
-        near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(
-            F.min("label").alias("least"))
-        new = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "least").alias("via"))
-        jump = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
-        new = new.join(jump, "via").select("node", "was", F.least("via", "far").alias("label"))
-        new = materialize(new, f"{name}-labels{step}")
-        changed = new.where("label <> was").limit(1).count()
-        labels = new.select("node", "label")
+        both = edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other")
+        ends = materialize(both.groupBy("node").agg(F.min("other").alias("least")).select(
+            "node", F.least("node", "least").alias("label")), f"{name}-hooks{step}")
+        moved = True
+        while moved:
+            far = ends.select(F.col("node").alias("label"), F.col("label").alias("far"))
+            ends = materialize(ends.join(far, "label"), f"{name}-ends{step}")
+            moved = ends.where("far <> label").limit(1).count()
+            ends = ends.select("node", F.col("far").alias("label"))
+        if labels is None:
+            labels = ends
+        else:
+            on = ends.select(F.col("node").alias("label"), F.col("label").alias("far"))
+            labels = materialize(labels.join(on, "label", "left").select("node", F.coalesce("far", "label").alias("label")),
+                                 f"{name}-labels{step}")
+        to = lambda x: ends.select(F.col("node").alias(x), F.col("label").alias(f"{x}_end"))  # noqa: B023, E731
+        edges = materialize(tidy(edges.join(to("a"), "a").join(to("b"), "b").select(
+            F.col("a_end").alias("a"), F.col("b_end").alias("b"))), f"{name}-edges{step}")
     return labels
 
 

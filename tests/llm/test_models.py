@@ -60,6 +60,28 @@ def test_near_duplicates(spark, edges):
         assert got == sorted(plain_components(docs, 4), key=str)
 
 
+def test_connected(spark):
+    rnd = random.Random(9)
+    path = [(k, k + 1) for k in range(100, 400)] + [(1000 - k, 999 - k) for k in range(200)]
+    star = [(5000, 5001 + k) for k in range(100)] + [(6000 - k, 6001) for k in range(100)]
+    some = [(rnd.randint(7000, 7300), rnd.randint(7000, 7300)) for _ in range(200)]
+    edges = path + star + some + star[:20] + [(9, 9), (8, 3), (3, 8)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            lo, hi = sorted((find(a), find(b)))
+            root[hi] = lo
+    got = components.connected(spark.createDataFrame(edges, "a long, b long"), "test").collect()
+    assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in root)
+    assert components.connected(spark.createDataFrame([], "a long, b long"), "test").collect() == []
+
+
 def test_one_row_of_each_component_stays(spark):
     def copies(name, n):
         w = [f"{name}{k}" for k in range(200)]
