@@ -496,13 +496,16 @@ def topk_exact_latest(spark, sf):
     return ST.run_exact_topk(spark, sf, config.TOP_K).select("category", "rank", "p", "s")
 
 
+def _landing(spark, c):
+    return DOC.write_document_lines(DOC.build_document_pages(c.world), _scratch(spark, "landing"),
+                                    config.WORLD_CORRUPT_EVERY)
+
+
 @plan("stream_profiles")
 def stream_profiles(spark, sf):
     from ..streaming import profiles as SP
     c = Ctx(spark, sf)
-    landing = DOC.write_document_lines(DOC.build_document_pages(c.world), _scratch(spark, "landing"),
-                                       config.WORLD_CORRUPT_EVERY)
-    prof, _q = SP.run_profile_stream(spark, landing, c.world.index, c.packed_trees, c.baselines)
+    prof = SP.run_profile_stream(spark, _landing(spark, c), c.world.index, c.packed_trees, c.baselines)
     return prof.select("p", "age", "success_all", "rate")
 
 
@@ -510,10 +513,15 @@ def stream_profiles(spark, sf):
 def stream_quarantine(spark, sf):
     from ..streaming import profiles as SP
     c = Ctx(spark, sf)
-    landing = DOC.write_document_lines(DOC.build_document_pages(c.world), _scratch(spark, "landing"),
-                                       config.WORLD_CORRUPT_EVERY)
-    _p, quarantine = SP.run_profile_stream(spark, landing, c.world.index, c.packed_trees, c.baselines)
-    return quarantine.select("reason", "raw")
+    return SP.run_quarantine_stream(spark, _landing(spark, c), c.world.index).select("reason", "raw")
+
+
+@plan("stream_topk_profiles")
+def stream_topk_profiles(spark, sf):
+    from ..streaming import profiles as SP
+    c = Ctx(spark, sf)
+    return SP.run_profile_topk(spark, _landing(spark, c), c.world.index, c.world.company_category.select(
+        "category", "p", "s"), c.packed_trees, c.baselines)
 
 
 # ------------------------------------------------------- trees: train / load

@@ -489,6 +489,7 @@ SELECTS.update({
                      arg_max(value, struct_pack(a := ts, b := event_id)) AS s
               FROM events GROUP BY event_type, user_id)) WHERE rank <= {config.TOP_K}""",
     "stream_profiles": SELECTS["doc_profiles"],
+    "stream_topk_profiles": SELECTS["category_topk"],
     "stream_quarantine": SELECTS["quarantine"],
 })
 

@@ -219,7 +219,32 @@ def combine_pages(stats: DataFrame, as_of=config.WORLD_AS_OF) -> DataFrame:
                                       "n_inv_org", "n_inv_person", "n_rounds", "n_rounds_dated", "nz_n")],
         F.sum("inv_sum").cast(MONEY).alias("inv_sum"), F.sum("nz_sum").cast(MONEY).alias("nz_sum"))
     head = stats.where(F.col("hdr").isNotNull()).select("p", "hdr.*")
-    j = head.join(agg, "p", "left")
+    return merged_features(head.join(agg, "p", "left"), as_of)
+
+
+def page_rows(stats: DataFrame) -> DataFrame:
+    """Page statistics as rows for keyed state: p, page, version, and as JSON the mergeable numbers (body), the header
+    and the last office."""
+    from ..streaming.keyed import COUNTS, SUMS
+    body = F.struct(*COUNTS, F.col("acq_max").cast("string").alias("acq_max"),
+                    *[F.col(c).cast("string").alias(c) for c in SUMS])
+    return stats.select("p", "page", "version", F.to_json(body).alias("body"), F.to_json("hdr").alias("hdr"),
+                        F.to_json("last_office").alias("office"))
+
+
+def merged_rows(merged: DataFrame, stats: DataFrame, as_of=config.WORLD_AS_OF) -> DataFrame:
+    """The features of companies from their merged statistics (``streaming.keyed.COMBINED``); ``stats`` gives the types."""
+    from ..streaming.keyed import COUNTS, SUMS
+    kind = stats.schema
+    one = lambda c: F.from_json(c, kind[c].dataType)
+    typed = merged.select("p", one("hdr").alias("hdr"), one("last_office").alias("last_office"),
+                          F.col("acq_max").cast(kind["acq_max"].dataType).alias("acq_max"), *COUNTS,
+                          *[F.col(c).cast(MONEY).alias(c) for c in SUMS])
+    return merged_features(typed.select("p", "hdr.*", *[c for c in typed.columns if c not in ("p", "hdr")]), as_of)
+
+
+def merged_features(j: DataFrame, as_of=config.WORLD_AS_OF) -> DataFrame:
+    """The feature columns from a company's header and merged statistics."""
     addr = F.coalesce(F.col("hq"), F.col("last_office"))
     founded = F.col("founded_on")
     acq_after = F.when(F.col("acq_max") > founded, F.col("acq_max"))

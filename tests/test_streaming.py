@@ -1,20 +1,42 @@
 """Streaming top-k: the reference-rule stream equals a sequential replay; the
 exact stream equals the batch top-k of the latest scores."""
 
+import os
+import random
+import time
+
 import pandas as pd
+from pyspark.sql import Row
+from pyspark.sql import functions as F
 
+from growthlens.operators import scoring as SC
+from growthlens.plans.context import Ctx
+from growthlens.session import scratch_path
+from growthlens.sources import documents as DOC
 from growthlens.sources.tables import read_table
+from growthlens.streaming import keyed
+from growthlens.streaming import profiles as SP
 from growthlens.streaming import topk as ST
 
 from conftest import SF_SMALL
 
 
 def _replay(events: pd.DataFrame, k: int):
+    """The service's rule event by event, on a plain dict of members."""
     out = {}
-    ev = events.sort_values(["ts", "event_id"], kind="stable")
-    for cat, g in ev.groupby("event_type", sort=True):
-        ps, ss = ST.apply_updates([], [], zip("u" + g["user_id"].astype(str), g["value"]), k)
-        out[cat] = sorted(zip(ps, ss), key=lambda t: (-t[1], t[0]))
+    for cat, g in events.sort_values(["ts", "event_id"], kind="stable").groupby("event_type", sort=True):
+        held = {}
+        for user, s in zip(g["user_id"], g["value"]):
+            p = f"u{user}"
+            if p in held or len(held) < k:
+                held[p] = s
+                continue
+            low = min(held.values())
+            worst = max(q for q, v in held.items() if v == low)
+            if s > low:
+                del held[worst]
+                held[p] = s
+        out[cat] = sorted(held.items(), key=lambda t: (-t[1], t[0]))
     return out
 
 
@@ -47,7 +69,6 @@ def test_batch_reference_topk_equals_replay(spark):
 
 def test_reference_stream_in_several_batches(spark):
     """Two landing files, one per trigger: state carries across batches."""
-    from growthlens.session import scratch_path
     events = read_table(spark, SF_SMALL, "events")
     land = scratch_path(spark, "events_landing")
     cut = events.approxQuantile("event_id", [0.5], 0.0)[0]
@@ -65,28 +86,94 @@ def test_reference_stream_in_several_batches(spark):
         assert list(zip(g.p, g.s)) == entries
 
 
-def test_profile_stream_pages_across_batches(spark):
-    """Pages of one company arriving in different micro-batches give the
-    same profiles as all pages scored at once."""
-    from pyspark.sql import functions as F
-    from growthlens.operators import scoring as SC
-    from growthlens.plans.context import Ctx
-    from growthlens.session import scratch_path
-    from growthlens.sources import documents as DOC
-    from growthlens.streaming import profiles as SP
+def _profiles(spark, c, landing):
+    """The profiles of all landed documents, scored at once."""
+    good, _ = DOC.split_documents(DOC.read_documents(spark, landing))
+    return SC.build_profiles(DOC.with_index(DOC.document_features(good), c.world.index), c.packed_trees, c.baselines)
+
+
+def test_profile_stream_in_three_batches(spark):
+    """Header and even pages, then odd pages, then pages sent again with changes: the profiles are those of all pages at
+    once, the third batch touches the companies sent again alone, and the top-k follows each of them."""
     c = Ctx(spark, SF_SMALL)
-    pages = DOC.build_document_pages(c.world).withColumn("_odd", F.col("doc.data.page") % 2 == 1)
+    pages = DOC.build_document_pages(c.world).withColumn("page", F.col("doc.data.page"))
+    pages = pages.withColumn("p", F.col("doc.data.properties.permalink"))
+    again = [r.p for r in pages.select("p").distinct().orderBy("p").limit(7).collect()]
+    sent = pages.where(F.col("p").isin(again)).withColumn("doc", F.col("doc").withField("data.version", F.lit(4)))
+    funded = F.col("doc.data.properties.total_funding_usd") * 50 + 1000000
+    changed = sent.withColumn("doc", F.when(F.col("page") == 0, F.col("doc").withField(
+        "data.properties.total_funding_usd", funded.cast(pages.schema["doc"].dataType["data"].dataType["properties"]
+                                                         .dataType["total_funding_usd"].dataType))).otherwise(F.col("doc")))
     land = scratch_path(spark, "pages_landing")
-    for odd in (False, True):   # header + even pages first, odd pages in a later file
-        (pages.where(F.col("_odd") == odd).select(F.to_json("doc").alias("value")).coalesce(1)
-         .write.mode("append").text(land))
+    for part in (pages.where("page % 2 = 0"), pages.where("page % 2 = 1"), changed):
+        part.select(F.to_json("doc").alias("value")).coalesce(1).write.mode("append").text(land)
+        time.sleep(1.1)  # the file source goes by modification time
     out = scratch_path(spark, "pages_stream")
-    prof, _q = SP.run_profile_stream(spark, land, c.world.index, c.packed_trees, c.baselines, out=out, max_files=1)
-    good, _ = DOC.split_documents(DOC.read_documents(spark, land))
-    batch = SC.build_profiles(DOC.with_index(DOC.document_features(good), c.world.index), c.packed_trees,
-                              c.baselines)
+    scores = c.world.company_category.select("category", "p", "s")
+    top = SP.run_profile_topk(spark, land, c.world.index, scores, c.packed_trees, c.baselines, k=4, out=out, max_files=1)
+    stored = spark.read.parquet(out + "/profiles")
+    counts = {r.batch_id: r["count"] for r in stored.groupBy("batch_id").count().collect()}
+    assert sorted(counts) == [0, 1, 2] and counts[2] == len(again)
+    assert not os.path.exists(out.removeprefix("file:") + "/pages")
+    batch = _profiles(spark, c, land)
     cols = ["p", "age", "success_all", "rate"]
+    prof = SP.top_k(stored, ["p"], [F.col("fetched_at").desc()], 1)
     got = sorted(tuple(r) for r in prof.select(*cols).collect())
-    want = sorted(tuple(r) for r in batch.select(*cols).collect())
-    assert got == want and len(got) > 0
-    assert spark.read.parquet(out + "/pages").select("batch_id").distinct().count() == 2
+    assert got == sorted(tuple(r) for r in batch.select(*cols).collect()) and len(got) > 0
+    of = {r.p: r.success for r in batch.select("p", "success").collect()}
+    want = {}
+    for r in scores.collect():
+        want.setdefault(r.category, []).append((of[r.p].get(r.category) if r.p in of else r.s, r.p))
+    for category, entries in want.items():
+        entries.sort(key=lambda e: (e[0] is None, -(e[0] or 0), e[1]))
+        mine = top.where(F.col("category") == category).orderBy("rank").collect() if category in list(want)[:3] else None
+        assert mine is None or [(r.s, r.p) for r in mine] == entries[:4]
+
+
+def test_top_k_takes_scores_back(spark):
+    """Scores that rise, fall, go null and come late, over several batches and buckets."""
+    rnd = random.Random(4)
+    feed, out = scratch_path(spark, "feed"), scratch_path(spark, "feed_topk")
+    latest, schema = {}, "category string, p string, s double, seq long"
+    for batch in range(4):
+        rows = [(rnd.choice("ab"), f"p{rnd.randint(0, 60):02d}", rnd.choice([None, 0.0, float(rnd.randint(-5, 5))]),
+                 rnd.choice([batch, batch, max(0, batch - 2)])) for _ in range(90)]
+        rows = list({(c, p, q): (c, p, s, q) for c, p, s, q in rows}.values())
+        rows = [r for r in rows if (r[0], r[1]) not in latest or latest[r[0], r[1]][0] != r[3]]  # one score a seq
+        for c, p, s, q in sorted(rows, key=lambda r: r[3]):
+            if (c, p) not in latest or q > latest[c, p][0]:
+                latest[c, p] = q, s
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(feed)
+        got = SP.run_topk_stream(spark, feed, 3, out).collect()
+        for category in "ab":
+            want = sorted(((s is None, -(s or 0.0), p) for (c, p), (_, s) in latest.items() if c == category))[:3]
+            mine = sorted((r.rank, r.s is None, -(r.s or 0.0), r.p) for r in got if r.category == category)
+            assert [m[1:] for m in mine] == want
+
+
+def test_bucket_top_rereads_only_when_needed():
+    class Entries(dict):
+        reads = 0
+        containsKey, getValue = dict.__contains__, dict.get  # noqa: N815
+        updateValue = dict.__setitem__  # noqa: N815
+
+        def iterator(self):
+            self.reads += 1
+            return iter(self.items())
+
+    class Value:
+        held = None
+        exists = lambda self: self.held is not None
+        get = lambda self: self.held
+
+        def update(self, value):
+            self.held = value
+
+    top = keyed.BucketTop(2)
+    top.scores, top.top = Entries(), Value()
+    send = lambda *rows: [(r.p, r.s) for r in top.handleInputRows(("c", 0), iter([Row(p=p, s=s, seq=q) for p, s, q in rows]), None)]  # noqa: E731,E501
+    assert send(("a", 5.0, 1), ("b", 4.0, 1), ("c", 3.0, 1)) == [("a", 5.0), ("b", 4.0)]
+    assert send(("c", 4.5, 2)) == [("a", 5.0), ("c", 4.5)] and top.scores.reads == 0
+    assert send(("a", 4.6, 2)) == [("a", 4.6), ("c", 4.5)] and top.scores.reads == 0  # falls, but stays ahead
+    assert send(("a", 1.0, 3)) == [("c", 4.5), ("b", 4.0)] and top.scores.reads == 1  # a non-member is better now
+    assert send(("a", 9.0, 2)) == [("c", 4.5), ("b", 4.0)] and top.scores.reads == 1  # late
