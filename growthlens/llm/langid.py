@@ -188,7 +188,8 @@ def rejection(p: np.ndarray, made: np.ndarray) -> dict[str, float]:
 def noise(text: str, kind: int) -> str:
     """Text of no language, made from a document: letters shuffled, random letters, or another script."""
     rng = np.random.default_rng([kind, zlib.crc32(text.encode("utf-8", "ignore"))])
-    text = text[:NOISE_CHARS]
+    at = int(rng.integers(0, max(1, len(text) - NOISE_CHARS + 1)))
+    text = text[at:at + NOISE_CHARS]
     letters = [i for i, c in enumerate(text) if c.isalpha()]
     if kind == 0:
         made = [text[i] for i in rng.permutation(letters)]
@@ -218,17 +219,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model:
-    """Train on at most about ``max_train`` labelled rows that are not held out."""
+    """Train on at most about ``max_train`` distinct labelled rows that are not held out (at least one a language)."""
     rows = docs.select(docs["doc_id"], docs["lang"].cast("string").alias("lang"), text_of(docs).alias("text"))
     rows = rows.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy("lang").collect()}
+    # the mark is of the id and the text: rows that share an id are drawn one by one, and copies of a row once
+    rows = rows.withColumn("mark", F.shiftrightunsigned(F.xxhash64(F.lit(3), "doc_id", "text"), 1))
+    sizes = {r["lang"]: r for r in rows.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n"), F.min("mark").alias("least")).orderBy("lang").collect()}
     if not sizes:
         return train([], np.zeros(0, int), [], np.zeros(0, bool))
     langs = sorted(sizes)
-    share = {lang: min(1.0, max_train / len(langs) / sizes[lang]) for lang in langs}
-    mark = F.pmod(F.xxhash64(F.lit(3), F.col("doc_id")), F.lit(1 << 20)) / float(1 << 20)
-    limit = F.element_at(F.create_map(*[F.lit(v) for item in share.items() for v in item]), F.col("lang"))
-    picked = rows.where(mark < limit).select("lang", "text")
+    top = (1 << 63) - 1
+    limits = {lang: max(r["least"], min(top, top * max_train // (len(langs) * r["n"]))) for lang, r in sizes.items()}
+    limit = F.element_at(F.create_map(*[F.lit(v) for item in limits.items() for v in item]), F.col("lang"))
+    picked = rows.where(F.col("mark") <= limit).dropDuplicates(["lang", "mark"]).select("lang", "text")
 
     def features(batches):
         for pdf in batches:

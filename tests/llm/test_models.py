@@ -126,6 +126,28 @@ def test_rejection_is_fitted(spark):
     assert 0.4 < fitted["reject"] < 0.6 and fitted["lost"] == fitted["kept"] == 0
 
 
+def test_language_of_rows_that_share_an_id(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null").limit(400)
+    rows = [(r.text, r.lang) for r in docs.select("text", "lang").collect()]
+    for ids in ([0] * len(rows), [None] * len(rows)):
+        same = spark.createDataFrame([(i, *r) for i, r in zip(ids, rows * 3, strict=False)],
+                                     "doc_id long, text string, lang string")
+        got = langid.identify(same.withColumn("told", same.lang)).count()
+        assert got == len(rows)
+        model = langid.fit(same, max_train=40)
+        assert len(model.langs) == len({lang for _, lang in rows})
+    copies = spark.createDataFrame([(1, "one text of words alone", "en")] * 3000, "doc_id long, text string, lang string")
+    assert langid.fit(copies, max_train=10).langs == ["en"]
+    one = langid.identify(copies.limit(1)).collect()
+    assert one[0].lang_pred == "en" and 0 <= one[0].score <= 1
+
+
+def test_noise_is_made_of_any_place():
+    text = "a" * 9000 + "b" * 9000
+    made = {c for k in range(30) for c in langid.noise(f"{k}" + text, 0)}
+    assert {"a", "b"} <= made and len(langid.noise(text, 0)) == langid.NOISE_CHARS
+
+
 @pytest.mark.parametrize("path,kind", [(WORDS, "words"), (BYTES, "spaces")])
 def test_pieces_equal_the_library(path, kind):
     rnd = random.Random(3)
