@@ -563,6 +563,47 @@ def tree_summary(spark, sf):
     return T.tree_summary(T.pack_trees(TRN.load_tree_texts(spark, folder), TRN.folder_bytes(spark, folder)))
 
 
+def _deep_models(spark, sf):
+    """Packed trees of the rule-made deep model files, written and loaded as files (S3 -> M1)."""
+    from ..operators import training as TRN
+    from ..operators import trees as T
+    from ..sources import rule_models as RM
+    c = Ctx(spark, sf)
+    texts = {r.category: r.json for r in RM.tree_texts(c.world.company_category).collect()}  # one file a category
+    folder = TRN.write_tree_files(spark, texts, _scratch(spark, "deep_models"))
+    loaded = TRN.load_tree_texts(spark, folder)
+    return c, loaded, T.pack_trees(loaded, TRN.folder_bytes(spark, folder))
+
+
+@plan("deep_load")
+def deep_load(spark, sf):
+    _c, loaded, _packed = _deep_models(spark, sf)
+    return loaded.select("category", "json")
+
+
+@plan("deep_nodes")
+def deep_nodes(spark, sf):
+    from ..operators import trees as T
+    return T.tree_nodes(_deep_models(spark, sf)[2])
+
+
+@plan("deep_summary")
+def deep_summary(spark, sf):
+    from ..operators import trees as T
+    return T.tree_summary(_deep_models(spark, sf)[2])
+
+
+@plan("deep_predict")
+def deep_predict(spark, sf):
+    from ..operators import trees as T
+    from ..sources import rule_models as RM
+    c, _loaded, packed = _deep_models(spark, sf)
+    eligible = SC.vector_array(c.features).select("p", "vec", "emp", F.explode(F.filter(
+        "doc_categories", lambda x: F.array_contains(F.col("c"), x))).alias("category"))
+    rows = eligible.withColumn("category", F.concat("category", F.lit(RM.SUFFIX)))
+    return T.predict(rows, packed).select("p", "category", "leaf", "n0", "n1", "reason")
+
+
 @plan("tree_predict_trained")
 def tree_predict_trained(spark, sf):
     """Scoring with the trees trained on the world (S3 -> M1 -> M2 -> M4)."""

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 
 from .. import config
+from ..sources import rule_models as RM
 from .oracle_world import AS_OF, WORLD_CTES
 
 
@@ -494,6 +495,18 @@ SELECTS.update({
 })
 
 
+SELECTS.update({
+    "deep_load": f"SELECT category, json FROM ({RM.DUCK_TEXTS})",
+    "deep_nodes": f"SELECT category, node, col, value, tb, fb, n0, n1 FROM ({RM.DUCK_NODES})",
+    "deep_summary": f"""SELECT category, count(*) AS n_nodes, count(*) FILTER (WHERE col < 0) AS n_leaves,
+        count(*) FILTER (WHERE col >= 0) AS n_splits, CAST(max(length(node)) AS BIGINT) AS depth,
+        CAST(coalesce(sum(n0), 0) AS BIGINT) AS total_0, CAST(coalesce(sum(n1), 0) AS BIGINT) AS total_1,
+        count(*) FILTER (WHERE n0 IS NOT NULL AND n1 IS NOT NULL) AS mixed_leaves
+        FROM ({RM.DUCK_NODES}) GROUP BY category""",
+    "deep_predict": f"SELECT p, category, leaf, n0, n1, reason FROM ({RM.DUCK_PREDICT})",
+})
+
+
 SELECTS["profile_attributes"] = f"""
     SELECT p, CAST(row_number() OVER (PARTITION BY p ORDER BY o) - 1 AS INT) AS pos, label, value FROM (
       SELECT p, 0 AS o, 'Website' AS label, website AS value FROM ({SELECTS['profile_card']}) WHERE website IS NOT NULL

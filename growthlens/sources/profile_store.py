@@ -37,12 +37,13 @@ def profile_lookup(lookups: DataFrame, profiles: DataFrame, cols: list[str]) ->
 
 
 def upsert(stored: DataFrame, updates: DataFrame, key: str = "p", version_col: str = "fetched_at") -> DataFrame:
-    """Latest version per key across stored and new rows.
+    """Latest version per key across stored and new rows; of equal versions the row of the greatest JSON text, so
+    that reruns agree.
 
     ``row_number() = 1`` per key is a top-1 window; Catalyst plans it with a
     partial ``WindowGroupLimit`` before the shuffle on the key."""
     both = stored.unionByName(updates, allowMissingColumns=True)
-    return top_k(both, [key], [F.col(version_col).desc()], 1, "_rn").drop("_rn")
+    return top_k(both, [key], [F.col(version_col).desc(), F.to_json(F.struct(*both.columns)).desc()], 1, "_rn").drop("_rn")
 
 
 def meta_lookup(lookups: DataFrame, index: DataFrame) -> DataFrame:

@@ -89,3 +89,38 @@ def test_exported_tree_classifies_like_fitted_model(spark):
         (F.coalesce("n1", F.lit(0)).cast("double") == F.col("raw")[1]).alias("ok1"))
     assert j.count() == data.count()
     assert j.where(~F.col("ok0") | ~F.col("ok1")).count() == 0
+
+
+def test_deep_models_are_deep_and_reached(spark):
+    """The rule-made files: 26 splits in a chain, names with spaces and +, leaves reached far down, and each prediction
+    equal to a walk over the JSON."""
+    from conftest import SF_CHECK
+    from growthlens.operators import scoring as SC
+    from growthlens.plans.context import Ctx
+    from growthlens.sources import rule_models as RM
+    c = Ctx(spark, SF_CHECK)
+    texts = {r.category: r.json for r in RM.tree_texts(c.world.company_category).collect()}
+    assert texts and all(name.endswith(" + deep model") for name in texts)
+    folder = TRN.write_tree_files(spark, texts, scratch_path(spark, "deep_test"))
+    assert {r.category: r.json for r in TRN.load_tree_texts(spark, folder).collect()} == texts
+    packed = T.pack_trees(TRN.load_tree_texts(spark, folder))
+    assert all(r.depth >= 26 and r.n_nodes >= 53 for r in packed.select("depth", "n_nodes").collect())
+    vec = SC.vector_array(c.features)
+    names = F.array(*[F.lit(n) for n in sorted(texts)])
+    rows = vec.select("p", "vec", "emp", F.explode(names).alias("category"))
+    values = {r.p: (r.vec, r.emp) for r in vec.select("p", "vec", "emp").collect()}
+    got = T.predict(rows, packed).collect()
+    assert len(got) == len(values) * len(texts)
+    roots = {name: json.loads(text) for name, text in texts.items()}
+    for r in got:
+        assert (r.leaf, r.n0, r.n1) == _python_walk(roots[r.category], *values[r.p])
+    assert max(len(r.leaf) for r in got) >= 8 and len({r.leaf for r in got}) >= 10
+
+
+def test_upsert_of_equal_versions_is_stable(spark):
+    from growthlens.sources import profile_store as PS
+    rows = [("a", 1, 5), ("a", 9, 5), ("b", 2, 1), ("b", 3, 7)]
+    for some in (rows, rows[::-1]):
+        df = spark.createDataFrame(some, "p string, x int, fetched_at int")
+        got = PS.upsert(df.limit(2), df.subtract(df.limit(2))).collect()
+        assert sorted((r.p, r.x) for r in got) == [("a", 9), ("b", 3)]
