@@ -1,78 +1,71 @@
-"""Per-category decision trees (M8) trained with ``pyspark.ml`` and exported
-in the model-file shape the scorer reads (``{col, value, tb, fb}`` /
-``{col: -1, results}``).
+"""Per-category decision trees (M8) in the model-file shape the scorer reads
+(``{col, value, tb, fb}`` / ``{col: -1, results}``).
 
 Training data: every profiled company in each of its index categories; label
-1 for acquired companies and acquirers.  The employees slot is categorical
-text and is left out of training; missing numbers become -1, which the
-scorer's ``x >= value`` test sends to ``fb`` just like a missing value.
-
-Spark ML splits go left when ``x <= t``; the file format takes ``tb`` when
-``x >= value``.  With ``value = nextafter(t, +inf)`` the two tests agree on
-every double, so exported trees classify exactly like the fitted ones.
+1 for acquired companies and acquirers.  The vector is the scorer's own,
+with the employees label as an equality test (``tree_growth``), so a trained
+tree classifies every training row as it was grown.
 """
 
 from __future__ import annotations
 
 import json
-import math
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.classification import DecisionTreeClassifier
-from pyspark.ml.feature import VectorAssembler
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import config
 from ..functions.classes import acquired_or_acquirer
-from ..session import materialize
+from . import tree_growth
+from .features import vector_columns
 
-TRAIN_SLOTS = [i for i in range(len(config.VECTOR_SLOTS)) if i != config.EMPLOYEES_SLOT]
+# a model file holds a whole tree in one object, and files are written by the driver: nodes of all trees together
+MAX_FILE_NODES = 1_000_000
 
 
 def training_rows(features: DataFrame, company_category: DataFrame) -> DataFrame:
-    """(category, label, slot_0 .. slot_11 without the employees slot)."""
-    cols = [F.coalesce(F.col(config.VECTOR_SLOTS[i]).cast("double"), F.lit(-1.0)).alias(f"x{i}")
-            for i in TRAIN_SLOTS]
-    lab = acquired_or_acquirer(F.col("is_acquired"), F.col("num_acquisitions")).cast("double").alias("label")
-    return (features.join(company_category.select("k", "category"), "k")
-            .select("category", lab, *cols))
-
-
-def _export(node) -> dict:
-    """Java tree node (py4j) -> model-file dict."""
-    if node.getClass().getSimpleName() == "LeafNode":
-        stats = list(node.impurityStats().stats())
-        results = {str(c): int(round(n)) for c, n in enumerate(stats) if n > 0}
-        return {"col": -1, "results": results}
-    split = node.split()
-    slot = TRAIN_SLOTS[split.featureIndex()]
-    value = math.nextafter(float(split.threshold()), math.inf)
-    return {"col": slot, "value": repr(value), "tb": _export(node.rightChild()), "fb": _export(node.leftChild())}
-
-
-def train_trees(rows: DataFrame, max_depth: int = 6, min_instances: int = 2,
-                parallel_fits: int = 4) -> dict[str, str]:
+    """(category, label, vec, emp): one row per profiled company and index category."""
+    lab = acquired_or_acquirer(F.col("is_acquired"), F.col("num_acquisitions")).cast("int").alias("label")
+    mine = features.select("k", lab, *[c.alias(n) for n, c in vector_columns().items()])
+    return mine.join(company_category.select("k", "category"), "k").select("category", "label", "vec", "emp")
+
+
+def _nest(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Node rows of one tree -> its model-file JSON text, children first."""
+    made = {}
+    for r in sorted(pdf.itertuples(), key=lambda r: -len(r.node)):
+        if r.col < 0:
+            made[r.node] = {"col": -1, "results": {c: int(n) for c, n in (("0", r.n0), ("1", r.n1)) if n > 0}}
+        else:
+            made[r.node] = {"col": int(r.col), "value": r.value,
+                            "tb": made.pop(r.node + "t"), "fb": made.pop(r.node + "f")}
+    text = json.dumps(made["r"], separators=(",", ":"))
+    return pd.DataFrame({"category": [pdf["category"].iloc[0]], "json": [text]})
+
+
+def train_trees(rows: DataFrame, **growth) -> dict[str, str]:
     """One tree per category -> {category: model-file JSON text}.
 
-    One ``fit`` per category (the number of models is the number of
-    categories); each fit is a distributed job over that category's rows."""
-    assembler = VectorAssembler(inputCols=[f"x{i}" for i in TRAIN_SLOTS], outputCol="features")
-    # every fit scans its input several times: write the training rows once
-    # (Parquet in the shared checkpoint folder) instead of recomputing them
-    data = materialize(assembler.transform(rows).select("category", "label", "features"), "train_rows")
-    categories = [r["category"] for r in data.select("category").distinct().orderBy("category").collect()]
-
-    def fit(cat: str) -> tuple[str, str]:
-        part = data.where(F.col("category") == cat)
-        model = DecisionTreeClassifier(maxDepth=max_depth, minInstancesPerNode=min_instances,
-                                       labelCol="label", featuresCol="features", seed=7).fit(part)
-        return cat, json.dumps(_export(model._java_obj.rootNode()), separators=(",", ":"))
-
-    # the fits are independent jobs; submitting them from a few driver
-    # threads lets the scheduler run them side by side
-    with ThreadPoolExecutor(max_workers=max(1, min(parallel_fits, len(categories)))) as pool:
-        return dict(pool.map(fit, categories))
+    ``growth`` goes to ``tree_growth.grow``.  More than ``MAX_FILE_NODES``
+    nodes stop the run before they are gathered: such trees need a lower
+    ``max_depth`` or a higher ``min_rows``, or stay a node table."""
+    nodes = tree_growth.grow(rows, **growth)
+    n = nodes.count()
+    if n > MAX_FILE_NODES:
+        raise ValueError(f"{n} nodes; model files hold at most {MAX_FILE_NODES}")
+    texts = nodes.groupBy("category").applyInPandas(_nest, "category string, json string")
+    return {r["category"]: r["json"] for r in texts.collect()}
+
+
+def reproduced(predicted: DataFrame) -> DataFrame:
+    """Per category of labelled, classified rows: labels, rows whose leaf holds only their label, and rows in leaves of both."""
+    own = F.when(F.col("label") == 1, F.col("n1")).otherwise(F.col("n0"))
+    other = F.when(F.col("label") == 1, F.col("n0")).otherwise(F.col("n1"))
+    return predicted.groupBy("category").agg(
+        F.count_if(F.col("label") == 0).alias("total_0"),
+        F.count_if(F.col("label") == 1).alias("total_1"),
+        F.count_if(own.isNotNull() & other.isNull()).alias("n_reproduced"),
+        F.count_if(own.isNotNull() & other.isNotNull()).alias("n_mixed"))
 
 
 def write_tree_files(spark: SparkSession, trees: dict[str, str], folder: str) -> str:

@@ -534,10 +534,15 @@ def _trained_tree_folder(spark, sf):
 
 @plan("train_trees")
 def train_trees(spark, sf):
+    """M8: every training row walked through its category's trained, written and reloaded tree."""
     from ..operators import training as TRN
     from ..operators import trees as T
-    folder = _trained_tree_folder(spark, sf)
-    return T.tree_summary(T.pack_trees(TRN.load_tree_texts(spark, folder), TRN.folder_bytes(spark, folder)))
+    from ..session import materialize
+    c = Ctx(spark, sf)
+    rows = materialize(TRN.training_rows(c.features, c.world.company_category), "train_rows")
+    folder = TRN.write_tree_files(spark, TRN.train_trees(rows), _scratch(spark, "trees"))
+    packed = T.pack_trees(TRN.load_tree_texts(spark, folder), TRN.folder_bytes(spark, folder))
+    return TRN.reproduced(T.predict(rows, packed))
 
 
 @plan("load_trees")

@@ -186,6 +186,15 @@ SELECTS: dict[str, str] = {
     "doc_categories": "SELECT p, pos, category FROM w_doccat",
     "feature_vector": "SELECT * FROM w_vec",
     "eligible_categories": "SELECT p, pos, category FROM w_eligible",
+    # a tree grown to the end parts all rows that differ, so only rows alike in every input share a leaf of both labels
+    "train_trees": """
+  SELECT category, CAST(sum(n - n1) AS BIGINT) AS total_0, CAST(sum(n1) AS BIGINT) AS total_1,
+    CAST(sum(CASE WHEN n1 IN (0, n) THEN n ELSE 0 END) AS BIGINT) AS n_reproduced,
+    CAST(sum(CASE WHEN n1 IN (0, n) THEN 0 ELSE n END) AS BIGINT) AS n_mixed
+  FROM (SELECT cc.category, count(*) AS n, sum(CAST(f.is_acquired OR f.num_acquisitions > 0 AS INT)) AS n1
+        FROM w_feat f JOIN w_vec v ON v.p = f.p JOIN w_company_category cc ON cc.k = f.k
+        GROUP BY cc.category, v0, emp, v2, v3, v4, v5, v6, v7, v8, v9, v10, v11) AS alike
+  GROUP BY category""",
     "tree_predict": "SELECT p, category, leaf, n0, n1, reason FROM w_pred",
     "success_by_category": "SELECT p, category, score5 AS score FROM w_score5",
     "success_overall": "SELECT p, success_all FROM w_success",

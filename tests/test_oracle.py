@@ -10,8 +10,6 @@ from conftest import SF_SMALL
 
 QUERIES = E.queries()
 ORACLES = E.oracle_sql()
-# rows-only plans (no SQL equivalent); exercised elsewhere or just run here
-SLOW_ROWS_ONLY = {"train_trees", "load_trees", "tree_nodes", "tree_summary", "tree_predict_trained"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -20,7 +18,7 @@ def test_matches_oracle(spark, duck_small, name):
     assert r["ok"], r
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SLOW_ROWS_ONLY))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_rows_only_plans_run(spark, name):
     assert QUERIES[name](spark, SF_SMALL).count() >= 0
 

@@ -66,29 +66,69 @@ def test_tree_files_round_trip_names(spark):
     assert summ["Big Data"].n_leaves == 5 and summ["Big Data"].mixed_leaves == 1
 
 
-def test_exported_tree_classifies_like_fitted_model(spark):
-    from pyspark.ml.classification import DecisionTreeClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-    from growthlens.plans.context import Ctx
-    from conftest import SF_CHECK
-    c = Ctx(spark, SF_CHECK)
-    rows = TRN.training_rows(c.features, c.world.company_category).where(F.col("category") == "ASIA")
-    cols = [f"x{i}" for i in TRN.TRAIN_SLOTS]
-    data = VectorAssembler(inputCols=cols, outputCol="features").transform(rows).withColumn("rid", F.monotonically_increasing_id())
-    model = DecisionTreeClassifier(maxDepth=6, minInstancesPerNode=2, seed=7).fit(data)
-    text = json.dumps(TRN._export(model._java_obj.rootNode()))
-    packed = T.pack_constant_trees(spark, {"ASIA": text})
-    # our scorer's vector: slot i holds x_i, the employees slot is unused by the model
-    vec = F.array(*[F.col(f"x{i}") if i in TRN.TRAIN_SLOTS else F.lit(None).cast("double")
-                    for i in range(len(config.VECTOR_SLOTS))])
-    ours = T.predict(data.select("rid", "category", vec.alias("vec"), F.lit("").alias("emp")), packed)
-    theirs = model.transform(data).select("rid", vector_to_array("rawPrediction").alias("raw"))
-    j = ours.join(theirs, "rid").select(
-        (F.coalesce("n0", F.lit(0)).cast("double") == F.col("raw")[0]).alias("ok0"),
-        (F.coalesce("n1", F.lit(0)).cast("double") == F.col("raw")[1]).alias("ok1"))
-    assert j.count() == data.count()
-    assert j.where(~F.col("ok0") | ~F.col("ok1")).count() == 0
+def _grown(spark, rows, **how):
+    """(rows as given, {category: tree}) of trees grown from (category, label, vec, emp) rows."""
+    df = spark.createDataFrame(rows, "category string, label int, vec array<double>, emp string")
+    return {c: json.loads(t) for c, t in TRN.train_trees(df, **how).items()}
+
+
+def _check_grown(rows, trees):
+    """Every leaf counts the rows that reach it, and holds both labels only if its rows are alike."""
+    leaves = {}
+    for cat, label, vec, emp in rows:
+        leaves.setdefault((cat, _python_walk(trees[cat], vec, emp)), []).append((label, tuple(vec), emp or ""))
+    for (_cat, (_path, n0, n1)), got in leaves.items():
+        ones = sum(label for label, _v, _e in got)
+        assert (n0 or 0, n1 or 0) == (len(got) - ones, ones)
+        assert ones in (0, len(got)) or len({row[1:] for row in got}) == 1
+    return max(len(path) for _cat, (path, _n0, _n1) in leaves)
+
+
+def _vec(**slots):
+    return [None if i == config.EMPLOYEES_SLOT else float(slots.get(f"x{i}", 0)) if slots.get(f"x{i}", 0) is not None
+            else None for i in range(len(config.VECTOR_SLOTS))]
+
+
+def test_grown_trees_reproduce_every_row(spark):
+    """Few and many rows a task, coarse cut points, a hot category, missing numbers, alike rows of both labels."""
+    rnd = random.Random(5)
+    rows = []
+    for i in range(900):
+        cat = "hot + one" if i % 3 else rnd.choice(["a", "b"])
+        rows.append((cat, int(rnd.random() < 0.3), _vec(x0=rnd.choice([None, rnd.randint(0, 40)]), x6=rnd.randint(0, 2),
+                                                        x11=rnd.choice([0.0, rnd.random()])),
+                     rnd.choice([None, "", "1-10", "11-50", "25"])))
+    rows += [("b", label, _vec(x0=7), "1-10") for label in (0, 1, 1)]
+    rows += [("pure", 1, _vec(x0=i), "") for i in range(20)]
+    for how in ({"task_rows": 400, "bins": 4}, {}):
+        trees = _grown(spark, rows, **how)
+        assert set(trees) == {"hot + one", "a", "b", "pure"} and trees["pure"] == {"col": -1, "results": {"1": 20}}
+        _check_grown(rows, trees)
+
+
+def test_grown_trees_go_deep(spark):
+    """Labels that alternate along one slot need a level for nearly every value."""
+    rows = [("c", i % 2, _vec(x0=i), "") for i in range(60)]
+    trees = _grown(spark, rows)
+    assert _check_grown(rows, trees) > 20
+    assert _grown(spark, rows, task_rows=58, bins=240) == trees
+
+
+def test_grown_trees_split_on_the_employees_label(spark):
+    rows = [("c", int(e == "11-50"), _vec(x0=i % 3), e) for i, e in enumerate(["1-10", "11-50", None, "25"] * 10)]
+    want = {"col": config.EMPLOYEES_SLOT, "value": "11-50", "tb": {"col": -1, "results": {"1": 10}},
+            "fb": {"col": -1, "results": {"0": 30}}}
+    assert _grown(spark, rows) == _grown(spark, rows, task_rows=5) == {"c": want}
+
+
+def test_grown_trees_of_nothing_and_of_cuts(spark):
+    assert _grown(spark, []) == {}
+    rows = [("c", i % 2, _vec(x0=i), "") for i in range(40)] + [("c", None, _vec(x0=3), "")]
+    for how in ({"max_depth": 2}, {"max_depth": 2, "task_rows": 5}):
+        tree = _grown(spark, rows, **how)["c"]  # a first value is cut off, then one of the rest
+        assert json.dumps(tree).count('"tb"') == 2
+        assert max(len(_python_walk(tree, vec, emp)[0]) for _c, _label, vec, emp in rows) == 3
+    assert json.dumps(_grown(spark, rows, min_rows=41)["c"]).count('"tb"') == 0
 
 
 def test_deep_models_are_deep_and_reached(spark):
