@@ -16,8 +16,13 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import text as TX
+from ..session import materialize
 from .ranking import positions
 
+# the plain filter compares every company with every query: only for queries of this many bytes together
+MAX_LOOP_BYTES = 64 * 1024
+LOOP_ROW_BYTES = 32
+
 
 def sent_query(q):
     """The search box trims surrounding whitespace before checking and
@@ -77,6 +82,22 @@ def search_matches(index: DataFrame, queries: DataFrame, min_key: int = config.S
     return cand.groupBy("query_id", "p").agg(F.min("kpos").cast("int").alias("kpos"))
 
 
+def search_filter(index: DataFrame, queries: DataFrame, min_key: int = config.SEARCH_MIN_KEY_LEN,
+                  max_loop_bytes: int = MAX_LOOP_BYTES) -> DataFrame:
+    """(query_id, p) of every company that the plain filter keeps.
+
+    The queries are written once and measured.  Up to ``max_loop_bytes`` of
+    text they are broadcast and the predicate is evaluated beside each index
+    row, which then meets no shuffle; beyond it the blocked join answers,
+    whose work does not grow with companies times queries."""
+    asked = materialize(queries.select("query_id", "q", TX.query_keys(F.col("q")).alias("keys")), "queries")
+    size = asked.agg(F.sum(F.coalesce(F.octet_length("q"), F.lit(0)) + F.lit(LOOP_ROW_BYTES))).first()[0] or 0
+    if size > max_loop_bytes:
+        return search_matches(index, asked.select("query_id", "q"), min_key).select("query_id", "p")
+    return (index.join(F.broadcast(asked), TX.has_matching_key(F.col("n"), F.col("keys"), min_key))
+            .select("query_id", "p"))
+
+
 def search(index: DataFrame, queries: DataFrame) -> DataFrame:
     """Matches ordered by keyword score + 10 * s (desc), permalink asc."""
     acc = accepted_queries(queries)

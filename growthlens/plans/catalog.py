@@ -267,7 +267,7 @@ def name_tokens(spark, sf):
 @plan("search_filter")
 def search_filter(spark, sf):
     c = Ctx(spark, sf)
-    return SE.search_matches(c.world.index, SE.accepted_queries(c.world.queries)).select("query_id", "p")
+    return SE.search_filter(c.world.index, SE.accepted_queries(c.world.queries))
 
 
 @plan("search_blocked")

@@ -84,3 +84,27 @@ def test_keyword_score_matches_direct_loop(spark):
     want = [_score(n, q) for n, q in cases]
     bad = [(c, g, w) for c, g, w in zip(cases, got, want) if g != w]
     assert not bad, bad[:10]
+
+
+def test_blocked_search_equals_the_filter(spark):
+    """The plain predicate, the blocked join and a loop over all pairs keep the same companies, on either side of the bound."""
+    from growthlens.operators import search as SE
+    rnd = random.Random(8)
+    words = ["Red", "bolt", "ring", "INC", "co", "gear", "\u00c9tude", "wid", "", None]
+
+    def text(most):
+        parts = [rnd.choice(words) for _ in range(rnd.randint(1, most))]
+        return None if None in parts else " ".join(parts)
+
+    names = [(f"c{i}", text(4)) for i in range(150)]
+    asked = [(i, text(3)) for i in range(60)] + [(60, "   "), (61, "ing"), (62, "nc co")]
+    index = spark.createDataFrame(names, "p string, n string")
+    queries = spark.createDataFrame(asked, "query_id int, q string")
+    want = sorted((q, p) for q, text in asked if text is not None for p, name in names if name is not None
+                  and any(len(k) >= 3 and k in name.lower() for k in text.lower().split(" ")))
+    loop, blocked = SE.search_filter(index, queries), SE.search_filter(index, queries, max_loop_bytes=0)
+    assert want and sorted(map(tuple, loop.collect())) == want
+    assert sorted(map(tuple, blocked.collect())) == want
+    assert "BroadcastNestedLoopJoin" in loop._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" not in blocked._jdf.queryExecution().executedPlan().toString()
+    assert SE.search_filter(index, queries.limit(0)).count() == 0 == SE.search_filter(index.limit(0), queries).count()
