@@ -63,14 +63,17 @@ def success_overall(features: DataFrame, scores: DataFrame) -> DataFrame:
                     F.coalesce(F.col("success"), F.create_map().cast("map<string,double>")).alias("success")))
 
 
-def with_success(features: DataFrame, packed: DataFrame, row_local: bool = True) -> DataFrame:
+def with_success(features: DataFrame, packed: DataFrame, row_local: bool | None = None) -> DataFrame:
     """M5 beside the features: success_all and the category map ``success``.
 
     A company's eligible categories are scored inside its own row, so that no
     row is shuffled: the models arrive as one value (a scalar subquery), which
     is right for a model of a proven size (``trees.MAX_BROADCAST_MODEL_BYTES``).
     With ``row_local`` off, for larger models, the long form is joined back.
+    Unless it is given, the packed trees are measured.
     """
+    if row_local is None:
+        row_local = T.model_bytes(packed) <= T.MAX_BROADCAST_MODEL_BYTES
     if not row_local:
         succ = success_overall(features, score_categories(features, packed))
         return features.join(succ.drop("p"), "k", "left")

@@ -167,6 +167,11 @@ def predict(rows: DataFrame, packed: DataFrame) -> DataFrame:
                     F.when(F.col("cols").isNull(), F.lit("no_model")).otherwise(F.lit("ok")).alias("reason"))
 
 
+def model_bytes(packed: DataFrame) -> int:
+    """Size of all packed trees together, from their node counts (one small aggregate)."""
+    return (packed.agg(F.sum("n_nodes")).first()[0] or 0) * PACKED_NODE_BYTES
+
+
 def models(packed: DataFrame) -> DataFrame:
     """All packed trees as one value: a map from category to arrays."""
     parts = F.struct("cols", "nums", "strs", "tb", "fb", "n0", "n1", "depth")

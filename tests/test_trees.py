@@ -164,3 +164,24 @@ def test_upsert_of_equal_versions_is_stable(spark):
         df = spark.createDataFrame(some, "p string, x int, fetched_at int")
         got = PS.upsert(df.limit(2), df.subtract(df.limit(2))).collect()
         assert sorted((r.p, r.x) for r in got) == [("a", 9), ("b", 3)]
+
+
+def test_models_beyond_the_bound_score_alike(spark, monkeypatch):
+    """The model is gathered into one value only below the bound; both forms give the same rows."""
+    from conftest import SF_SMALL
+    from growthlens.operators import scoring as SC
+    from growthlens.plans.context import Ctx
+    c = Ctx(spark, SF_SMALL)
+    assert T.model_bytes(c.packed_trees) == 256 * c.packed_trees.agg(F.sum("n_nodes")).first()[0] > 0
+
+    def rows():
+        got = SC.with_success(c.features, c.packed_trees).select("k", "success_all", "success")
+        return sorted((r.k, r.success_all, sorted(r.success.items())) for r in got.collect())
+
+    monkeypatch.setattr(T, "models", lambda packed, real=T.models: calls.append(1) or real(packed))
+    calls = []
+    small = rows()
+    assert calls and any(r[2] for r in small)
+    monkeypatch.setattr(T, "MAX_BROADCAST_MODEL_BYTES", 0)
+    calls.clear()
+    assert rows() == small and not calls
