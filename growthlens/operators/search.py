@@ -56,7 +56,8 @@ def name_tokens(index: DataFrame) -> DataFrame:
             .select("p", F.col("pos").cast("int").alias("pos"), "token"))
 
 
-def _trigrams(text):
+def trigrams(text):
+    """Distinct runs of three characters (none of a shorter text)."""
     n = F.length(text)
     return F.when(n >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), n - 2),
                                                       lambda i: text.substr(i, F.lit(3))))) \
@@ -66,11 +67,11 @@ def _trigrams(text):
 def search_matches(index: DataFrame, queries: DataFrame, min_key: int = config.SEARCH_MIN_KEY_LEN) -> DataFrame:
     """(query_id, p, kpos) -- kpos = first key that matched."""
     names = index.select("p", F.lower("n").alias("ln"))
-    name_tri = names.select("p", "ln", F.explode(_trigrams(F.col("ln"))).alias("tri"))
+    name_tri = names.select("p", "ln", F.explode(trigrams(F.col("ln"))).alias("tri"))
     freq = name_tri.groupBy("tri").agg(F.count(F.lit(1)).alias("freq"))
     keys = (search_keys(queries).where(F.length("key") >= min_key)
             .select("query_id", F.col("pos").alias("kpos"), "key",
-                    F.explode(_trigrams(F.col("key"))).alias("tri")))
+                    F.explode(trigrams(F.col("key"))).alias("tri")))
     # rarest trigram per key (unknown trigram -> frequency 0 -> no candidates)
     block = (keys.join(freq, "tri", "left")
              .groupBy("query_id", "kpos", "key")
@@ -98,15 +99,20 @@ def search_filter(index: DataFrame, queries: DataFrame, min_key: int = config.SE
             .select("query_id", "p"))
 
 
-def search(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """Matches ordered by keyword score + 10 * s (desc), permalink asc."""
+def scored_matches(index: DataFrame, queries: DataFrame, matches: DataFrame | None = None) -> DataFrame:
+    """K3: accepted matches with their keyword score, in no order; ``matches`` may come from a maintained index."""
     acc = accepted_queries(queries)
-    m = search_matches(index, acc)
+    m = search_matches(index, acc) if matches is None else matches
     q = acc.select("query_id", TX.query_keys(F.col("q")).alias("keys"))
-    rows = (m.join(index.select("p", "n", "i", "s"), "p").join(q, "query_id")
+    return (m.join(index.select("p", "n", "i", "s"), "p").join(q, "query_id")
             .select("query_id", "p", "n", "i", "s",
                     TX.keyword_score(F.col("n"), F.col("keys")).alias("kscore")))
-    rows = rows.withColumn("score", F.col("kscore") + F.lit(10) * F.col("s"))
+
+
+def search(index: DataFrame, queries: DataFrame, matches: DataFrame | None = None) -> DataFrame:
+    """Matches ordered by keyword score + 10 * s (desc), permalink asc."""
+    rows = scored_matches(index, queries, matches)
+    rows = materialize(rows.withColumn("score", F.col("kscore") + F.lit(10) * F.col("s")), "matches")
     return positions(rows, ["query_id"], [F.col("score").desc(), F.col("p").asc()], "pos")
 
 

@@ -13,13 +13,16 @@ from pyspark.sql import functions as F
 
 from .. import config, schemas
 from ..functions.numeric import half_up
+from ..sources import bucketed_store as BS
 from ..sources import documents as DOC
 from ..sources import keyed_json as KJ
 from ..sources import profile_store as PS
 from ..sources import ranks_io as RIO
+from ..sources import search_index as SI
 from ..operators import cards as CA
 from ..operators import competitors as CO
 from ..operators import features as FE
+from ..operators import maintained as MB
 from ..operators import ranking as RK
 from ..operators import related as RE
 from ..operators import scoring as SC
@@ -147,6 +150,25 @@ def category_baselines(spark, sf):
     return b.select("category", "t", "r", half_up(F.col("m"), 4).alias("m"), half_up(F.col("d"), 4).alias("d"))
 
 
+@plan("baselines_maintained")
+def baselines_maintained(spark, sf):
+    """A2 kept up over three batches: values that are doubled at first or not there yet, then put right."""
+    from ..session import materialize
+    c = Ctx(spark, sf)
+    rows = materialize(MB.contributions(c.world.index, c.features).withColumn("at", _arrival(F.col("p"))), "contributions")
+    at = F.col("at")
+    first = F.when(at == 0, F.col("mf")).when(at == 1, F.col("mf") * 2)
+
+    def as_of(batch, mf):
+        return rows.select("p", "categories", mf.alias("mf"), F.lit(batch).alias("fetched_at"), "at")
+
+    path = MB.start(_scratch(spark, "baselines"), as_of(0, first))
+    MB.update(path, as_of(1, F.col("mf")).where(at == 1), 1)
+    MB.update(path, as_of(2, F.col("mf")).where(at == 2), 2)
+    return MB.baselines(spark, path, config.WORLD_MIN_CATEGORY_SIZE).select(
+        "category", "t", "r", half_up(F.col("m"), 4).alias("m"), half_up(F.col("d"), 4).alias("d"))
+
+
 @plan("category_counts")
 def category_counts(spark, sf):
     return Ctx(spark, sf).world.company_category.groupBy("category").agg(F.count(F.lit(1)).alias("t"))
@@ -279,7 +301,7 @@ def search_blocked(spark, sf):
 @plan("keyword_score")
 def keyword_score(spark, sf):
     c = Ctx(spark, sf)
-    return SE.search(c.world.index, c.world.queries).select("query_id", "p", "kscore")
+    return SE.scored_matches(c.world.index, c.world.queries).select("query_id", "p", "kscore")
 
 
 @plan("search_rejects")
@@ -307,6 +329,26 @@ def page_counts(spark, sf):
                           c.world.queries)
 
 
+def _arrival(p):
+    """0, 1 or 2: the batch in which a company's final row arrives."""
+    return F.pmod(F.crc32(F.encode(p, "UTF-8")), F.lit(3))
+
+
+@plan("search_indexed")
+def search_indexed(spark, sf):
+    """J8 on an index that grew in three batches: companies that are renamed, new and gone again."""
+    from ..session import materialize
+    c = Ctx(spark, sf)
+    names = materialize(c.world.index.select("p", "n"), "names")
+    at, p, n = _arrival(F.col("p")), F.col("p"), F.col("n")
+    gone = names.select(F.concat(F.lit("gone-"), p).alias("p"), "n")
+    first = names.where(at < 2).select("p", F.when(at == 0, n).otherwise(F.reverse(n)).alias("n"))
+    path = SI.create(_scratch(spark, "search_index"), first)
+    SI.update(path, names.where(at == 2).unionByName(gone), 1)
+    SI.update(path, names.where(at == 1).unionByName(gone.withColumn("n", F.lit(None).cast("string"))), 2)
+    return SI.matches(spark, path, SE.accepted_queries(c.world.queries))
+
+
 # -------------------------------------------------------------------- related
 @plan("related_competitors")
 def related_competitors(spark, sf):
@@ -431,19 +473,22 @@ def doc_profiles(spark, sf):
     return prof.select("p", "age", "success_all", "rate")
 
 
+def _stored_profiles(spark, c):
+    return BS.create(_scratch(spark, "profiles"), c.profiles.select(
+        "p", F.lit(1).alias("fetched_at"), "age", "success_all", "rate"))
+
+
 @plan("has_profile")
 def has_profile(spark, sf):
     c = Ctx(spark, sf)
-    path = PS.save_profiles(c.profiles.select("p", "age", "success_all", "rate"), _scratch(spark, "profiles"))
-    return PS.has_profile(c.world.index, PS.load_profiles(spark, path))
+    return BS.has_profile(c.world.index, _stored_profiles(spark, c))
 
 
 @plan("profile_lookup")
 def profile_lookup(spark, sf):
     c = Ctx(spark, sf)
-    path = PS.save_profiles(c.profiles.select("p", "age", "success_all", "rate"), _scratch(spark, "profiles"))
     lookups = c.world.competitor.select(F.col("competitor").alias("p")).distinct()
-    return PS.profile_lookup(lookups, PS.load_profiles(spark, path), ["age", "success_all", "rate"])
+    return BS.profile_lookup(lookups, _stored_profiles(spark, c), ["age", "success_all", "rate"])
 
 
 UPSERT_AS_OF = "2002-09-01"
@@ -452,14 +497,11 @@ UPSERT_AS_OF = "2002-09-01"
 @plan("profile_upsert")
 def profile_upsert(spark, sf):
     c = Ctx(spark, sf)
-    stored_path = PS.save_profiles(c.feature_plan.select("p", F.lit(1).alias("fetched_at"), "age"),
-                                   _scratch(spark, "profiles_v1"))
+    table = BS.create(_scratch(spark, "profiles"), c.feature_plan.select("p", F.lit(1).alias("fetched_at"), "age"))
     later = Ctx(spark, sf, as_of=UPSERT_AS_OF)
     changed = c.rounds.where(F.year("d") == 2001).select("p").distinct()
-    updates = later.feature_plan.join(changed, "p", "left_semi").select("p", F.lit(2).alias("fetched_at"), "age")
-    merged = PS.upsert(PS.load_profiles(spark, stored_path), updates)
-    out = PS.save_profiles(merged, _scratch(spark, "profiles_v2"))
-    return PS.load_profiles(spark, out).select("p", F.col("fetched_at").cast("int").alias("fetched_at"), "age")
+    BS.upsert(table, later.feature_plan.join(changed, "p", "left_semi").select("p", F.lit(2).alias("fetched_at"), "age"), 1)
+    return BS.read(spark, table).select("p", "fetched_at", "age")
 
 
 @plan("ranks_export")

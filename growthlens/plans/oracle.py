@@ -532,5 +532,9 @@ SELECTS["ranks_export"] = """
     FROM w_topk GROUP BY category"""
 
 
+SELECTS["search_indexed"] = SELECTS["search_blocked"]
+SELECTS["baselines_maintained"] = SELECTS["category_baselines"]
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: with_world(sel) for name, sel in SELECTS.items()}
