@@ -27,7 +27,8 @@ checkpoint folder.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -143,13 +144,15 @@ def _events_stream(spark: SparkSession, events_dir: str, pattern: str, max_files
     return r.parquet(events_dir)
 
 
-def _write_batches(df: DataFrame, out: str, ckpt: str):
+def _write_batches(df: DataFrame, out: str, ckpt: str, on_progress: Callable[[dict], None] | None = None):
     def sink(bdf: DataFrame, batch_id: int):
         bdf.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
             .parquet(f"{out}/batch_id={batch_id}")
     q = (df.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt)
          .outputMode("update").trigger(availableNow=True).start())
     q.awaitTermination()
+    for progress in q.recentProgress if on_progress else ():
+        on_progress(json.loads(progress.json))
     return out
 
 
@@ -177,15 +180,25 @@ def run_reference_topk(spark: SparkSession, events_dir: str, k: int = config.TOP
 
 def run_exact_topk(spark: SparkSession, events_dir: str, k: int = config.TOP_K,
                    pattern: str = "events.parquet", max_files: int | None = None,
-                   out: str | None = None) -> DataFrame:
-    """Exact-mode stream; returns the top-k of the latest scores."""
+                   out: str | None = None, dedup_within: str | None = None,
+                   on_progress: Callable[[dict], None] | None = None) -> DataFrame:
+    """Exact-mode stream; returns the top-k of the latest scores.
+
+    ``dedup_within`` (a duration, off by default) drops an event whose id was seen within that much event time of it
+    before it reaches the aggregate; ids are forgotten once the watermark has passed them. An event that comes in later
+    than the watermark is dropped too, a first one included, so the duration must cover the lateness of the feed.
+    ``on_progress`` is handed Spark's report of each batch."""
     out = out or scratch_path(spark, "topk_exact")
     ckpt = out + "_checkpoint"
-    scores = events_as_scores(_events_stream(spark, events_dir, pattern, max_files))
+    events = _events_stream(spark, events_dir, pattern, max_files)
+    if dedup_within:
+        timed = events.withColumn("at", F.col("ts").cast("timestamp"))
+        events = timed.withWatermark("at", dedup_within).dropDuplicatesWithinWatermark(["event_id"])
+    scores = events_as_scores(events)
     latest = scores.groupBy("category", "p").agg(
         F.max_by("s", F.struct("ts", "event_id")).alias("s"),
         F.max(F.struct("ts", "event_id")).alias("at"))
-    _write_batches(latest, out, ckpt)
+    _write_batches(latest, out, ckpt, on_progress)
     upd = spark.read.parquet(out)
     # latest version of each key over all batches, then the top-k
     cur = top_k(upd, ["category", "p"], [F.col("batch_id").desc()], 1, "_v").select("category", "p", "s")

@@ -177,3 +177,27 @@ def test_bucket_top_rereads_only_when_needed():
     assert send(("a", 4.6, 2)) == [("a", 4.6), ("c", 4.5)] and top.scores.reads == 0  # falls, but stays ahead
     assert send(("a", 1.0, 3)) == [("c", 4.5), ("b", 4.0)] and top.scores.reads == 1  # a non-member is better now
     assert send(("a", 9.0, 2)) == [("c", 4.5), ("b", 4.0)] and top.scores.reads == 1  # late
+
+
+def test_replayed_events_are_dropped_and_their_ids_forgotten(spark, tmp_path):
+    events = read_table(spark, SF_SMALL, "events")
+    want = sorted(tuple(r) for r in ST.batch_exact_topk(events, 10).select("category", "rank", "p", "s").collect())
+    pdf = events.toPandas().sort_values(["ts", "event_id"])
+    half = len(pdf) // 2
+    land = tmp_path / "land"
+    land.mkdir()
+    parts = [pdf[:half], pdf[:half], pdf[half:], pdf[half:]]  # every event twice, in the order of time
+    for i, part in enumerate(parts):
+        part.to_parquet(land / f"events-{i}.parquet", coerce_timestamps="us", index=False)
+        os.utime(land / f"events-{i}.parquet", (1_700_000_000 + i * 60,) * 2)
+    seen = []
+    out = str(tmp_path / "out")
+    span = (pdf.ts.max() - pdf.ts.min()).total_seconds()
+    got = ST.run_exact_topk(spark, str(land), 10, "events-*.parquet", 1, out, dedup_within=f"{int(span // 4) + 1} seconds",
+                            on_progress=seen.append)
+    assert sorted(tuple(r) for r in got.select("category", "rank", "p", "s").collect()) == want
+    held = [op["numRowsTotal"] for p in seen for op in p["stateOperators"] if "edup" in op["operatorName"]]
+    dropped = sum(op["customMetrics"].get("numDroppedDuplicateRows", 0) for p in seen for op in p["stateOperators"]
+                  if "edup" in op["operatorName"])
+    # the watermark moves after a batch: the batch after the last new events forgets the ids before it
+    assert max(held) <= len(pdf) and held[-1] < max(held) and dropped > 0
