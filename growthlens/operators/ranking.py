@@ -57,15 +57,17 @@ def top_k(df: DataFrame, group_cols: list[str], order_cols: list, k: int, name:
         .withColumn(name, F.col(name).cast("bigint"))
 
 
-def effective_category_scores(company_category: DataFrame, features: DataFrame,
-                              scores: DataFrame) -> DataFrame:
+def effective_category_scores(index: DataFrame, success: DataFrame) -> DataFrame:
     """J6 for rankings: a profiled company uses its score for that category
-    (null if it has none); others use the index score ``s``."""
-    prof = features.select("k", F.lit(True).alias("_profiled"))
-    sc = scores.where(F.col("reason") == "ok").select("k", "category", F.col("score5").alias("_cs"))
-    return (company_category.join(prof, "k", "left").join(sc, ["k", "category"], "left")
-            .select("category", "p", "k",
-                    F.when(F.col("_profiled"), F.col("_cs")).otherwise(F.col("s")).alias("s")))
+    (null if it has none); others use the index score ``s``.
+
+    One join of the index (p, k, s, c) with the companies' scores, held as a
+    map in their rows; the categories are exploded after it."""
+    scores = success.select("k", F.col("success").alias("_scores"))
+    return (index.select("p", "k", "s", "c").join(scores, "k", "left")
+            .select("p", "k", "s", "_scores", F.explode("c").alias("category"))
+            .select("category", "p", "k", F.when(F.col("_scores").isNotNull(), F.try_element_at("_scores", F.col("category")))
+                    .otherwise(F.col("s")).alias("s")))
 
 
 def category_topk(effective: DataFrame, k: int = config.TOP_K, categories: list[str] | None = None) -> DataFrame:

@@ -10,9 +10,9 @@ from .ranking import positions
 
 
 def flags(profiles: DataFrame) -> DataFrame:
-    """p, allstar, hot for every profiled company."""
+    """p, success_all, allstar, hot for every profiled company."""
     return profiles.select(
-        "p",
+        "p", "success_all",
         CL.is_allstar(F.col("is_acquired"), F.col("num_acquisitions"), F.col("success_all")).alias("allstar"),
         CL.is_hot(F.col("is_acquired"), F.col("num_acquisitions"), F.col("age"), F.col("success_all"),
                   F.col("rate")).alias("hot"))
@@ -24,10 +24,8 @@ def trend_list(profiles: DataFrame, index: DataFrame, which: str) -> DataFrame:
 
     The order is a global one; ``positions`` range-partitions it so no task
     receives the whole list."""
-    f = flags(profiles).where(F.col(which)).select("p")
-    succ = profiles.select("p", "success_all")
-    meta = index.select("p", "n", "i").join(f, "p").join(succ, "p")
-    rows = meta.select("p", "n", "i", F.col("success_all").alias("s"))
+    f = flags(profiles).where(F.col(which)).select("p", "success_all")
+    rows = index.select("p", "n", "i").join(f, "p").select("p", "n", "i", F.col("success_all").alias("s"))
     return positions(rows, [], [F.col("s").desc(), F.col("p").asc()], "pos")
 
 

@@ -372,7 +372,7 @@ def related_dedup(spark, sf):
 
 @plan("related")
 def related(spark, sf):
-    c = Ctx(spark, sf)
+    c = Ctx(spark, sf).stored()
     # the effective score needs success_all only (no baselines or rate)
     return RE.related(c.world.lists, c.edges, c.world.index, c.world.company_category, c.topk, c.success)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import config
 from ..operators import features as FE
@@ -21,6 +22,15 @@ class Ctx:
         self.baseline = baseline
         self.world = World(spark, sf_dir)
 
+    def stored(self) -> Ctx:
+        """This context with the frames that one plan reads several times written once: the index, the companies'
+        scores, and the top-k, which has at most k rows a category."""
+        from ..session import materialize
+        self.world.company = materialize(self.world.company, "company")
+        self.success = materialize(self.success, "success")
+        self.topk = materialize(self.topk, "topk")
+        return self
+
     @cached_property
     def features(self) -> DataFrame:
         """The feature table.  Scoring, baselines, rate and the rankings all
@@ -68,7 +78,8 @@ class Ctx:
     @cached_property
     def effective(self) -> DataFrame:
         from ..operators import ranking as RK
-        return RK.effective_category_scores(self.world.company_category, self.features, self.scores)
+        index = self.world.company.select("p", "k", "s", F.array("cat1", "cat2").alias("c"))
+        return RK.effective_category_scores(index, self.success)
 
     @cached_property
     def topk(self) -> DataFrame:
