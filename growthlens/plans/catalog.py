@@ -449,7 +449,8 @@ def ingest_orgs(spark, sf):
 @plan("quarantine")
 def quarantine(spark, sf):
     c, (good, q) = _ingested(spark, sf)
-    return q.unionByName(DOC.not_in_index(good, c.world.index))
+    scores = SC.score_categories(DOC.with_index(DOC.document_features(good), c.world.index), c.packed_trees)
+    return q.unionByName(DOC.not_in_index(good, c.world.index)).unionByName(DOC.without_model(scores))
 
 
 @plan("doc_features")

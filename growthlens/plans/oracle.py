@@ -462,11 +462,13 @@ SELECTS.update({
     "load_companies": "SELECT p, n, i, s, cat1 || '|' || cat2 AS categories FROM w_company",
     "load_category_stats": SELECTS["category_baselines"],
     "ingest_orgs": f"""SELECT p, founded_on, total_funding_usd, emp_min, emp_max FROM w_org""",
-    "quarantine": f"""SELECT 'malformed_json' AS reason, 'not json' AS raw FROM w_org
+    "quarantine": f"""SELECT CAST(NULL AS VARCHAR) AS p, 'malformed_json' AS reason, 'not json' AS raw FROM w_org
         WHERE k % {config.WORLD_CORRUPT_EVERY} = 0
         UNION ALL
-        SELECT 'malformed_json' AS reason, 'not json' AS raw FROM w_round r JOIN w_org o ON o.k = r.k
-        WHERE o.k % {config.WORLD_CORRUPT_EVERY} = 0""",
+        SELECT NULL, 'malformed_json', 'not json' FROM w_round r JOIN w_org o ON o.k = r.k
+        WHERE o.k % {config.WORLD_CORRUPT_EVERY} = 0
+        UNION ALL
+        SELECT DISTINCT p, reason, category FROM w_pred WHERE reason = 'no_model'""",
     "doc_features": f"""SELECT f.p, f.is_acquired, f.loc_city, f.num_employees, f.age, f.num_competitors,
         f.num_offices, f.num_products, f.total_funding_investments, f.num_investments, f.num_acquisitions,
         f.num_investors_orgs, f.num_investors_persons, f.num_funding_rounds, f.funding_per_round,
@@ -500,7 +502,7 @@ SELECTS.update({
               FROM events GROUP BY event_type, user_id)) WHERE rank <= {config.TOP_K}""",
     "stream_profiles": SELECTS["doc_profiles"],
     "stream_topk_profiles": SELECTS["category_topk"],
-    "stream_quarantine": SELECTS["quarantine"],
+    "stream_quarantine": f"SELECT reason, raw FROM ({SELECTS['quarantine']}) WHERE reason <> 'no_model'",
 })
 
 

@@ -130,20 +130,27 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def split_documents(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good documents (p, data), quarantine (reason, raw))."""
+    """(good documents (p, data), quarantine (p, reason, raw)); p is null, as these lines name no company."""
     bad_parse = F.col(schemas.CORRUPT).isNotNull()
     no_key = F.col("data.properties.permalink").isNull()
     good = raw.where(~bad_parse & ~no_key).select(F.col("data.properties.permalink").alias("p"), "data")
     quarantine = raw.where(bad_parse | no_key).select(
+        F.lit(None).cast("string").alias("p"),
         F.when(bad_parse, F.lit("malformed_json")).otherwise(F.lit("missing_permalink")).alias("reason"),
         F.coalesce(F.col(schemas.CORRUPT), F.to_json(F.struct("data"))).alias("raw"))
     return good, quarantine
 
 
 def not_in_index(good: DataFrame, index: DataFrame) -> DataFrame:
-    """Quarantine rows (reason, raw) of documents whose company is not indexed."""
+    """Quarantine rows (p, reason, raw) of documents whose company is not indexed."""
     lost = good.join(index.select("p"), "p", "left_anti")
-    return lost.select(F.lit("not_in_index").alias("reason"), F.to_json(F.struct("data")).alias("raw"))
+    return lost.select("p", F.lit("not_in_index").alias("reason"), F.to_json(F.struct("data")).alias("raw"))
+
+
+def without_model(scores: DataFrame) -> DataFrame:
+    """Quarantine rows (p, reason, raw) of the eligible categories that no model scores; raw is the category. The company
+    itself is scored on its other categories."""
+    return scores.where(F.col("reason") == "no_model").select("p", "reason", F.col("category").alias("raw")).distinct()
 
 
 # --------------------------------------------------------------- features

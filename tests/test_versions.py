@@ -5,7 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from growthlens import session
+from growthlens import config, session
+from growthlens.operators import scoring as SC
+from growthlens.operators import trees as T
 from growthlens.operators.scoring import category_score
 from growthlens.sources import documents as DOC
 
@@ -34,7 +36,25 @@ def test_unindexed_documents_are_quarantined(spark, tmp_path):
     spark.createDataFrame([(_page("z", 0, 0, 1),)], "value string").write.text(path)
     good, _ = DOC.split_documents(DOC.read_documents(spark, path))
     got = DOC.not_in_index(good, spark.createDataFrame([("a",)], "p string")).collect()
-    assert [r.reason for r in got] == ["not_in_index"]
+    assert [(r.p, r.reason) for r in got] == [("z", "not_in_index")]
+
+
+def test_every_reason_of_quarantine(spark, tmp_path):
+    path, known = str(tmp_path / "docs"), sorted(config.WORLD_TREES)[0]
+    doc = json.loads(_page("a", 0, 0, 1))
+    doc["data"]["relationships"]["categories"] = {"items": [{"properties": {"name": x}} for x in
+                                                            (known, "untaught", "untaught", "elsewhere")]}
+    lines = [json.dumps(doc), _page("z", 0, 0, 1), _page(None, 0, 0, 1), "not json"]
+    spark.createDataFrame([(x,) for x in lines], "value string").write.text(path)
+    index = spark.createDataFrame([("a", 0.5, [known, "untaught"])], "p string, s double, c array<string>")
+    good, bad = DOC.split_documents(DOC.read_documents(spark, path))
+    scores = SC.score_categories(DOC.with_index(DOC.document_features(good), index),
+                                 T.pack_constant_trees(spark, config.WORLD_TREES))
+    rows = bad.unionByName(DOC.not_in_index(good, index)).unionByName(DOC.without_model(scores)).collect()
+    assert sorted((r.reason, r.p) for r in rows) == [("malformed_json", None), ("missing_permalink", None),
+                                                     ("no_model", "a"), ("not_in_index", "z")]
+    assert [r.raw for r in rows if r.reason == "no_model"] == ["untaught"]
+    assert [r.category for r in scores.where("reason = 'ok'").collect()] == [known]
 
 
 def test_leaf_without_counts_has_no_score(spark):
