@@ -8,11 +8,14 @@ on the employees slot ``emp == value``.
 
 * A node of more than ``task_rows`` rows is split by Spark, one level of all
   categories at a time: cut points per (category, node, slot) are a quantile
-  sketch, counts per (category, node, slot, cut point) are partial
-  aggregates, and prefix sums run over at most ``bins`` + 1 of these.  No
-  task sees a node's rows together, so a hot category is no hot task.
+  sketch; the rows at or above each are counted with numpy in parts of at most
+  about ``PART_ROWS`` rows of one node, whose counts are summed.  No task sees
+  a node's rows together, so a hot category is no hot task.  A split's counts
+  are the sizes of its children, so a level reads its rows three times (cut
+  points, counts, move to the children), spread over all tasks.
 * A smaller node is finished where it is: its rows, at most ``task_rows``,
-  come together in one task, which splits at exact values with numpy.
+  come together in one task, which splits at exact values with numpy.  The
+  small nodes of all levels are finished in one job.
 
 Every node that is not pure is split while some test parts it, so a leaf
 holds both labels only if its rows cannot be told apart, or at ``max_depth``
@@ -24,20 +27,25 @@ employees label is ``""``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
-from ..session import materialize
+from ..session import materialize, scratch_path
 
 TASK_ROWS = 8192
 BINS = 64
+PART_ROWS = 65536
 MAX_DEPTH = 200
 # tables of one row a node are broadcast only if they are proven below this
 BROADCAST_BYTES = 64 * 1024 * 1024
 KEYS = ["category", "node"]
+SIDES = "category string, node string, n bigint, n1 bigint, col int, num double, value string, tn bigint, t1 bigint"
 NODES = "category string, node string, col int, value string, n0 bigint, n1 bigint"
 EMP = config.EMPLOYEES_SLOT
 
@@ -49,31 +57,64 @@ def grow(rows: DataFrame, max_depth: int = MAX_DEPTH, min_rows: int = 2,
         "category", F.lit("r").alias("node"), F.col("label").cast("int").alias("label"),
         F.transform("vec", lambda x: F.when(~F.isnan(x), x)).alias("vec"),
         F.coalesce("emp", F.lit("")).alias("emp"))
-    active = materialize(clean, "tree_rows")
-    done = rows.sparkSession.createDataFrame([], NODES)
-    while True:
-        sizes = materialize(_sizes(active, max_depth, min_rows, task_rows), "tree_sizes")
-        n = {r["state"]: r["n"] for r in sizes.groupBy("state").agg(F.count(F.lit(1)).alias("n")).collect()}
-        done = done.unionByName(_leaves(sizes.where("state = 'leaf'")))
-        if "small" in n:
-            some = _of(active, sizes.where("state = 'small'").select(*KEYS), n["small"], 128)
-            finish = _finisher(max_depth, min_rows)
-            done = done.unionByName(materialize(some.groupBy(*KEYS).applyInPandas(finish, NODES), "tree_small"))
-        if "big" not in n:
-            return done
-        big = sizes.where("state = 'big'").select(*KEYS, "n", "n1")
-        splits = materialize(_splits(active, big, n["big"], bins), "tree_splits")
-        done = (done.unionByName(splits.select(*KEYS, "col", "value", F.lit(None).cast("bigint").alias("n0"),
-                                               F.lit(None).cast("bigint").alias("n1")))
-                .unionByName(_leaves(_without(big, splits))))
-        active = materialize(_descend(active, splits, n["big"]), "tree_rows")
-
-
-def _sizes(active: DataFrame, max_depth: int, min_rows: int, task_rows: int) -> DataFrame:
-    out = active.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("bigint").alias("n1"))
+    spark = rows.sparkSession
+    clean = materialize(clean, "tree_rows")
+    state = _state(max_depth, min_rows, task_rows)
+    nodes = materialize(clean.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("bigint").alias("n1"))
+                        .withColumn("state", state), "tree_sizes")
+    n, size = _how_many(nodes)
+    done = _leaves(nodes.where("state = 'leaf'"))
+    small = []
+    if "small" in n:
+        small.append(_of(clean, nodes.where("state = 'small'").select(*KEYS), n["small"], 128))
+    if "big" in n:
+        parts = max(spark.sparkContext.defaultParallelism, -(-size["big"] // PART_ROWS))
+        active = _of(clean, nodes.where("state = 'big'").select(*KEYS, "n"), n["big"], 128).repartition(parts)
+        active = materialize(active.withColumn("row", F.monotonically_increasing_id()), "tree_big")
+        tested, levels = [], []
+        big = nodes.where("state = 'big'")
+        while "big" in n:
+            splits = _splits(active, big.select(*KEYS, "n", "n1"), n["big"], bins)
+            tested.append(_written(splits, "tree_splits"))
+            splits = spark.read.parquet(tested[-1])
+            nodes = _children(splits.where("col IS NOT NULL")).withColumn("state", state)
+            split = n["big"]
+            n, _ = _how_many(nodes)
+            if "small" in n or "big" in n:
+                levels.append(_written(_descend(active, splits, split, state), "tree_rows", "state"))
+                here = spark.read.schema(active.schema.add("state", "string")).parquet(levels[-1])
+                if "big" in n:
+                    active, big = here.where("state = 'big'").drop("state"), nodes.where("state = 'big'")
+                if "small" in n:
+                    small.append(here.where("state = 'small'").select(*clean.columns))
+        tests = spark.read.parquet(*tested)
+        done = (done.unionByName(_leaves(tests.where("col IS NULL")))
+                .unionByName(tests.where("col IS NOT NULL").select(
+                    *KEYS, "col", "value", F.lit(None).cast("bigint").alias("n0"), F.lit(None).cast("bigint").alias("n1")))
+                .unionByName(_leaves(_children(tests.where("col IS NOT NULL")).where(state == "leaf"))))
+    if small:
+        some = reduce(DataFrame.unionByName, small)
+        done = done.unionByName(some.groupBy(*KEYS).applyInPandas(_finisher(max_depth, min_rows), NODES))
+    return materialize(done, "tree_nodes")
+
+
+def _state(max_depth: int, min_rows: int, task_rows: int) -> Column:
+    """What becomes of a node (node, n, n1)."""
     whole = ((F.col("n1") == 0) | (F.col("n1") == F.col("n")) | (F.length("node") > max_depth)
              | (F.col("n") < min_rows))
-    return out.withColumn("state", F.when(whole, "leaf").when(F.col("n") > task_rows, "big").otherwise("small"))
+    return F.when(whole, "leaf").when(F.col("n") > task_rows, "big").otherwise("small")
+
+
+def _how_many(nodes: DataFrame) -> tuple[dict[str, int], dict[str, int]]:
+    """Nodes and rows of each state."""
+    got = nodes.groupBy("state").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("rows")).collect()
+    return {r["state"]: r["nodes"] for r in got}, {r["state"]: r["rows"] for r in got}
+
+
+def _written(df: DataFrame, name: str, *by: str) -> str:
+    path = scratch_path(df.sparkSession, name)
+    df.write.partitionBy(*by).parquet(path)
+    return path
 
 
 def _leaves(sizes: DataFrame) -> DataFrame:
@@ -95,50 +136,81 @@ def _of(active: DataFrame, nodes: DataFrame, n: int, row_bytes: int) -> DataFram
     return active.join(right, on).drop("_category", "_node")
 
 
-def _without(nodes: DataFrame, splits: DataFrame) -> DataFrame:
-    right, on = _keyed(splits.select(*KEYS))
-    return nodes.join(right, on, "left_anti")
+def _counter(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    """Some rows of a node, and its cut points -> for each test, how many of the rows pass it and their labels' sum."""
+    y = left["label"].to_numpy().astype(np.int64)
+    vec = left["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1)
+    out: dict[str, list] = {c: [] for c in ("col", "num", "value", "tn", "t1")}
+    for slot in range(vec.shape[1]):
+        cuts = None if slot == EMP else right[f"c{slot}"][0].as_py()
+        if not cuts:
+            continue
+        have = ~np.isnan(vec[:, slot])
+        at = np.searchsorted(cuts, vec[have, slot], side="right")  # cut points at or below the value
+        for name, w in (("tn", None), ("t1", y[have])):
+            passed = np.bincount(at, weights=w, minlength=len(cuts) + 1)[::-1].cumsum()[-2::-1]
+            out[name] += passed.astype(np.int64).tolist()
+        out["col"] += [slot] * len(cuts)
+        out["num"] += cuts
+        out["value"] += [None] * len(cuts)
+    emp = left.select(["emp", "label"]).group_by("emp").aggregate([("label", "count"), ("label", "sum")])
+    out["col"] += [EMP] * len(emp)
+    out["num"] += [None] * len(emp)
+    out["value"] += emp["emp"].to_pylist()
+    out["tn"] += emp["label_count"].to_pylist()
+    out["t1"] += emp["label_sum"].to_pylist()
+    m = len(out["col"])
+    same = {"category": [key[0].as_py()] * m, "node": [key[1].as_py()] * m,
+            "n": right["n"].to_pylist() * m, "n1": right["n1"].to_pylist() * m}
+    types = {"category": pa.string(), "node": pa.string(), "col": pa.int32(), "num": pa.float64(), "value": pa.string()}
+    return pa.table({c: pa.array(v, types.get(c, pa.int64())) for c, v in (same | out).items()})
 
 
 def _splits(active: DataFrame, big: DataFrame, n: int, bins: int) -> DataFrame:
-    """(category, node, col, value, num) -- the best test of every big node that some test parts."""
-    mine = _of(active, big.select(*KEYS), n, 128)
-    number = mine.select(*KEYS, F.posexplode("vec").alias("slot", "x")).where("x IS NOT NULL")
-    cuts = (number.groupBy(*KEYS, "slot")
-            .agg(F.array_distinct(F.percentile_approx("x", [i / bins for i in range(bins + 1)], 10000)).alias("cuts"))
-            .groupBy(*KEYS).agg(F.map_from_entries(F.collect_list(F.struct("slot", "cuts"))).alias("cuts")))
-    cuts = materialize(cuts, "tree_cuts")
-    row_bytes = 128 + len(config.VECTOR_SLOTS) * (bins + 1) * 16
-    long = (_of(active, cuts, n, row_bytes)
-            .select(*KEYS, "label", "cuts", F.posexplode("vec").alias("slot", "x"))
-            .where(F.col("slot") != EMP)
-            .select(*KEYS, "label", "slot",
-                    F.array_max(F.filter(F.try_element_at("cuts", F.col("slot")), lambda c: c <= F.col("x")))
-                    .alias("num")))
-    counts = [F.count(F.lit(1)).alias("n"), F.sum("label").cast("bigint").alias("n1")]
-    from_top = (Window.partitionBy(*KEYS, "slot").orderBy(F.col("num").desc_nulls_last())
-                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    numeric = (long.groupBy(*KEYS, "slot", "num").agg(*counts)
-               .select(*KEYS, F.col("slot").alias("col"), "num", F.col("num").cast("string").alias("value"),
-                       F.sum("n").over(from_top).alias("tn"), F.sum("n1").over(from_top).alias("t1"))
-               .where("num IS NOT NULL"))
-    equal = (mine.groupBy(*KEYS, "emp").agg(*counts)
-             .select(*KEYS, F.lit(EMP).alias("col"), F.lit(None).cast("double").alias("num"),
-                     F.col("emp").alias("value"), F.col("n").alias("tn"), F.col("n1").alias("t1")))
-    tests = _of(numeric.unionByName(equal), big, n, 128).where("tn < n")
+    """(category, node, n, n1, col, value, num, tn, t1) -- the best test of every big node, with null ``col`` where none
+    parts its rows; ``tn`` rows pass it, and ``t1`` is the sum of their labels."""
+    at = [i / bins for i in range(bins + 1)]
+    cuts = active.groupBy(*KEYS).agg(*[
+        F.array_distinct(F.percentile_approx(F.get("vec", F.lit(i)), at, 10000)).alias(f"c{i}")
+        for i in range(len(config.VECTOR_SLOTS)) if i != EMP])
+    parts = F.ceil(F.col("n") / F.lit(PART_ROWS)).cast("bigint")
+    tests = materialize(_of(cuts, big, n, 128), "tree_cuts").withColumn(
+        "part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+    mine = active.select(*KEYS, F.pmod("row", parts).alias("part"), "label", "vec", "emp")
+    sides = (mine.groupBy(*KEYS, "part").cogroup(tests.groupBy(*KEYS, "part")).applyInArrow(_counter, SIDES)
+             .groupBy(*KEYS, "n", "n1", "col", "num", "value").agg(F.sum("tn").alias("tn"), F.sum("t1").alias("t1"))
+             .where("tn < n AND tn > 0"))
     fn, f1 = F.col("n") - F.col("tn"), F.col("n1") - F.col("t1")
     cost = ((F.col("tn") - F.col("t1")) * F.col("t1") / F.col("tn").cast("double")
             + (fn - f1) * f1 / fn.cast("double"))
-    best = tests.groupBy(*KEYS).agg(F.min(F.struct(cost.alias("cost"), "col", "num", "value")).alias("b"))
-    return best.select(*KEYS, "b.col", "b.value", "b.num")
+    value = F.coalesce("value", F.col("num").cast("string")).alias("value")
+    best = sides.groupBy(*KEYS).agg(F.min(F.struct(cost.alias("cost"), "col", "num", value, "tn", "t1")).alias("b"))
+    right, on = _keyed(best)
+    if n * 256 <= BROADCAST_BYTES:
+        right = F.broadcast(right)
+    return big.join(right, on, "left").select(*KEYS, "n", "n1", "b.col", "b.value", "b.num", "b.tn", "b.t1")
+
+
+def _children(splits: DataFrame) -> DataFrame:
+    """(category, node, n, n1) of both children of the split nodes."""
+    def side(name, n, n1):
+        return F.struct(F.concat("node", F.lit(name)).alias("node"), n.alias("n"), n1.alias("n1"))
+    both = F.array(side("t", F.col("tn"), F.col("t1")),
+                   side("f", F.col("n") - F.col("tn"), F.col("n1") - F.col("t1")))
+    return splits.select("category", F.inline(both))
 
 
-def _descend(active: DataFrame, splits: DataFrame, n: int) -> DataFrame:
-    """Rows of the split nodes, each moved to the child that its test takes it to."""
-    rows = _of(active, splits, n, 256)
+def _descend(active: DataFrame, splits: DataFrame, n: int, state: Column) -> DataFrame:
+    """Rows of the split nodes, each moved to the child that its test takes it to, with the child's state; none of leaves."""
+    rows = _of(active.drop("n"), splits.where("col IS NOT NULL"), n, 256)
     go = (F.when(F.col("col") == EMP, F.col("emp") == F.col("value"))
           .otherwise(F.coalesce(F.get("vec", F.col("col")) >= F.col("num"), F.lit(False))))
-    return rows.select("category", F.concat("node", F.when(go, "t").otherwise("f")).alias("node"), "label", "vec", "emp")
+    rows = rows.withColumn("go", go).select(
+        "category", F.concat("node", F.when(F.col("go"), "t").otherwise("f")).alias("node"), "label", "vec", "emp",
+        F.when(F.col("go"), F.col("tn")).otherwise(F.col("n") - F.col("tn")).alias("n"),
+        F.when(F.col("go"), F.col("t1")).otherwise(F.col("n1") - F.col("t1")).alias("n1"), "row")
+    rows = rows.withColumn("state", state).where("state <> 'leaf'")
+    return rows.select(*active.columns, "state")
 
 
 def _best(vec: np.ndarray, emp: np.ndarray, y: np.ndarray):

@@ -121,6 +121,33 @@ def test_grown_trees_split_on_the_employees_label(spark):
     assert _grown(spark, rows) == _grown(spark, rows, task_rows=5) == {"c": want}
 
 
+def test_big_nodes_are_counted_in_parts_by_all_tasks(spark, monkeypatch):
+    """Rows that come in one piece are spread before the levels, and a node's parts count as the whole node does."""
+    from growthlens.operators import tree_growth as TG
+    written = {}
+
+    def materialize(df, name, real=TG.materialize):
+        written[name] = real(df, name)
+        return written[name]
+
+    monkeypatch.setattr(TG, "materialize", materialize)
+    rnd = random.Random(8)
+    rows = [(rnd.choice([None, "a"]), int(rnd.random() < 0.4), _vec(x0=rnd.choice([None, rnd.randint(0, 30)]),
+             x11=rnd.random()), rnd.choice(["", "25", None])) for _ in range(1200)]
+    df = spark.createDataFrame(rows, "category string, label int, vec array<double>, emp string").coalesce(1)
+
+    def grown():
+        return sorted(map(str, TG.grow(df, task_rows=150, bins=8).collect()))
+
+    whole = grown()
+    assert len(written["tree_big"].inputFiles()) >= spark.sparkContext.defaultParallelism > 1
+    monkeypatch.setattr(TG, "PART_ROWS", 40)
+    assert grown() == whole
+    leaves = [r for r in written["tree_nodes"].collect() if r.col < 0]
+    for cat in (None, "a"):
+        assert sum(r.n0 + r.n1 for r in leaves if r.category == cat) == sum(r[0] == cat for r in rows)
+
+
 def test_grown_trees_of_nothing_and_of_cuts(spark):
     assert _grown(spark, []) == {}
     rows = [("c", i % 2, _vec(x0=i), "") for i in range(40)] + [("c", None, _vec(x0=3), "")]
