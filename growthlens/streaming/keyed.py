@@ -1,12 +1,14 @@
 """Keyed state of the streams (transformWithState over RocksDB).
 
 ``CompanyPages`` keeps one mergeable statistics row per (company, page): a batch reads its own pages and the state of the
-companies that they belong to, never earlier files.  ``BucketTop`` keeps the latest score of every company of one
-(category, bucket) and its best k, and takes scores back: only when a member falls behind what non-members may have is the
-bucket read again.  A hot category is split over ``BUCKETS`` keys, whose best k are merged when read.
-
-State is read and written entry by entry, so a task holds one company's running sums or one bucket's k best in memory,
-however many pages or companies the key has.
+companies that they belong to, never earlier files.  Its keys are ``COMPANY_BUCKETS`` groups of companies, since a key
+costs far more than an entry.  ``BucketTop`` keeps the latest score of every company of one (category, bucket) and its
+best k, and takes scores back: only when a member falls behind what non-members may have is the bucket read again.  A hot
+category is split over ``BUCKETS`` keys, whose best k are merged when read.
+
+State is read and written entry by entry (a company's pages some dozens an entry), ``CHUNK`` input rows at a time; what no earlier batch can have written is not
+looked up.  So a task holds, beside one chunk, the running sums of the companies of one bucket that a batch touches, or
+one bucket's k best, however many pages or companies the key has.
 """
 
 from __future__ import annotations
@@ -14,7 +16,9 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from decimal import Decimal
+from itertools import chain, islice
 
+import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -24,6 +28,10 @@ from ..operators.ranking import top_k
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 BUCKETS = 16
+COMPANY_BUCKETS = 4096
+CHUNK = 8192
+PAGES_AN_ENTRY = 32
+KNOWN = 100_000
 COUNTS = ("n_acquired_by", "n_offices", "n_products", "n_competitors", "n_acquisitions", "n_inv_org", "n_inv_person",
           "n_rounds", "n_rounds_dated", "nz_n")
 SUMS = ("inv_sum", "nz_sum")
@@ -56,32 +64,110 @@ def _merged(pages: Iterator[tuple[int, str, str | None, str | None]]) -> dict:
     return out | {"hdr": hdr, "last_office": office, "acq_max": acquired} | {c: str(out[c]) for c in SUMS}
 
 
+def _rank(row: tuple) -> tuple:
+    """Order of one page's rows (version, at, body, hdr, office): the highest version stays, then the latest batch's, then
+    the greatest text."""
+    return row[0], row[1], row[2], row[3] or "", row[4] or ""
+
+
 class CompanyPages(StatefulProcessor):
-    """Rows (p, page, version, at, body, hdr, office) -> the merged statistics of each company that they touch; ``at`` is
-    the batch's time, which Spark logs with the batch, so that a replayed batch has the same.
+    """Rows (bucket, p, page, version, at, body, hdr, office) -> the merged statistics of each company that they touch;
+    ``at`` is the batch's time, which Spark logs with the batch, so that a replayed batch has the same.
 
-    Of one page's rows the highest version stays, then the latest batch's, then the greatest text; pages of a company
-    without its header (page 0) wait for it."""
+    Of one page's rows that of the highest ``_rank`` stays; pages of a company without its header (page 0) wait for it.  An
+    entry holds the pages of one block of ``PAGES_AN_ENTRY`` page numbers.  A company's entry holds its first block;
+    further blocks are entries of their own, each with the block before it."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.pages = handle.getMapState("pages", "page long", "version long, at long, body string, hdr string, office string")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        rank = lambda v: (v[0], v[1], v[2], v[3] or "", v[4] or "")
-        for r in rows:
-            new = (r.version, r.at, r.body, r.hdr, r.office)
-            old = self.pages.getValue((r.page,)) if self.pages.containsKey((r.page,)) else None
-            if old is None or rank(new) > rank(old):
-                self.pages.updateValue((r.page,), new)
-        merged = _merged((k[0], v[2], v[3], v[4]) for k, v in self.pages.iterator())
-        if merged["hdr"] is not None:
-            yield Row(p=key[0], hdr=merged["hdr"], last_office=merged["last_office"], acq_max=merged["acq_max"],
-                      **{c: merged[c] for c in (*COUNTS, *SUMS)})
+        self.companies = handle.getMapState("companies", "p string", "block long, pages string, last long")
+        self.blocks = handle.getMapState("blocks", "p string, block long", "pages string, before long")
+
+    @staticmethod
+    def _blocks(pages: dict[int, tuple]) -> dict[int, dict[str, tuple]]:
+        out: dict[int, dict[str, tuple]] = {}
+        for page, row in pages.items():
+            out.setdefault(page // PAGES_AN_ENTRY, {})[str(page)] = row
+        return out
+
+    @staticmethod
+    def _with(held: str, pages: dict[str, tuple]) -> str:
+        out = json.loads(held)
+        for page, row in pages.items():
+            out[page] = max(out.get(page, row), row, key=_rank)
+        return json.dumps(out)
+
+    def _start(self, p: str, pages: dict[int, tuple]) -> None:
+        (block, some), *others = self._blocks(pages).items()
+        last = None
+        for k, other in others:
+            self.blocks.updateValue((p, k), (json.dumps(other), last))
+            last = k
+        self.companies.updateValue((p,), (block, json.dumps(some), last))
+
+    def _add(self, p: str, entry: tuple, pages: dict[int, tuple]) -> None:
+        first, held, last = entry
+        for k, some in self._blocks(pages).items():
+            if k == first:
+                held = self._with(held, some)
+                continue
+            old = self.blocks.getValue((p, k))
+            if old is None:
+                self.blocks.updateValue((p, k), (json.dumps(some), last))
+                last = k
+            else:
+                self.blocks.updateValue((p, k), (self._with(old[0], some), old[1]))
+        if (held, last) != tuple(entry[1:]):
+            self.companies.updateValue((p,), (first, held, last))
+
+    def _stored(self, p: str) -> Iterator[tuple[int, str, str | None, str | None]]:
+        _block, held, last = self.companies.getValue((p,))
+        while True:
+            for page, (_version, _at, body, hdr, office) in json.loads(held).items():
+                yield int(page), body, hdr, office
+            if last is None:
+                return
+            held, last = self.blocks.getValue((p, last))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = not self.companies.exists()
+        texts = lambda *values: [v if isinstance(v, str) else None for v in values]
+        sent_rows = chain.from_iterable(pdf.itertuples(index=False) for pdf in rows)
+        touched: dict[str, dict | None] = {}  # merged statistics, or None: to be read when all rows are stored
+        while True:
+            sent: dict[str, dict[int, tuple]] = {}
+            for r in islice(sent_rows, CHUNK):
+                pages, row = sent.setdefault(r.p, {}), (r.version, r.at, *texts(r.body, r.hdr, r.office))
+                pages[r.page] = max(pages.get(r.page, row), row, key=_rank)
+            if not sent:
+                break
+            for p, pages in sent.items():
+                entry = None if new and p not in touched else self.companies.getValue((p,))
+                if entry is None:
+                    self._start(p, pages)
+                    touched[p] = _merged((k, v[2], v[3], v[4]) for k, v in pages.items())
+                else:
+                    self._add(p, entry, pages)
+                    touched[p] = None
+        names = ["hdr", "last_office", "acq_max", *COUNTS, *SUMS]
+        out = []
+        for p, merged in touched.items():
+            merged = merged or _merged(self._stored(p))
+            if merged["hdr"] is not None:
+                out.append((p, *(merged[c] for c in names)))
+        if out:
+            yield pd.DataFrame(out, columns=["p", *names])
 
     def close(self) -> None:
         pass
 
 
+def merged_companies(rows: DataFrame) -> DataFrame:
+    """The stream of merged statistics of the companies that a stream of page rows touches."""
+    bucket = F.pmod(F.xxhash64("p"), F.lit(COMPANY_BUCKETS)).cast("int")
+    return rows.withColumn("bucket", bucket).groupBy("bucket").transformWithStateInPandas(
+        CompanyPages(), COMBINED, "Update", "None")
+
+
 def _order(p: str, s: float | None) -> tuple:
     """Rank order: the greatest score first, nulls last, then the permalink."""
     return (s is None, -(s or 0.0), p)
@@ -111,17 +197,29 @@ class BucketTop(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
         top = [tuple(e) for e in json.loads(self.top.get()[0])] if self.top.exists() else []
         stale = False
-        for r in rows:
-            old = self.scores.getValue((r.p,)) if self.scores.containsKey((r.p,)) else None
-            if old is not None and old[0] >= r.seq:
-                continue
-            self.scores.updateValue((r.p,), (r.seq, r.s))
-            full, bound = len(top) >= self.k, _order(*top[-1]) if top else None
-            member = any(p == r.p for p, _ in top)
-            top = [e for e in top if e[0] != r.p]
-            if member and full and _order(r.p, r.s) > bound:  # others of the bucket may be better now
-                stale = True
-            top = sorted([*top, (r.p, r.s)], key=lambda e: _order(*e))[:self.k]
+        known: set[str] | None = None if self.top.exists() else set()  # all companies of the bucket, while they are few
+        while True:
+            latest: dict[str, tuple[int, float | None]] = {}
+            for r in islice(rows, CHUNK):
+                if r.p not in latest or r.seq > latest[r.p][0]:
+                    latest[r.p] = r.seq, r.s
+            if not latest:
+                break
+            for p, (seq, s) in latest.items():
+                old = None if known is not None and p not in known else self.scores.getValue((p,))
+                if old is not None and old[0] >= seq:
+                    continue
+                self.scores.updateValue((p,), (seq, s))
+                if known is not None:
+                    known.add(p)
+                full, bound = len(top) >= self.k, _order(*top[-1]) if top else None
+                member = any(e[0] == p for e in top)
+                top = [e for e in top if e[0] != p]
+                if member and full and _order(p, s) > bound:  # others of the bucket may be better now
+                    stale = True
+                top = sorted([*top, (p, s)], key=lambda e: _order(*e))[:self.k]
+            if known is not None and len(known) > KNOWN:
+                known = None
         if stale:
             top = self._reread()
         self.top.update((json.dumps(top),))

@@ -50,7 +50,7 @@ def run_profile_stream(spark: SparkSession, landing: str, index: DataFrame, pack
     keyed.use_keyed_state(spark)
     stats = DOC.page_stats(DOC.split_documents(_landed(spark, landing, max_files))[0])
     rows = DOC.page_rows(stats).withColumn("at", F.unix_millis(F.current_timestamp()))
-    merged = rows.groupBy("p").transformWithState(keyed.CompanyPages(), keyed.COMBINED, "Update", "None")
+    merged = keyed.merged_companies(rows)
 
     def score_batch(bdf: DataFrame, batch_id: int):
         feats = DOC.with_index(DOC.merged_rows(bdf, stats, as_of), index)

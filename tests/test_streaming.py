@@ -179,6 +179,71 @@ def test_bucket_top_rereads_only_when_needed():
     assert send(("a", 9.0, 2)) == [("c", 4.5), ("b", 4.0)] and top.scores.reads == 1  # late
 
 
+def test_company_pages_of_one_bucket(monkeypatch):
+    """Many companies a key: new ones are written without a look-up, pages sent again or over several chunks replace and
+    add, and each company comes out once."""
+    import json
+
+    class Entries(dict):
+        reads = 0
+        exists = dict.__len__
+        updateValue = dict.__setitem__  # noqa: N815
+
+        def getValue(self, key):  # noqa: N802
+            self.reads += 1
+            return self.get(key)
+
+    monkeypatch.setattr(keyed, "PAGES_AN_ENTRY", 2)
+    pages = keyed.CompanyPages()
+    pages.companies, pages.blocks = Entries(), Entries()
+
+    def send(*rows):
+        sent = [dict(p=p, page=page, version=v, at=0, body=json.dumps({"n_offices": n}), hdr="{}" if page == 0 else None,
+                     office=f"o{page}") for p, page, v, n in rows]
+        parts = iter([pd.DataFrame(sent[:3]), pd.DataFrame(sent[3:], columns=list(sent[0]))])
+        got = [(r.p, r.n_offices, r.last_office) for out in pages.handleInputRows((7,), parts, None)
+               for r in out.itertuples()]
+        assert len({p for p, *_ in got}) == len(got)
+        return got
+
+    assert send(("a", 0, 1, 3), ("b", 1, 1, 1), ("a", 2, 1, 2), ("a", 2, 0, 9)) == [("a", 5, "o2")]
+    assert pages.companies.reads + pages.blocks.reads == 0
+    assert send(("b", 0, 1, 4), ("c", 0, 1, 6)) == [("b", 5, "o1"), ("c", 6, "o0")]
+    assert send(("a", 0, 2, 1), ("a", 2, 0, 8)) == [("a", 3, "o2")]
+    monkeypatch.setattr(keyed, "CHUNK", 2)
+    assert send(("d", 0, 1, 1), *[("d", k, 1, k) for k in range(1, 6)], ("a", 5, 1, 7)) == [("d", 16, "o5"), ("a", 10, "o5")]
+
+
+def test_bucket_top_looks_up_only_what_it_may_hold(monkeypatch):
+    class Entries(dict):
+        reads = 0
+        updateValue = dict.__setitem__  # noqa: N815
+
+        def getValue(self, key):  # noqa: N802
+            self.reads += 1
+            return self.get(key)
+
+    class Value:
+        held = None
+        exists = lambda self: self.held is not None
+        get = lambda self: self.held
+
+        def update(self, value):
+            self.held = value
+
+    for known, reads in ((keyed.KNOWN, 1), (0, 4)):
+        monkeypatch.setattr(keyed, "KNOWN", known)
+        monkeypatch.setattr(keyed, "CHUNK", 3)
+        top = keyed.BucketTop(2)
+        top.scores, top.top = Entries(), Value()
+        sent = [("a", 5.0, -1), ("b", 4.0, -1), ("a", 1.0, 0), ("c", 3.0, -1), ("d", 2.0, 0), ("d", 9.0, -1), ("b", 0.5, 0),
+                ("e", None, 0)]
+        rows = iter([Row(p=p, s=s, seq=q) for p, s, q in sent])
+        top._reread = lambda: sorted(((p, s) for (p,), (_, s) in top.scores.items()), key=lambda e: keyed._order(*e))[:2]
+        assert [(r.p, r.s) for r in top.handleInputRows(("c", 0), rows, None)] == [("c", 3.0), ("d", 2.0)]
+        assert top.scores.reads == reads
+
+
 def test_replayed_events_are_dropped_and_their_ids_forgotten(spark, tmp_path):
     events = read_table(spark, SF_SMALL, "events")
     want = sorted(tuple(r) for r in ST.batch_exact_topk(events, 10).select("category", "rank", "p", "s").collect())
