@@ -25,7 +25,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import islice
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -90,9 +90,8 @@ class Memo:
         for name in reversed(names):
             self.used = int(self.begin[self.slots.pop(name)])
 
-    def ids(self, slots: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    def ids(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(the ids of all slots, the number of ids of each)."""
-        index = np.fromiter(slots, np.int64, len(slots))
         size = self.size[index]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
@@ -154,7 +153,7 @@ class PieceEncoder:
         """Take parts into the young memo, from the old one or else by the library."""
         old = self._old.slots
         known = [p for p in names if p in old]
-        self._young.add(known, *self._old.ids([old[p] for p in known]))
+        self._young.add(known, *self._old.ids(np.array([old[p] for p in known], np.int64)))
         safe, other = [], []
         for p in names:
             if p not in old:
@@ -165,15 +164,15 @@ class PieceEncoder:
     def _ids_of(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(the ids of all parts, the number of ids of each)."""
         slots, long = self._young.slots, []
-        found = [*map(slots.get, parts)]
-        if None in found:
-            missing = [k for k, slot in enumerate(found) if slot is None]
-            new = list(dict.fromkeys([parts[k] for k in missing]))
+        found = np.fromiter(map(slots.get, parts, repeat(-1)), np.int64, len(parts))
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            names = [parts[k] for k in missing.tolist()]
+            new = list(dict.fromkeys(names))
             long = [p for p in new if len(p) > LONG_PART]
             self._learn([p for p in new if len(p) <= LONG_PART])
             self._young.add(long, *self._one_by_one(long))
-            for k in missing:
-                found[k] = slots[parts[k]]
+            found[missing] = np.fromiter(map(slots.__getitem__, names), np.int64, len(names))
         out = self._young.ids(found)
         self._young.drop(long)
         if len(slots) > self.memo // 2:
