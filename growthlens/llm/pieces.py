@@ -39,6 +39,8 @@ SLICE_BYTES = 1 << 20
 LONG_TEXT = 1 << 20
 PARTS_AT_ONCE = 1 << 17
 _WS = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\x1c-\\x1f]"
+#: Parts that begin with a space before a sign that is none.
+_LED = re.compile(" \\S+").fullmatch
 _UNSURE_SPACE = re.compile(f"(?:^|{_WS}) (?:{_WS}|$)")
 _LATIN = "À-ÖØ-öø-įı-ſ"
 _SAFE = re.compile(f"[\\x00-\\x7f{_LATIN}]*")
@@ -112,6 +114,8 @@ class PieceEncoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self._last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
         self._last[[k for name, k in vocabulary.items() if name.endswith("</w>")]] = True
+        self._first = np.zeros(len(self._last), bool)  # ids that begin with a space
+        self._first[[k for name, k in vocabulary.items() if name.startswith("Ġ")]] = True
 
     def _one_by_one(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(the ids of all texts, the number of ids of each) by the library."""
@@ -124,13 +128,17 @@ class PieceEncoder:
         return np.frombuffer(out, np.uint32) if out else np.zeros(0, np.uint32), np.array(size, np.int64)
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """As ``_one_by_one``; parts of ``words`` are encoded some in a line, where each ends with an id for word ends."""
-        if self.kind == "words" and len(texts) > 1 and all(map(_plain, texts)):
-            lines = [" ".join(texts[a:a + WORDS_A_LINE]) for a in range(0, len(texts), WORDS_A_LINE)]
-            ids, _ = self._one_by_one(lines)
-            ends = np.flatnonzero(self._last[ids]) + 1
-            if len(ends) == len(texts) and ends[-1] == len(ids):
-                return ids, np.diff(ends, prepend=0)
+        """As ``_one_by_one``; plain parts are encoded some in a line: of ``words`` each ends with an id for word ends, of
+        ``spaces`` each must begin with the only space in it, and so its ids with one for a space."""
+        if len(texts) > 1 and (self.kind == "words" or all(map(_LED, texts))):
+            lines = [("" if self.kind == "spaces" else " ").join(texts[a:a + WORDS_A_LINE])
+                     for a in range(0, len(texts), WORDS_A_LINE)]
+            if all(map(_plain, lines)):
+                ids, _ = self._one_by_one(lines)
+                cuts = (np.flatnonzero(self._last[ids]) + 1 if self.kind == "words"
+                        else np.append(np.flatnonzero(self._first[ids]), len(ids))[1:])
+                if len(cuts) == len(texts) and cuts[-1] == len(ids) and (self.kind == "words" or self._first[ids[0]]):
+                    return ids, np.diff(cuts, prepend=0)
         return self._one_by_one(texts)
 
     def _parts(self, text: str) -> list[str]:
@@ -154,11 +162,17 @@ class PieceEncoder:
         old = self._old.slots
         known = [p for p in names if p in old]
         self._young.add(known, *self._old.ids(np.array([old[p] for p in known], np.int64)))
-        safe, other = [], []
-        for p in names:
-            if p not in old:
-                (safe if _plain(p) else other).append(p)
-        for some in (safe, other):
+        new = [p for p in names if p not in old]
+        if _plain("".join(new)):
+            led, safe, other = new, [], []
+        else:
+            led, safe, other = [], [], []
+            for p in new:
+                (led if _plain(p) else other).append(p)
+        if self.kind == "spaces":
+            safe = [p for p in led if not _LED(p)]
+            led = [p for p in led if _LED(p)]
+        for some in (led, safe, other):
             self._young.add(some, *self._library(some))
 
     def _ids_of(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:

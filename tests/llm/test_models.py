@@ -159,6 +159,19 @@ def test_pieces_equal_the_library(path, kind):
         assert [ids[at[k]:at[k + 1]].tolist() for k in range(len(texts))] == want
 
 
+def test_unseen_parts_go_to_the_library_in_lines():
+    """Plain parts led by a space share a line; the library gets far fewer texts than there are parts, with the same ids."""
+    encoder, rnd = pieces.PieceEncoder(BYTES, "spaces"), random.Random(4)
+    texts = [" ".join("".join(rnd.choices("abcdefgh", k=9)) for _ in range(60)) + ", (3) don't  \n\ttab\x1cend" for _ in range(9)]
+    texts += [" caf\u00e9 \u4e2d\u6587 <|endoftext|> x", " ", "", "a", " \x1c b", "\u3000 \u3000z y"]
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    asked = []
+    encoder._one_by_one = lambda some, real=encoder._one_by_one: asked.append(len(some)) or real(some)
+    ids, at = encoder.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == want
+    assert sum(asked) < 0.2 * len(encoder._young.slots)
+
+
 @pytest.mark.parametrize("path,kind", [(WORDS, "words"), (BYTES, "spaces")])
 def test_slices_equal_the_library(path, kind, monkeypatch):
     import pyarrow.parquet as pq
