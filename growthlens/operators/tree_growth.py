@@ -13,6 +13,10 @@ on the employees slot ``emp == value``.
   a node's rows together, so a hot category is no hot task.  A split's counts
   are the sizes of its children, so a level reads its rows three times (cut
   points, counts, move to the children), spread over all tasks.
+* A node of at most ``WHOLE_PARTS`` such parts comes together in one task,
+  which splits it by the same rule (cut points are exact quantiles there) down
+  to nodes of at most ``task_rows`` rows; all such nodes take one job, however
+  deep they go.
 * A smaller node is finished where it is: its rows, at most ``task_rows``,
   come together in one task, which splits at exact values with numpy.  The
   small nodes of all levels are finished in one job.
@@ -41,12 +45,15 @@ from ..session import materialize, scratch_path
 TASK_ROWS = 8192
 BINS = 64
 PART_ROWS = 65536
+WHOLE_PARTS = 8
 MAX_DEPTH = 200
 # tables of one row a node are broadcast only if they are proven below this
 BROADCAST_BYTES = 64 * 1024 * 1024
 KEYS = ["category", "node"]
 SIDES = "category string, node string, n bigint, n1 bigint, col int, num double, value string, tn bigint, t1 bigint"
 NODES = "category string, node string, col int, value string, n0 bigint, n1 bigint"
+PARTED = ("category string, node string, kind string, label int, vec array<double>, emp string, "
+          "col int, num double, value string, n0 bigint, n1 bigint")
 EMP = config.EMPLOYEES_SLOT
 
 
@@ -67,10 +74,14 @@ def grow(rows: DataFrame, max_depth: int = MAX_DEPTH, min_rows: int = 2,
     small = []
     if "small" in n:
         small.append(_of(clean, nodes.where("state = 'small'").select(*KEYS), n["small"], 128))
-    if "big" in n:
-        parts = max(spark.sparkContext.defaultParallelism, -(-size["big"] // PART_ROWS))
-        active = _of(clean, nodes.where("state = 'big'").select(*KEYS, "n"), n["big"], 128).repartition(parts)
+    if "big" in n or "mid" in n:
+        rows = size.get("big", 0) + size.get("mid", 0)
+        parts = max(spark.sparkContext.defaultParallelism, -(-rows // PART_ROWS))
+        active = _of(clean, nodes.where("state IN ('big', 'mid')").select(*KEYS, "n", "state"),
+                     n.get("big", 0) + n.get("mid", 0), 128).repartition(parts)
         active = materialize(active.withColumn("row", F.monotonically_increasing_id()), "tree_big")
+        mid, mids = [active.where("state = 'mid'").select(*clean.columns)], n.get("mid", 0)
+        active = active.where("state = 'big'").drop("state")
         tested, levels = [], []
         big = nodes.where("state = 'big'")
         while "big" in n:
@@ -80,18 +91,30 @@ def grow(rows: DataFrame, max_depth: int = MAX_DEPTH, min_rows: int = 2,
             nodes = _children(splits.where("col IS NOT NULL")).withColumn("state", state)
             split = n["big"]
             n, _ = _how_many(nodes)
-            if "small" in n or "big" in n:
+            if n.keys() & {"small", "mid", "big"}:
                 levels.append(_written(_descend(active, splits, split, state), "tree_rows", "state"))
                 here = spark.read.schema(active.schema.add("state", "string")).parquet(levels[-1])
                 if "big" in n:
                     active, big = here.where("state = 'big'").drop("state"), nodes.where("state = 'big'")
+                if "mid" in n:
+                    mid.append(here.where("state = 'mid'").select(*clean.columns))
+                    mids += n["mid"]
                 if "small" in n:
                     small.append(here.where("state = 'small'").select(*clean.columns))
-        tests = spark.read.parquet(*tested)
-        done = (done.unionByName(_leaves(tests.where("col IS NULL")))
-                .unionByName(tests.where("col IS NOT NULL").select(
-                    *KEYS, "col", "value", F.lit(None).cast("bigint").alias("n0"), F.lit(None).cast("bigint").alias("n1")))
-                .unionByName(_leaves(_children(tests.where("col IS NOT NULL")).where(state == "leaf"))))
+        if tested:
+            tests = spark.read.parquet(*tested)
+            done = (done.unionByName(_leaves(tests.where("col IS NULL")))
+                    .unionByName(tests.where("col IS NOT NULL").select(
+                        *KEYS, "col", "value", F.lit(None).cast("bigint").alias("n0"),
+                        F.lit(None).cast("bigint").alias("n1")))
+                    .unionByName(_leaves(_children(tests.where("col IS NOT NULL")).where(state == "leaf"))))
+        if mids:
+            parted = (reduce(DataFrame.unionByName, mid).repartition(max(parts, 8 * mids), *KEYS).groupBy(*KEYS)
+                      .applyInArrow(_parter(max_depth, min_rows, task_rows, bins), PARTED))
+            parted = materialize(parted, "tree_parted")
+            done = done.unionByName(parted.where("kind = 'node'").select(
+                *KEYS, "col", F.coalesce("value", F.col("num").cast("string")).alias("value"), "n0", "n1"))
+            small.append(parted.where("kind = 'row'").select(*clean.columns))
     if small:
         some = reduce(DataFrame.unionByName, small)
         done = done.unionByName(some.groupBy(*KEYS).applyInPandas(_finisher(max_depth, min_rows), NODES))
@@ -102,7 +125,8 @@ def _state(max_depth: int, min_rows: int, task_rows: int) -> Column:
     """What becomes of a node (node, n, n1)."""
     whole = ((F.col("n1") == 0) | (F.col("n1") == F.col("n")) | (F.length("node") > max_depth)
              | (F.col("n") < min_rows))
-    return F.when(whole, "leaf").when(F.col("n") > task_rows, "big").otherwise("small")
+    return (F.when(whole, "leaf").when(F.col("n") <= task_rows, "small")
+            .when(F.col("n") <= WHOLE_PARTS * PART_ROWS, "mid").otherwise("big"))
 
 
 def _how_many(nodes: DataFrame) -> tuple[dict[str, int], dict[str, int]]:
@@ -251,6 +275,86 @@ def _best(vec: np.ndarray, emp: np.ndarray, y: np.ndarray):
     return slot, value, emp == value if slot == EMP else np.nan_to_num(vec[:, slot], nan=-np.inf) >= value
 
 
+def _best_cut(vec: np.ndarray, emp: np.ndarray, y: np.ndarray, bins: int):
+    """As ``_best``, with numbers cut at their quantiles only."""
+    n, n1 = len(y), int(y.sum())
+    found, least = None, np.inf
+    for slot in range(vec.shape[1]):
+        if slot == EMP:
+            cuts = np.unique(emp)
+            tn, t1 = np.bincount(emp)[cuts], np.bincount(emp, weights=y)[cuts].astype(np.int64)
+        else:
+            x = vec[:, slot]
+            have = np.flatnonzero(~np.isnan(x))
+            if not len(have):
+                continue
+            order = have[np.argsort(x[have], kind="stable")]
+            x = x[order]
+            at = np.maximum(np.ceil(np.arange(bins + 1) / bins * len(x)).astype(np.int64), 1) - 1
+            cuts = np.unique(x[at])
+            below = np.searchsorted(x, cuts, side="left")
+            ones = np.concatenate([[0], np.cumsum(y[order])])
+            tn, t1 = len(x) - below, ones[-1] - ones[below]
+        some = (tn > 0) & (tn < n)
+        cuts, tn, t1 = cuts[some], tn[some], t1[some]
+        if not len(cuts):
+            continue
+        fn, f1 = n - tn, n1 - t1
+        c = (tn - t1) * t1 / tn + (fn - f1) * f1 / fn
+        at = int(c.argmin())
+        if c[at] < least:
+            least, found = c[at], (slot, cuts[at])
+    if found is None:
+        return None
+    slot, value = found
+    return slot, value, emp == value if slot == EMP else np.nan_to_num(vec[:, slot], nan=-np.inf) >= value
+
+
+def _parter(max_depth: int, min_rows: int, task_rows: int, bins: int):
+    def part(key: tuple, rows: pa.Table) -> pa.Table:
+        """Rows of a node -> its tests and leaves down to small nodes, and the rows of those."""
+        y = rows["label"].to_numpy().astype(np.int64)
+        vec = rows["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1)
+        coded = rows["emp"].combine_chunks().dictionary_encode()
+        names, emp = np.unique(np.array(coded.dictionary.to_pylist(), dtype=object), return_inverse=True)
+        emp = emp[coded.indices.to_numpy()]
+        nodes: list[tuple] = []
+        kept: list[tuple[str, np.ndarray]] = []
+        stack = [(key[1].as_py(), np.arange(len(y)))]
+        while stack:
+            path, mine = stack.pop()
+            n, n1 = len(mine), int(y[mine].sum())
+            best = None
+            if 0 < n1 < n and len(path) <= max_depth and n >= min_rows:
+                if n <= task_rows:
+                    kept.append((path, mine))
+                    continue
+                best = _best_cut(vec[mine], emp[mine], y[mine], bins)
+            if best is None:
+                nodes.append((path, -1, None, None, n - n1, n1))
+                continue
+            slot, value, passed = best
+            nodes.append((path, slot, None if slot == EMP else float(value),
+                          str(names[value]) if slot == EMP else None, None, None))
+            stack += [(path + "t", mine[passed]), (path + "f", mine[~passed])]
+        m = len(nodes)
+        made = dict(zip(("node", "col", "num", "value", "n0", "n1"), zip(*nodes, strict=True), strict=True))
+        some = rows.take(np.concatenate([np.zeros(0, np.int64), *[mine for _, mine in kept]]))
+        paths = pa.array([path for path, _ in kept], pa.string())
+        at = np.repeat(np.arange(len(kept)), np.array([len(mine) for _, mine in kept], np.int64))
+        schema = pa.schema([("category", pa.string()), ("node", pa.string()), ("kind", pa.string()), ("label", pa.int32()),
+                            ("vec", pa.list_(pa.float64())), ("emp", pa.string()), ("col", pa.int32()),
+                            ("num", pa.float64()), ("value", pa.string()), ("n0", pa.int64()), ("n1", pa.int64())])
+        held = {"node": paths.take(pa.array(at)), "label": some["label"], "vec": some["vec"], "emp": some["emp"]}
+        tables = []
+        for kind, count, cols in (("node", m, made), ("row", len(at), held)):
+            cols |= {"category": [key[0].as_py()] * count, "kind": [kind] * count}
+            tables.append(pa.table([cols[f.name].cast(f.type) if isinstance(cols.get(f.name), pa.ChunkedArray)
+                                    else pa.array(cols.get(f.name, [None] * count), f.type) for f in schema], schema=schema))
+        return pa.concat_tables(tables).combine_chunks()
+    return part
+
+
 def _finisher(max_depth: int, min_rows: int):
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         category = pdf["category"].iloc[0]

@@ -148,6 +148,21 @@ def test_big_nodes_are_counted_in_parts_by_all_tasks(spark, monkeypatch):
         assert sum(r.n0 + r.n1 for r in leaves if r.category == cat) == sum(r[0] == cat for r in rows)
 
 
+def test_middling_nodes_take_no_level_of_their_own(spark, monkeypatch):
+    """Nodes of a few parts are split in one task, however deep, into the same tree as level by level."""
+    from growthlens.operators import tree_growth as TG
+    rows = [(cat, int(i % 3 == 0), _vec(x0=i * 1e6 if i % 7 else None, x11=i % 5), ["", "25", None][i % 3 * (i % 2)])
+            for i in range(90) for cat in ("a", None)]
+    rows += [("alike", i % 2, _vec(x0=3), "") for i in range(50)]
+    df = spark.createDataFrame(rows, "category string, label int, vec array<double>, emp string")
+    levels = []
+    monkeypatch.setattr(TG, "_splits", lambda *a, real=TG._splits: levels.append(1) or real(*a))
+    whole = sorted(map(str, TG.grow(df, max_depth=3, task_rows=40, bins=8).collect()))
+    assert not levels and any("E7" in row for row in whole) and sum("alike" in row for row in whole) == 1
+    monkeypatch.setattr(TG, "WHOLE_PARTS", 0)
+    assert sorted(map(str, TG.grow(df, max_depth=3, task_rows=40, bins=8).collect())) == whole and levels
+
+
 def test_grown_trees_of_nothing_and_of_cuts(spark):
     assert _grown(spark, []) == {}
     rows = [("c", i % 2, _vec(x0=i), "") for i in range(40)] + [("c", None, _vec(x0=3), "")]
