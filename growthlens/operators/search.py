@@ -7,6 +7,10 @@ partial aggregate, each key picks the least frequent of its trigrams, and
 the equi-join on that trigram yields candidates that are then verified with
 ``contains``.  A key of >= 3 chars always contains that trigram, so no match
 is lost; picking the rarest keeps hot trigrams ("inc") out of the join.
+
+The trigram frequencies bound the candidates before they exist, so companies
+are spread over as many tasks as their candidates need and each task groups
+its own companies' matches: what a task holds does not grow with the input.
 """
 
 from __future__ import annotations
@@ -22,6 +26,10 @@ from .ranking import positions
 # the plain filter compares every company with every query: only for queries of this many bytes together
 MAX_LOOP_BYTES = 64 * 1024
 LOOP_ROW_BYTES = 32
+# candidates that one task tells apart in memory, and bytes of keys (text and row) that every task may hold beside them
+CANDIDATES_PER_TASK = 256 * 1024
+MAX_BLOCK_BYTES = 16 * 1024 * 1024
+BLOCK_ROW_BYTES = 64
 
 
 def sent_query(q):
@@ -64,25 +72,48 @@ def trigrams(text):
         .otherwise(F.array().cast("array<string>"))
 
 
-def search_matches(index: DataFrame, queries: DataFrame, min_key: int = config.SEARCH_MIN_KEY_LEN) -> DataFrame:
-    """(query_id, p, kpos) -- kpos = first key that matched."""
-    names = index.select("p", F.lower("n").alias("ln"))
-    name_tri = names.select("p", "ln", F.explode(trigrams(F.col("ln"))).alias("tri"))
-    freq = name_tri.groupBy("tri").agg(F.count(F.lit(1)).alias("freq"))
+def key_blocks(queries: DataFrame, freq: DataFrame, min_key: int = config.SEARCH_MIN_KEY_LEN) -> DataFrame:
+    """query_id, kpos, key, tri, freq: each key with the rarest of its trigrams by ``freq`` (tri, freq), written once.
+
+    A key with a trigram that no company holds matches nothing and has no row."""
     keys = (search_keys(queries).where(F.length("key") >= min_key)
             .select("query_id", F.col("pos").alias("kpos"), "key",
                     F.explode(trigrams(F.col("key"))).alias("tri")))
-    # rarest trigram per key (unknown trigram -> frequency 0 -> no candidates)
-    block = (keys.join(freq, "tri", "left")
-             .groupBy("query_id", "kpos", "key")
-             .agg(F.min_by("tri", F.struct(F.coalesce(F.col("freq"), F.lit(0)), F.col("tri"))).alias("tri")))
-    # ``block`` has one row per (query, key).  It is a derived frame, so its
-    # size is checked at runtime: AQE broadcasts it when the materialised
-    # stage is under the threshold, else the join stays a shuffle join.
-    cand = name_tri.join(block, "tri").where(F.col("ln").contains(F.col("key")))
+    held = F.coalesce(F.col("freq"), F.lit(0))
+    return materialize(keys.join(freq.select("tri", "freq"), "tri", "left")
+                       .groupBy("query_id", "kpos", "key")
+                       .agg(F.min_by("tri", F.struct(held, F.col("tri"))).alias("tri"), F.min(held).alias("freq"))
+                       .where(F.col("freq") > 0), "search-block")
+
+
+def confirmed_matches(rows: DataFrame, tri, block: DataFrame, per_task: int = CANDIDATES_PER_TASK,
+                      max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
+    """(query_id, p, kpos) of the ``rows`` (p, ln) whose trigrams, the column ``tri``, meet ``block`` and whose name
+    holds the key.
+
+    The sum of the frequencies is the number of candidates, and sets the number of tasks. Up to ``max_block_bytes`` of
+    keys, rows are dealt out by company before they meet their keys, so that matches are grouped where they arise and
+    never shuffled; beyond it the trigrams are joined by a shuffle and the matches dealt out."""
+    load = block.agg(F.sum("freq").alias("n"), F.sum(F.octet_length("key") + F.lit(BLOCK_ROW_BYTES)).alias("bytes")).first()
+    tasks = max(block.sparkSession.sparkContext.defaultParallelism, -(-(load.n or 0) // per_task))
+    small = (load.bytes or 0) <= max_block_bytes
+    rows = rows.repartition(tasks, "p") if small else rows
+    keys = block.drop("freq")
+    cand = (rows.select("p", "ln", tri.alias("tri")).join(F.broadcast(keys) if small else keys, "tri")
+            .where(F.col("ln").contains(F.col("key"))).select("query_id", "p", "kpos"))
+    cand = cand if small else cand.repartition(tasks, "query_id", "p")
     return cand.groupBy("query_id", "p").agg(F.min("kpos").cast("int").alias("kpos"))
 
 
+def search_matches(index: DataFrame, queries: DataFrame, min_key: int = config.SEARCH_MIN_KEY_LEN,
+                   per_task: int = CANDIDATES_PER_TASK, max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
+    """(query_id, p, kpos) -- kpos = first key that matched."""
+    names = materialize(index.select("p", F.lower("n").alias("ln")), "names")
+    tri = F.explode(trigrams(F.col("ln")))
+    freq = names.select(tri.alias("tri")).groupBy("tri").agg(F.count(F.lit(1)).alias("freq"))
+    return confirmed_matches(names, tri, key_blocks(queries, freq, min_key), per_task, max_block_bytes)
+
+
 def search_filter(index: DataFrame, queries: DataFrame, min_key: int = config.SEARCH_MIN_KEY_LEN,
                   max_loop_bytes: int = MAX_LOOP_BYTES) -> DataFrame:
     """(query_id, p) of every company that the plain filter keeps.

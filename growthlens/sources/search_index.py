@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
-from ..operators.search import search_keys, trigrams
+from ..operators.search import confirmed_matches, key_blocks, trigrams
 from ..session import materialize
 
 BUCKETS = 64
@@ -115,17 +115,10 @@ def matches(spark: SparkSession, path: str, queries: DataFrame, min_key: int = c
     if min_key < 3:
         raise ValueError("keys need three characters")
     batches = commits(spark, path)
-    keys = (search_keys(queries).where(F.length("key") >= min_key)
-            .select("query_id", F.col("pos").alias("kpos"), "key", F.explode(trigrams(F.col("key"))).alias("tri")))
-    rarest = (keys.join(frequencies(spark, path), "tri", "left")
-              .groupBy("query_id", "kpos", "key")
-              .agg(F.min_by("tri", F.struct(F.coalesce("freq", F.lit(0)), F.col("tri"))).alias("tri"),
-                   F.min(F.coalesce("freq", F.lit(0))).alias("freq"))
-              .where(F.col("freq") > 0).select("query_id", "kpos", "key", "tri", _bucket(F.col("tri")).alias("bucket")))
-    block = materialize(rarest, "search-block")
-    wanted = [r.bucket for r in block.select("bucket").distinct().collect()]  # at most BUCKETS numbers
-    postings = _read(spark, path, "postings", batches).where(F.col("bucket").isin(wanted)).drop("bucket")
+    block = key_blocks(queries, frequencies(spark, path), min_key)
+    bucket = _bucket(F.col("tri")).alias("bucket")
+    wanted = [r.bucket for r in block.select(bucket).distinct().collect()]  # at most BUCKETS numbers
+    postings = (_read(spark, path, "postings", batches).where(F.col("bucket").isin(wanted)).drop("bucket")
+                .join(block.select("tri").distinct(), "tri", "left_semi"))
     names = _current(spark, path, batches).select("p", "segment", F.lower("n").alias("ln"))
-    found = postings.join(block.drop("bucket"), "tri").join(names, ["p", "segment"])
-    return (found.where(F.col("ln").contains(F.col("key")))
-            .groupBy("query_id", "p").agg(F.min("kpos").cast("int").alias("kpos")))
+    return confirmed_matches(postings.join(names, ["p", "segment"]), F.col("tri"), block)

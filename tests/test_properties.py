@@ -108,3 +108,30 @@ def test_blocked_search_equals_the_filter(spark):
     assert "BroadcastNestedLoopJoin" in loop._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastNestedLoopJoin" not in blocked._jdf.queryExecution().executedPlan().toString()
     assert SE.search_filter(index, queries.limit(0)).count() == 0 == SE.search_filter(index.limit(0), queries).count()
+
+
+def test_blocked_search_spreads_its_matches(spark):
+    """Tasks are as many as the candidates need, and none groups many more matches than it is meant to, on either side
+    of the bound on the keys; names and queries may repeat and be null."""
+    from growthlens.operators import search as SE
+    colours = ["red", "blue", "green", "Rosy", None]
+    names = [(f"c{i}", f"{colours[i % 4]} ring {i % 7}") for i in range(3000)]
+    names += [("c1", "red gear"), (None, "a ring"), (None, "blue"), ("c9000", None), ("c9001", "ri")]
+    asked = [(i, f"{colours[i % 5] or 'no'} ring") for i in range(40)] + [(40, "ringo"), (41, None), (None, "RED"), (42, "ge re")]
+    asked += asked[:3] + [(0, "gear red")]
+    index = spark.createDataFrame(names, "p string, n string")
+    queries = spark.createDataFrame(asked, "query_id int, q string")
+    want = {}
+    for q, text in asked:
+        keys = [] if text is None else text.lower().split(" ")
+        for p, name in names:
+            hit = [i for i, k in enumerate(keys) if len(k) >= 3 and name is not None and k in name.lower()]
+            if hit:
+                want[q, p] = min(want.get((q, p), 99), hit[0])
+    candidates, each = 40 * 3000, 5000
+    for most in (SE.MAX_BLOCK_BYTES, 0):
+        found = SE.search_matches(index, queries, per_task=each, max_block_bytes=most)
+        parts = found.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()
+        assert len(parts) >= candidates // each and max(r.n for r in parts) <= 2 * each
+        got = [tuple(r) for r in found.collect()]
+        assert len(got) == len(want) and {(q, p): k for q, p, k in got} == want
