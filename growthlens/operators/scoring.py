@@ -37,14 +37,14 @@ def category_score(s, n0, n1):
             .otherwise(F.try_divide(s * F.lit(0.5) * n0, total)))
 
 
-def score_categories(features: DataFrame, packed: DataFrame) -> DataFrame:
-    """p, k, category, leaf, n0, n1, reason, score (unrounded), score5."""
+def score_categories(features: DataFrame, packed: DataFrame, source_bytes: int | None = None) -> DataFrame:
+    """p, k, category, leaf, n0, n1, reason, score (unrounded), score5; ``source_bytes`` as in ``trees.predict``."""
     vec = vector_array(features)
     elig = (vec.select("p", "k", "s", "vec", "emp",
                        F.filter(F.col("doc_categories"), lambda c: F.array_contains(F.col("c"), c))
                        .alias("_cats"))
             .select("p", "k", "s", "vec", "emp", F.explode("_cats").alias("category")))
-    pred = T.predict(elig, packed)
+    pred = T.predict(elig, packed, source_bytes)
     sc = category_score(F.col("s"), F.col("n0"), F.col("n1"))
     return pred.select("p", "k", "category", "leaf", "n0", "n1", "reason",
                        F.when(F.col("reason") == "ok", sc).alias("score"),

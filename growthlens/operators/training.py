@@ -10,6 +10,7 @@ tree classifies every training row as it was grown.
 from __future__ import annotations
 
 import json
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,10 +18,11 @@ from pyspark.sql import functions as F
 
 from ..functions.classes import acquired_or_acquirer
 from . import tree_growth
+from . import trees as T
 from .features import vector_columns
 
-# a model file holds a whole tree in one object, and files are written by the driver: nodes of all trees together
-MAX_FILE_NODES = 1_000_000
+# paths of nodes with the true branch before the false one
+BRANCHES = str.maketrans("tf", "ab")
 
 
 def training_rows(features: DataFrame, company_category: DataFrame) -> DataFrame:
@@ -31,30 +33,31 @@ def training_rows(features: DataFrame, company_category: DataFrame) -> DataFrame
 
 
 def _nest(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Node rows of one tree -> its model-file JSON text, children first."""
-    made = {}
-    for r in sorted(pdf.itertuples(), key=lambda r: -len(r.node)):
-        if r.col < 0:
-            made[r.node] = {"col": -1, "results": {c: int(n) for c, n in (("0", r.n0), ("1", r.n1)) if n > 0}}
-        else:
-            made[r.node] = {"col": int(r.col), "value": r.value,
-                            "tb": made.pop(r.node + "t"), "fb": made.pop(r.node + "f")}
-    text = json.dumps(made["r"], separators=(",", ":"))
-    return pd.DataFrame({"category": [pdf["category"].iloc[0]], "json": [text]})
+    """Node rows of one tree -> its model-file JSON text: the nodes' pieces in the order of their paths."""
+    text = []
+    rows = zip(pdf["node"], pdf["col"], pdf["value"], pdf["n0"], pdf["n1"], strict=True)
+    for node, col, value, n0, n1 in sorted(rows, key=lambda r: r[0].translate(BRANCHES)):
+        if col >= 0:
+            text.append(f'{{"col":{int(col)},"value":{json.dumps(value)},"tb":')
+            continue
+        results = {c: int(n) for c, n in (("0", n0), ("1", n1)) if n > 0}
+        ended = node.rstrip("f")  # a last false branch ends the node above it
+        text += [json.dumps({"col": -1, "results": results}, separators=(",", ":")), "}" * (len(node) - len(ended)),
+                 ',"fb":' if ended.endswith("t") else ""]
+    return pd.DataFrame({"category": [pdf["category"].iloc[0]], "json": ["".join(text)]})
 
 
-def train_trees(rows: DataFrame, **growth) -> dict[str, str]:
-    """One tree per category -> {category: model-file JSON text}.
+def tree_texts(rows: DataFrame, **growth) -> DataFrame:
+    """One tree per category as (category, json), its model-file text.
+
+    ``growth`` goes to ``tree_growth.grow``.  A model file is one object, so
+    a tree's text is made in one task; trees of all sizes are written."""
+    return tree_growth.grow(rows, **growth).groupBy("category").applyInPandas(_nest, "category string, json string")
+
 
-    ``growth`` goes to ``tree_growth.grow``.  More than ``MAX_FILE_NODES``
-    nodes stop the run before they are gathered: such trees need a lower
-    ``max_depth`` or a higher ``min_rows``, or stay a node table."""
-    nodes = tree_growth.grow(rows, **growth)
-    n = nodes.count()
-    if n > MAX_FILE_NODES:
-        raise ValueError(f"{n} nodes; model files hold at most {MAX_FILE_NODES}")
-    texts = nodes.groupBy("category").applyInPandas(_nest, "category string, json string")
-    return {r["category"]: r["json"] for r in texts.collect()}
+def train_trees(rows: DataFrame, **growth) -> dict[str, str]:
+    """The texts of ``tree_texts`` by category, gathered: for small models only."""
+    return {r["category"]: r["json"] for r in tree_texts(rows, **growth).collect()}
 
 
 def reproduced(predicted: DataFrame) -> DataFrame:
@@ -82,6 +85,33 @@ def write_tree_files(spark: SparkSession, trees: dict[str, str], folder: str) ->
     return folder
 
 
+def write_tree_texts(texts: DataFrame, folder: str) -> str:
+    """Write the texts of (category, json) as ``<category>.json`` files: tasks write them, so that no text reaches the
+    driver, which then gives each file its name."""
+    spark = texts.sparkSession
+    at = folder.rstrip("/") + "-texts"
+    # the writer ends each text by a separator: here its own last brace
+    texts.select(F.substring("json", F.lit(1), F.length("json") - 1).alias("value"),
+                 F.concat(F.lit("="), "category").alias("name")).write.partitionBy("name").option(
+        "lineSep", "}").text(at)
+    jvm = spark.sparkContext._jvm
+    base = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(base)
+    for made in fs.listStatus(jvm.org.apache.hadoop.fs.Path(at)):
+        if not made.isDirectory():
+            continue
+        name = unquote(made.getPath().getName().removeprefix("name="))
+        if not name.startswith("="):
+            raise ValueError("a tree of the null category has no file name")
+        texts_of = [f.getPath() for f in fs.listStatus(made.getPath()) if f.getPath().getName().startswith("part-")]
+        if len(texts_of) != 1:
+            raise ValueError(f"{len(texts_of)} trees of one category")
+        if not fs.rename(texts_of[0], jvm.org.apache.hadoop.fs.Path(base, name[1:] + ".json")):
+            raise OSError(f"no file {name[1:]}.json was made in {folder}")
+    return folder
+
+
 def folder_bytes(spark: SparkSession, folder: str) -> int:
     """Total size of the files under ``folder`` from the file system's
     metadata (no Spark job)."""
@@ -92,7 +122,7 @@ def folder_bytes(spark: SparkSession, folder: str) -> int:
 
 
 def load_tree_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """S3: (category, json) for every ``<category>.json`` in ``folder``.
+    """The reading half of S3: (category, json) for every ``<category>.json`` in ``folder``.
 
     The category is the file name without ``.json``; the metadata file name
     is percent-encoded while a literal ``+`` stays as is, so ``+`` is
@@ -101,3 +131,9 @@ def load_tree_texts(spark: SparkSession, folder: str) -> DataFrame:
            .select(F.col("_metadata.file_name").alias("fname"), F.col("value").alias("json")))
     name = F.regexp_replace(F.col("fname"), r"\.json$", "")
     return raw.select(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("category"), "json")
+
+
+def load_trees(spark: SparkSession, folder: str) -> DataFrame:
+    """S3: every model file of ``folder`` read and parsed into its tree, as ``trees.PACKED_SCHEMA``.  A file that holds no
+    tree stops the run."""
+    return T.pack_trees(load_tree_texts(spark, folder), folder_bytes(spark, folder))

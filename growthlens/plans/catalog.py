@@ -571,8 +571,8 @@ def stream_topk_profiles(spark, sf):
 def _trained_tree_folder(spark, sf):
     from ..operators import training as TRN
     c = Ctx(spark, sf)
-    trees = TRN.train_trees(TRN.training_rows(c.features, c.world.company_category))
-    return TRN.write_tree_files(spark, trees, _scratch(spark, "trees"))
+    texts = TRN.tree_texts(TRN.training_rows(c.features, c.world.company_category))
+    return TRN.write_tree_texts(texts, _scratch(spark, "trees"))
 
 
 @plan("train_trees")
@@ -583,9 +583,8 @@ def train_trees(spark, sf):
     from ..session import materialize
     c = Ctx(spark, sf)
     rows = materialize(TRN.training_rows(c.features, c.world.company_category), "train_rows")
-    folder = TRN.write_tree_files(spark, TRN.train_trees(rows), _scratch(spark, "trees"))
-    packed = T.pack_trees(TRN.load_tree_texts(spark, folder), TRN.folder_bytes(spark, folder))
-    return TRN.reproduced(T.predict(rows, packed))
+    folder = TRN.write_tree_texts(TRN.tree_texts(rows), _scratch(spark, "trees"))
+    return TRN.reproduced(T.predict(rows, TRN.load_trees(spark, folder), TRN.folder_bytes(spark, folder)))
 
 
 @plan("load_trees")
@@ -599,16 +598,14 @@ def load_trees(spark, sf):
 def tree_nodes(spark, sf):
     from ..operators import training as TRN
     from ..operators import trees as T
-    folder = _trained_tree_folder(spark, sf)
-    return T.tree_nodes(T.pack_trees(TRN.load_tree_texts(spark, folder), TRN.folder_bytes(spark, folder)))
+    return T.tree_nodes(TRN.load_trees(spark, _trained_tree_folder(spark, sf)))
 
 
 @plan("tree_summary")
 def tree_summary(spark, sf):
     from ..operators import training as TRN
     from ..operators import trees as T
-    folder = _trained_tree_folder(spark, sf)
-    return T.tree_summary(T.pack_trees(TRN.load_tree_texts(spark, folder), TRN.folder_bytes(spark, folder)))
+    return T.tree_summary(TRN.load_trees(spark, _trained_tree_folder(spark, sf)))
 
 
 def _deep_models(spark, sf):
@@ -656,8 +653,8 @@ def deep_predict(spark, sf):
 def tree_predict_trained(spark, sf):
     """Scoring with the trees trained on the world (S3 -> M1 -> M2 -> M4)."""
     from ..operators import training as TRN
-    from ..operators import trees as T
     c = Ctx(spark, sf)
-    folder = _trained_tree_folder(spark, sf)
-    packed = T.pack_trees(TRN.load_tree_texts(spark, folder), TRN.folder_bytes(spark, folder))
-    return SC.score_categories(c.features, packed).select("p", "category", "leaf", "n0", "n1", "reason", "score5")
+    folder = TRN.write_tree_texts(TRN.tree_texts(TRN.training_rows(c.features, c.world.company_category)),
+                                  _scratch(spark, "trees"))
+    scores = SC.score_categories(c.features, TRN.load_trees(spark, folder), TRN.folder_bytes(spark, folder))
+    return scores.select("p", "category", "leaf", "n0", "n1", "reason", "score5")
