@@ -589,9 +589,9 @@ def train_trees(spark, sf):
 
 @plan("load_trees")
 def load_trees(spark, sf):
+    """S3 on the trained trees: each file read and parsed, with its length and the tree's size."""
     from ..operators import training as TRN
-    return TRN.load_tree_texts(spark, _trained_tree_folder(spark, sf)).select(
-        "category", F.length("json").alias("json_chars"))
+    return TRN.load_trees(spark, _trained_tree_folder(spark, sf)).select("category", "json_chars", "n_nodes", "depth")
 
 
 @plan("tree_nodes")

@@ -60,6 +60,21 @@ def test_no_trees_and_trees_without_a_name(spark):
         TRN.write_tree_texts(unnamed, scratch_path(spark, "tree_files"))
 
 
+def test_load_trees_parses_each_file(spark, monkeypatch):
+    """S3 reads and parses: the query gives the trees' sizes, and a file that holds no tree stops the run."""
+    import __spark_entry__ as E
+    from growthlens.plans import catalog
+    folder = TRN.write_tree_files(spark, config.WORLD_TREES, scratch_path(spark, "tree_files"))
+    monkeypatch.setattr(catalog, "_trained_tree_folder", lambda spark, sf: folder)
+    got = {r.category: r.asDict() for r in E.queries()["load_trees"](spark, "").collect()}
+    for category, text in config.WORLD_TREES.items():
+        tree = T.flatten_tree(category, text)
+        assert got[category] == {"category": category, "json_chars": len(text), "n_nodes": len(tree["ids"]), "depth": 4}
+    TRN.write_tree_files(spark, {"cut": config.WORLD_TREES["BUILDING"][:-1]}, folder)
+    with pytest.raises(Exception, match="JSONDecodeError"):
+        E.queries()["load_trees"](spark, "").collect()
+
+
 def test_walk_in_parts_equals_the_walk_row_by_row(spark, monkeypatch):
     """Nulls, NaN, short and missing vectors, categories without a tree, several parts of a category."""
     rnd = random.Random(3)
