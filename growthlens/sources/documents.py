@@ -230,11 +230,12 @@ def combine_pages(stats: DataFrame, as_of=config.WORLD_AS_OF) -> DataFrame:
 
 
 def page_rows(stats: DataFrame) -> DataFrame:
-    """Page statistics as rows for keyed state: p, page, version, and as JSON the mergeable numbers (body), the header
-    and the last office."""
+    """Page statistics as rows for keyed state: p, page, version, and as JSON the mergeable numbers other than 0 (body),
+    the header and the last office."""
     from ..streaming.keyed import COUNTS, SUMS
-    body = F.struct(*COUNTS, F.col("acq_max").cast("string").alias("acq_max"),
-                    *[F.col(c).cast("string").alias(c) for c in SUMS])
+    body = F.struct(*[F.nullif(F.col(c), F.lit(0)).alias(c) for c in COUNTS],
+                    F.col("acq_max").cast("string").alias("acq_max"),
+                    *[F.nullif(F.col(c), F.lit(0).cast(MONEY)).cast("string").alias(c) for c in SUMS])
     return stats.select("p", "page", "version", F.to_json(body).alias("body"), F.to_json("hdr").alias("hdr"),
                         F.to_json("last_office").alias("office"))
 
